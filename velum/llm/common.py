@@ -151,12 +151,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of whole documents of about size bytes: first, last + 1, bytes, offsets."""
+def chunks(data: np.ndarray, offsets: np.ndarray, size: int = 1 << 20, docs: int = 4096) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of at most docs whole documents of about size bytes: first, last + 1,
+    bytes, offsets."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = int(max(i + 1, np.searchsorted(offsets, offsets[i] + size, "right") - 1))
-        j = min(j, n)
+        j = min(j, n, i + docs)
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
 

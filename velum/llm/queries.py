@@ -5,14 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from velum.llm import bpe_duckdb, token_store
+from velum.llm import bpe_duckdb, langid, substrings, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit_folds(documents)
+    held_out = F.coalesce(langid.fold() == 1, F.lit(False)).alias("held_out")
+    return langid.predict(documents.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score", "rejected")
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_store.temporary_path(spark)
     token_store.write(_table(spark, sf_dir, "documents"), path)
@@ -25,7 +38,7 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_token_store, op10_bpe_roundtrip)}
+    return {f.__name__: f for f in (op4_remove_repeats, op6_language, op7_token_store, op10_bpe_roundtrip)}
 
 
 def oracle_sql() -> dict[str, str]:
