@@ -26,16 +26,20 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from velum.llm.segments import PATTERN, Cache, cut, raw
+from velum.llm.segments import PATTERN, Cache, encode as encode_texts, raw, stem
 
 #: Bytes of a word from which a heap takes the place of the recursive query.
 LONG = 256
-#: Words in one recursive query, and documents handled together.
-WORDS_AT_ONCE, DOCS_AT_ONCE = 16_000, 1536
+#: Words in one recursive query, runs in one decoding query, documents handled together.
+WORDS_AT_ONCE, RUNS_AT_ONCE, DOCS_AT_ONCE = 16_000, 100_000, 1024
+#: Words that a worker remembers, at about 200 bytes each.
+REMEMBERED = 350_000
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 #: score: the rank of the pair that a row opens, then its position; null without
 #: a pair in the merge table.
@@ -95,9 +99,7 @@ class Coder:
             self.con.register("given", table)
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.con.unregister("given")
-        self.words = Cache(self.encode_words, 400_000)
-        self.segments = Cache(self.encode_segments, 400_000)
-        self.runs = Cache(self.decode_runs, 400_000)
+        self.words = Cache(self.encode_words, REMEMBERED)
         size = max(self.bytes) + 1
         self.opens = np.zeros(size, bool)
         self.opens[[i for i, t in self.bytes.items() if t[:1] in (b" ", b"\n")]] = True
@@ -151,40 +153,47 @@ class Coder:
         return np.array([self.ranks[p] for p in parts if p is not None], "<i4").tobytes()
 
     def encode_segments(self, keys: list[str]) -> list[bytes]:
-        split = [[w.encode() for w in PATTERN.findall(raw(k))] for k in keys]
-        self.words.learn(chain.from_iterable(split))
-        return [b"".join(map(self.words.__getitem__, ws)) for ws in split]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        keys = [cut(t) for t in texts]
-        self.segments.learn(chain.from_iterable(keys))
-        return [b"".join(map(self.segments.__getitem__, ks)) for ks in keys]
-
-    def decode_runs(self, runs: list[bytes]) -> list[bytes]:
-        ids = np.frombuffer(b"".join(runs), "<i4")
-        lengths = np.fromiter((len(r) // 4 for r in runs), np.int64, len(runs))
-        run = np.repeat(np.arange(len(runs), dtype=np.int32), lengths)
-        self.con.register("spelled", pa.table({"run": run, "pos": np.arange(len(ids)), "id": ids}))
-        got = self.con.execute(DECODE).fetchnumpy()
-        self.con.unregister("spelled")
-        out = [b""] * len(runs)
-        for i, h in zip(got["run"], got["hex"], strict=True):
-            out[i] = bytes.fromhex(h)
-        return out
-
-    def decode(self, documents: list[np.ndarray]) -> list[bytes]:
-        """Bytes of each array of ids. Runs that begin with a space or a line
-        feed repeat, so each distinct run is decoded once."""
-        runs = []
-        for ids in documents:
-            ids = np.ascontiguousarray(ids, "<i4")
-            cuts = np.flatnonzero(self.opens[ids])
-            cuts = [0, *(cuts[cuts > 0] * 4).tolist(), ids.nbytes]
-            data = ids.tobytes()
-            runs.append([data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)] if data else [])
-        self.runs.learn(chain.from_iterable(runs))
-        return [b"".join(map(self.runs.__getitem__, rs)) for rs in runs]
+        split = []
+        for k in keys:
+            if k.isalpha():
+                split.append([b" " + k.encode()])
+            elif word := stem(k):
+                split.append([b" " + word.encode(), k[-1:].encode()])
+            else:
+                split.append([w.encode() for w in PATTERN.findall(raw(k))])
+        distinct = list(dict.fromkeys(chain.from_iterable(split)))
+        ids = dict(zip(distinct, self.words.look_up(distinct), strict=True))
+        return [ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for ws in split]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and where each text's begin."""
+        return encode_texts(texts, self.encode_segments)
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """The bytes of each document's ids. Runs that begin with a space or a line
+        feed repeat, so each distinct run of the batch is decoded once."""
+        if not len(ids):
+            return pa.array([b""] * (len(bounds) - 1), pa.large_binary())
+        opens = self.opens[ids]
+        opens[bounds[:-1][bounds[:-1] < len(ids)]] = True
+        starts = np.append(np.flatnonzero(opens), len(ids)).astype(np.int64)
+        ids = np.ascontiguousarray(ids, "<i4")
+        runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts * 4), pa.py_buffer(ids)])
+        runs = runs.dictionary_encode()
+        distinct, decoded = runs.dictionary, []
+        for at in range(0, len(distinct), RUNS_AT_ONCE):
+            part = distinct.slice(at, RUNS_AT_ONCE)
+            spelled = np.frombuffer(b"".join(part.to_pylist()), "<i4")
+            lengths = np.diff(np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]) // 4
+            run = np.repeat(np.arange(len(part), dtype=np.int32), lengths)
+            self.con.register("spelled", pa.table({"run": run, "pos": np.arange(len(spelled)), "id": spelled}))
+            decoded += map(bytes.fromhex, self.con.execute(DECODE).fetchnumpy()["hex"])
+            self.con.unregister("spelled")
+        texts = pa.array(decoded, pa.large_binary()).take(runs.indices)
+        _, ends, data = texts.buffers()
+        ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        cuts = np.ascontiguousarray(ends[np.searchsorted(starts, bounds)])
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(cuts), data])
 
 
 @cache
@@ -193,37 +202,34 @@ def coder(vocabulary: str) -> Coder:
     return Coder(read_ranks(vocabulary))
 
 
-def _with_column(batch: pa.RecordBatch, names: list[str], made: dict[str, pa.Array]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([made[n] if n in made else batch.column(n) for n in names], names)
-
+def encode(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """df with the ids (array<int>) of each text; null text: none.
 
-def int_lists(documents: list[bytes]) -> pa.Array:
-    """A list column of 32-bit integers from their bytes."""
-    offsets = np.zeros(len(documents) + 1, np.int32)
-    np.cumsum([len(d) // 4 for d in documents], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(documents), "<i4")))
-
-
-def encode(df: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_multi_50k.tiktoken", ids: str = "ids") -> DataFrame:
-    """df with the ids (array<int>) of each text; null text: none."""
-    kept = [c for c in df.columns if c != ids]
-    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+    decoded: also a column of the bytes that those ids decode to, as from decode().
+    """
+    made = [c for c in (ids, decoded) if c]
+    kept = [c for c in df.columns if c not in made]
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), T.StructField(decoded or "", T.BinaryType(), False)]
+    schema = T.StructType([*(df.schema[c] for c in kept), *fields[: len(made)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(vocabulary)
         for whole in batches:
             for at in range(0, whole.num_rows, DOCS_AT_ONCE):
                 b = whole.slice(at, DOCS_AT_ONCE)
-                texts = [t or "" for t in b.column(text).to_pylist()]
-                yield _with_column(b, schema.names, {ids: int_lists(c.encode(texts))})
+                found, bounds = c.encode(b.column(text))
+                new = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(found))]
+                if decoded:
+                    new.append(c.decode(found, bounds).cast(pa.binary()))
+                yield pa.RecordBatch.from_arrays([*(b.column(x) for x in kept), *new], schema.names)
 
-    return df.select(kept).mapInArrow(run, schema)
+    return df.select(*kept, *([] if text in kept else [text])).mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, ids: str = "ids", vocabulary: str = "byte_bpe_multi_50k.tiktoken", decoded: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, ids: str = "ids", vocabulary: str = VOCABULARY, decoded: str = "decoded") -> DataFrame:
     """df with the bytes (binary) that each array of ids stands for; null: empty.
 
-    An id that the vocabulary lacks raises an error.
+    An id that the vocabulary lacks, or a null among them, raises an error.
     """
     kept = [c for c in df.columns if c != decoded]
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(decoded, T.BinaryType(), False)])
@@ -233,11 +239,13 @@ def decode(df: DataFrame, ids: str = "ids", vocabulary: str = "byte_bpe_multi_50
         for whole in batches:
             for at in range(0, whole.num_rows, DOCS_AT_ONCE):
                 b = whole.slice(at, DOCS_AT_ONCE)
-                lists = b.column(ids).to_pandas()
-                arrays = [np.zeros(0, np.int32) if v is None else np.asarray(v, np.int32) for v in lists]
-                if any((a < 0).any() or (a >= len(c.opens)).any() for a in arrays if len(a)):
+                lists = b.column(ids).cast(pa.list_(pa.int32()))
+                flat = lists.flatten()
+                bounds = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy()))
+                found = flat.fill_null(-1).to_numpy()
+                if len(found) and (found.min() < 0 or found.max() >= len(c.opens)):
                     raise ValueError("an id is not in the vocabulary")
-                yield _with_column(b, schema.names, {decoded: pa.array(c.decode(arrays), pa.binary())})
+                yield pa.RecordBatch.from_arrays([*(b.column(x) for x in kept), c.decode(found, bounds).cast(pa.binary())], schema.names)
 
     return df.select(kept).mapInArrow(run, schema)
 

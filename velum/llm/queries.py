@@ -33,8 +33,8 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe_duckdb.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
-    return bpe_duckdb.digests(bpe_duckdb.decode(coded)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    coded = bpe_duckdb.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")
+    return bpe_duckdb.digests(coded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

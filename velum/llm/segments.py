@@ -1,8 +1,8 @@
-"""Exact cuts of a text where byte-level BPE never merges across.
+"""Exact cuts of texts where byte-level BPE never merges across.
 
 The split pattern of these tokenizers starts a new match at a space that stands
 before a character which is no white space, and around a lone line feed. So a
-text is cut there and each distinct segment is encoded once.
+text is cut there, and each distinct segment of a batch is encoded once.
 
 A segment is named by a key: "\\r" + raw text, "\\n" for a line feed, and
 otherwise the raw text without its leading space.
@@ -10,24 +10,19 @@ otherwise the raw text without its leading space.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 PATTERN = regex.compile(public_tokenizers.PATTERN)
 
-#: The white space of Unicode besides space and line feed, and the
-#: four controls that Python counts as such; and pairs of white space.
-ODD = [*"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0 ", *map(chr, range(0x2000, 0x200B)), *"    　", "  ", "\n\n", " \n", "\n "]
-
-
-def cut(text: str) -> list[str]:
-    """The keys of a text's segments, in order; their raw texts joined are the text."""
-    for odd in ODD:
-        if odd in text:
-            return ["\r" + w for w in PATTERN.findall(text)]
-    return ("\r" + text.replace("\n", " \n \r")).split(" ")
+#: White space of Unicode besides space and line feed, the four controls that some
+#: count as such, and pairs: where these occur the pattern itself cuts the text.
+ODD = r"[\t\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]"
 
 
 def raw(key: str) -> str:
@@ -35,23 +30,68 @@ def raw(key: str) -> str:
     return key[1:] if first == "\r" else key if first == "\n" else " " + key
 
 
+def cut(texts: pa.Array) -> pa.ListArray:
+    """The keys of each text, in order; their raw texts joined are the text."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    odd = pc.match_substring_regex(texts, ODD)
+    plain = texts.filter(pc.invert(odd))
+    marked = pc.binary_join_element_wise(pa.scalar("\r", pa.large_string()), pc.replace_substring(plain, "\n", " \n \r"), pa.scalar("", pa.large_string()))
+    keys = pc.split_pattern(marked, " ")
+    if len(plain) == len(texts):
+        return keys
+    rest = pa.array([["\r" + w for w in PATTERN.findall(t)] for t in texts.filter(odd).to_pylist()], keys.type)
+    odd = odd.to_numpy(zero_copy_only=False)
+    place = np.where(odd, len(plain) + np.cumsum(odd) - 1, np.cumsum(~odd) - 1)
+    return pa.concat_arrays([keys, rest]).take(pa.array(place))
+
+
+def encode(texts: pa.Array, coded: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the texts in one array, and where each text's begin.
+
+    coded: the ids of distinct keys as little-endian 32-bit integers.
+    """
+    keys = cut(texts)
+    bounds = np.asarray(keys.offsets) - keys.offsets[0].as_py()
+    distinct = keys.flatten().dictionary_encode()
+    ids = int_lists(coded(distinct.dictionary.to_pylist()))
+    spelled = ids.take(distinct.indices)
+    offsets = np.asarray(spelled.offsets).astype(np.int64) if len(spelled) else np.zeros(1, np.int64)
+    return np.asarray(spelled.flatten()), offsets[bounds]
+
+
+#: Marks that never join a letter before them in one match of the pattern.
+CLOSERS = frozenset(".,;:!?")
+
+
+def stem(key: str) -> str | None:
+    """The key of a plain word that one closing mark follows, without the mark."""
+    return key[:-1] if key[-1:] in CLOSERS and key[:-1].isalpha() else None
+
+
+def int_lists(values: list[bytes]) -> pa.ListArray:
+    """A list column of 32-bit integers from their bytes."""
+    offsets = np.zeros(len(values) + 1, np.int32)
+    np.cumsum(np.fromiter(map(len, values), np.int64, len(values)) // 4, out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(values), "<i4")))
+
+
 class Cache(dict):
-    """What the segments of a worker's texts became. Its size is bounded: beyond the
-    limit the later half goes, as frequent keys come early. It changes speed only.
-    Long keys are not kept between batches."""
-
-    def __init__(self, encode: Callable[[list], list], limit: int = 400_000, longest: int = 64):
-        self.encode, self.limit, self.longest, self.long = encode, limit, longest, []
-
-    def learn(self, keys: Iterable) -> None:
-        """Encode what is new, so that every key can be looked up."""
-        for k in self.long:
-            self.pop(k, None)
-        keys = set(keys)
-        if len(self) > self.limit:
-            for k in [*self][self.limit // 2 :]:
-                del self[k]
-        new = [k for k in keys if k not in self]
-        self.long = [k for k in new if len(k) > self.longest]
-        if new:
-            self.update(zip(new, self.encode(new), strict=True))
+    """What words or segments became in this worker. Its size is bounded: beyond the
+    limit the later half goes, as frequent keys come early. It changes speed only."""
+
+    def __init__(self, encode: Callable[[list], list], limit: int, longest: int = 64):
+        self.encode, self.limit, self.longest = encode, limit, longest
+
+    def look_up(self, keys: list) -> list:
+        """The values of distinct keys; what is new is encoded together."""
+        found = list(map(self.get, keys))
+        at = [i for i, v in enumerate(found) if v is None]
+        if at:
+            for i, v in zip(at, self.encode([keys[i] for i in at]), strict=True):
+                found[i] = v
+                if len(keys[i]) <= self.longest:
+                    self[keys[i]] = v
+            if len(self) > self.limit:
+                for k in [*self][self.limit // 2 :]:
+                    del self[k]
+        return found

@@ -27,7 +27,6 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -38,12 +37,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from velum.llm.common import scratch_dir
-from velum.llm.segments import Cache, cut, raw
+from velum.llm.segments import Cache, encode as encode_texts, raw, stem
 
 TOKENIZER, END = "byte_bpe_50k.json", 2
 SAMPLE, DICTIONARY_BYTES, LEVEL = 1000, 64 << 10, 3
 BLOCK = 4 << 20
-DOCS_AT_ONCE = 1536
+DOCS_AT_ONCE = 1024
 #: Rows that a shard holds about.
 SHARD_ROWS = 20_000
 
@@ -65,12 +64,20 @@ class Encoder:
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # each character of a byte-level token is one byte
             self.lengths[i] = len(token)
-        self.segments = Cache(self.encode_segments, 600_000)
+        self.segments = Cache(self.encode_segments, 400_000)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_segments(self, keys: list[str]) -> list[bytes]:
+        stems = {k: w for k in keys if (w := stem(k))}
+        if stems:  # a closing mark is a match of its own
+            words = list(dict.fromkeys(stems.values()))
+            found = dict(zip(words, self.segments.look_up(words), strict=True))
+            marks = {m: self.one(m) for m in {k[-1] for k in stems}}
+            rest = [k for k in keys if k not in stems]
+            plain = dict(zip(rest, self.encode_segments(rest), strict=True)) if rest else {}
+            return [found[stems[k]] + marks[k[-1]] if k in stems else plain[k] for k in keys]
         out = [b""] * len(keys)
         # a segment that opens with a space ends where the next begins, so many go in one call
         plain = [i for i, k in enumerate(keys) if k and k[0] not in "\r\n"]
@@ -88,10 +95,15 @@ class Encoder:
             out[i] = ids.tobytes()
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        keys = [cut(t) for t in texts]
-        self.segments.learn(chain.from_iterable(keys))
-        return [b"".join(map(self.segments.__getitem__, ks)) for ks in keys]
+    def one(self, text: str) -> bytes:
+        return self._ids([text])[0].tobytes()
+
+    def encode(self, texts: pa.Array, end: int) -> list[bytes]:
+        """The ids of each text and the end id, as little-endian 32-bit integers."""
+        ids, bounds = encode_texts(texts, self.segments.look_up)
+        data, last = ids.tobytes(), np.array([end], "<u4").tobytes()
+        cuts = (bounds * 4).tolist()
+        return [data[a:b] + last for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 @cache
@@ -99,10 +111,6 @@ def encoder(name: str) -> Encoder:
     return Encoder(name)
 
 
-def _end(end: int) -> bytes:
-    return np.array([end], "<u4").tobytes()
-
-
 def train_dictionary(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, sample: int = SAMPLE, size: int = DICTIONARY_BYTES) -> bytes:
     """A zstandard dictionary from the sample's serialized id arrays; empty if the
     sample is too small to train on."""
@@ -110,8 +118,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END
     ids = [r.doc_id for r in picked.collect()]  # at most `sample` numbers
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = [t or "" for b in batches for t in b.column("text").to_pylist()]
-        arrays = [a + _end(end) for a in encoder(tokenizer).encode(texts)]
+        arrays = [a for b in batches for a in encoder(tokenizer).encode(b.column("text"), end)]
         try:
             made = zstandard.train_dictionary(size, arrays).as_bytes() if len(arrays) >= 8 else b""
         except zstandard.ZstdError:
@@ -142,7 +149,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END
         for whole in batches:
             for at in range(0, whole.num_rows, DOCS_AT_ONCE):
                 b = whole.slice(at, DOCS_AT_ONCE)
-                arrays = [a + _end(end) for a in encoder(tokenizer).encode([t or "" for t in b.column("text").to_pylist()])]
+                arrays = encoder(tokenizer).encode(b.column("text"), end)
                 ids = b.column("doc_id")
                 shard = np.searchsorted(limits, ids.fill_null(np.iinfo(np.int64).min).to_numpy(), "left").astype(np.int32)
                 yield pa.RecordBatch.from_pydict({
