@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velum.llm import bpe_duckdb, langid, substrings, token_store
+from velum.llm import bpe_duckdb, langid, substrings, token_store, weighted_minhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,13 +32,18 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.scan(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = weighted_minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "kept")
+
+
 def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe_duckdb.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")
     return bpe_duckdb.digests(coded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_remove_repeats, op6_language, op7_token_store, op10_bpe_roundtrip)}
+    return {f.__name__: f for f in (op4_remove_repeats, op6_language, op7_token_store, op8_near_duplicates, op10_bpe_roundtrip)}
 
 
 def oracle_sql() -> dict[str, str]:
