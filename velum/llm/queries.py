@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velum.llm import bpe_duckdb, embedding_dedup, langid, substrings, token_store, weighted_minhash
+from velum.llm import bpe_duckdb, decontaminate, embedding_dedup, langid, substrings, token_store, weighted_minhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,12 @@ def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each overlap of a document with a test item."""
+    found = decontaminate.flag(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
+
+
 def op4_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -47,7 +53,7 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_vectors, op4_remove_repeats, op6_language, op7_token_store, op8_near_duplicates, op10_bpe_roundtrip)}
+    return {f.__name__: f for f in (op1_near_vectors, op3_benchmark_overlaps, op4_remove_repeats, op6_language, op7_token_store, op8_near_duplicates, op10_bpe_roundtrip)}
 
 
 def oracle_sql() -> dict[str, str]:
