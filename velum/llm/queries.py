@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velum.llm import bpe_duckdb, chat, decontaminate, embedding_dedup, langid, licences, quality, substrings, token_store, weighted_minhash
+from velum.llm import bpe_duckdb, chat, decontaminate, embedding_dedup, langid, licences, oracles, quality, substrings, token_store, weighted_minhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
