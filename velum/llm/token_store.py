@@ -37,12 +37,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from velum.llm.common import scratch_dir
-from velum.llm.segments import Cache, encode as encode_texts, raw, stem
+from velum.llm.segments import Cache, encode as encode_texts, give_back, raw, stem
 
 TOKENIZER, END = "byte_bpe_50k.json", 2
 SAMPLE, DICTIONARY_BYTES, LEVEL = 1000, 64 << 10, 3
 BLOCK = 4 << 20
-DOCS_AT_ONCE = 1024
+DOCS_AT_ONCE = 2048
 #: Rows that a shard holds about.
 SHARD_ROWS = 20_000
 
@@ -64,7 +64,7 @@ class Encoder:
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # each character of a byte-level token is one byte
             self.lengths[i] = len(token)
-        self.segments = Cache(self.encode_segments, 400_000)
+        self.segments = Cache(self.encode_segments, 250_000)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -103,6 +103,8 @@ class Encoder:
         ids, bounds = encode_texts(texts, self.segments.look_up)
         data, last = ids.tobytes(), np.array([end], "<u4").tobytes()
         cuts = (bounds * 4).tolist()
+        del ids
+        give_back()
         return [data[a:b] + last for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
@@ -144,7 +146,10 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END
     cuts = sorted({int(c) for c in cuts})
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zip_ = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+        shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        if shared:
+            shared.precompute_compress(level=LEVEL)
+        zip_ = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
         limits = np.array(cuts, np.int64)
         for whole in batches:
             for at in range(0, whole.num_rows, DOCS_AT_ONCE):
