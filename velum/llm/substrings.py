@@ -44,9 +44,11 @@ from velum.llm.common import SPACES, Words, chunks, materialize, row_key, utf8
 
 WINDOW, PREFIX = 35, 8
 #: Different surroundings of one prefix that a task takes as one group.
-GROUP = 1000
+GROUP = 50_000
+#: Suffixes that a task sorts at once; larger groups go by the place of their anchor.
+LEAVES = 50_000
 
-ANCHORS = "k1 long, k2 int, gram long, ctx long, lo int, off int, n int"
+ANCHORS = "k1 long, k2 int, gram long, ctx long, lo int, step int, times int, off int, n int"
 
 
 def _first_minima(h: np.ndarray, width: int) -> np.ndarray:
@@ -81,7 +83,8 @@ def anchors(words: Words, window: int, prefix: int) -> tuple[np.ndarray, ...]:
 
 
 def _scan(docs: DataFrame, window: int, prefix: int) -> DataFrame:
-    """The anchors of all documents (k1, k2, text)."""
+    """The anchors of all documents (k1, k2, text). Equal ones in line, as words that
+    repeat over and over make them, are one row: the first, their distance and number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -89,10 +92,20 @@ def _scan(docs: DataFrame, window: int, prefix: int) -> DataFrame:
             for i, _, data, offsets in chunks(*utf8(b.column("text"))):
                 words = Words(data, offsets, SPACES)
                 doc, a, lo, n = anchors(words, window, prefix)
+                gram, ctx = words.spans(a, a + prefix), words.spans(lo, lo + n + window - 1)
+                same = np.zeros(len(doc), bool)
+                same[1:] = (doc[1:] == doc[:-1]) & (gram[1:] == gram[:-1]) & (ctx[1:] == ctx[:-1])
+                step = np.diff(lo, prepend=0)
+                runs = ~same
+                runs[1:] |= same[:-1] & (step[1:] != step[:-1])
+                first = np.flatnonzero(runs)
+                times = np.diff(np.append(first, len(doc)))
+                step = np.where(times > 1, step[np.minimum(first + 1, len(doc) - 1)], 0)
+                doc, a, lo, n = doc[first], a[first], lo[first], n[first]
                 yield pa.RecordBatch.from_pydict({
-                    "k1": k1[i + doc], "k2": k2[i + doc], "gram": words.spans(a, a + prefix).view(np.int64),
-                    "ctx": words.spans(lo, lo + n + window - 1).view(np.int64),
-                    "lo": (lo - words.first[doc]).astype(np.int32), "off": (a - lo).astype(np.int32), "n": n.astype(np.int32),
+                    "k1": k1[i + doc], "k2": k2[i + doc], "gram": gram[first].view(np.int64), "ctx": ctx[first].view(np.int64),
+                    "lo": (lo - words.first[doc]).astype(np.int32), "step": step.astype(np.int32), "times": times.astype(np.int32),
+                    "off": (a - lo).astype(np.int32), "n": n.astype(np.int32),
                 })
 
     return docs.select("k1", "k2", "text").mapInArrow(run, ANCHORS)
@@ -137,33 +150,37 @@ def _windows(contexts: DataFrame, window: int) -> DataFrame:
     return contexts.mapInArrow(run, "whole long, place int, gram long, ctx long, bit int")
 
 
-def subtree_marks(grams: np.ndarray, ctxs: np.ndarray, offs: np.ndarray, ns: np.ndarray, words: list[bytes], window: int) -> np.ndarray:
+def subtree_marks(grams: np.ndarray, ctxs: np.ndarray, offs: np.ndarray, ns: np.ndarray, words: list[bytes], window: int, leaves: int = LEAVES) -> np.ndarray:
     """Bits of each context's windows that lie below a node of depth window.
 
-    All windows of the groups are suffixes; sorted by group, place of the anchor and
-    words they are the leaves of the groups' subtrees in order.
+    All windows of the groups are suffixes. Sorted by group and words they are the
+    leaves of the groups' subtrees in order; suffixes whose anchors stand at different
+    places cannot share such a node, so many suffixes are taken place by place.
     """
     n = ns.astype(np.int64)
     row = np.repeat(np.arange(len(n)), n)
     bit = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    place = offs[row] - bit
     sizes = n + window - 1
     lo = (np.cumsum(sizes) - sizes)[row] + bit
     hashes = np.frombuffer(b"".join(words), np.uint64)
-    leaves = np.empty((len(row), window + 2), np.uint64)
-    leaves[:, 0] = grams[row].view(np.uint64)
-    leaves[:, 1] = (offs[row] - bit).astype(np.uint64)
-    leaves[:, 2:] = hashes[lo[:, None] + np.arange(window)]
-    order = np.argsort(leaves.view(f"V{leaves.shape[1] * 8}").ravel(), kind="stable")
-    leaves, row, bit = leaves[order], row[order], bit[order]
-    node = (leaves[1:] == leaves[:-1]).all(axis=1)  # neighbours that share a node this deep
-    other = node & (ctxs[row[1:]] != ctxs[row[:-1]])
-    # a node counts if two different contexts hang below it: rows repeated whole are one
-    group = np.concatenate([[0], np.cumsum(~node)])
-    mixed = np.zeros(group[-1] + 1 if len(group) else 0, bool)
-    mixed[group[1:][other]] = True
     marks = np.zeros(len(n), np.int64)
-    hit = mixed[group]
-    np.bitwise_or.at(marks, row[hit], np.int64(1) << bit[hit])
+    parts = [np.arange(len(row))] if len(row) <= leaves else [np.flatnonzero(place == p) for p in np.unique(place)]
+    for part in parts:
+        suffixes = np.empty((len(part), window + 2), np.uint64)
+        suffixes[:, 0] = grams[row[part]].view(np.uint64)
+        suffixes[:, 1] = place[part].astype(np.uint64)
+        suffixes[:, 2:] = hashes[lo[part][:, None] + np.arange(window)]
+        order = np.argsort(suffixes.view(f"V{suffixes.shape[1] * 8}").ravel(), kind="stable")
+        suffixes, r, b = suffixes[order], row[part][order], bit[part][order]
+        node = (suffixes[1:] == suffixes[:-1]).all(axis=1)  # neighbours that share a node this deep
+        other = node & (ctxs[r[1:]] != ctxs[r[:-1]])
+        # a node counts if two different contexts hang below it: rows repeated whole are one
+        group = np.concatenate([[0], np.cumsum(~node)])
+        mixed = np.zeros(group[-1] + 1, bool)
+        mixed[group[1:][other]] = True
+        hit = mixed[group[: len(r)]]
+        np.bitwise_or.at(marks, r[hit], np.int64(1) << b[hit])
     return marks
 
 
@@ -203,10 +220,11 @@ def removals(docs: DataFrame, window: int, prefix: int, group: int) -> DataFrame
     """(k1, k2, spans): for documents (k1, k2, text, ...) with repeated windows, the
     first window of each anchor and the bits of its windows that repeat."""
     found = _scan(docs, window, prefix)
-    twice = found.groupBy("gram").count().where("count > 1").select("gram")
+    # written, so that a prefix which is very common can be split in the join
+    twice = materialize(found.groupBy("gram").agg(F.sum("times").alias("n")).where("n > 1").select("gram"), "twice")
     found = materialize(found.join(twice, "gram", "left_semi"), "anchors")
 
-    contexts = found.groupBy("gram", "ctx").agg(F.count(F.lit(1)).alias("seen"), F.min(F.struct("k1", "k2", "lo")).alias("at"), F.max("off").alias("off"), F.max("n").alias("n"))
+    contexts = found.groupBy("gram", "ctx").agg(F.sum("times").alias("seen"), F.min(F.struct("k1", "k2", "lo")).alias("at"), F.max("off").alias("off"), F.max("n").alias("n"))
     contexts = materialize(contexts, "contexts")
     full = contexts.where("seen > 1").select("gram", "ctx", F.expr("shiftleft(1L, n) - 1").alias("mask"))
 
@@ -221,10 +239,24 @@ def removals(docs: DataFrame, window: int, prefix: int, group: int) -> DataFrame
     by_count = windows.join(deep, ["gram", "place", "whole"], "left_semi").groupBy("gram", "ctx").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
 
     masks = full.unionByName(by_tree).unionByName(by_count).groupBy("gram", "ctx").agg(F.bit_or("mask").alias("mask"))
-    marked = found.join(masks, ["gram", "ctx"]).select("k1", "k2", F.struct("lo", "mask").alias("span"))
+    masks = materialize(masks, "masks")
+    marked = found.join(masks, ["gram", "ctx"]).select("k1", "k2", F.struct("lo", "step", "times", "mask").alias("span"))
     return marked.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
 
 
+def _covered(spans: pa.StructArray, n: int, window: int) -> np.ndarray:
+    """Which of a document's n words a marked window covers."""
+    lo, step, times, mask = (x.to_numpy() for x in spans.flatten())
+    row = np.repeat(np.arange(len(lo)), times)
+    lo = lo[row] + step[row] * (np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times))
+    edges = np.zeros(n + 1, np.int64)
+    for bit in range(int(mask.max()).bit_length()):
+        starts = lo[(mask[row] >> bit) & 1 == 1] + bit
+        np.add.at(edges, starts, 1)
+        np.add.at(edges, starts + window, -1)
+    return np.cumsum(edges[:-1]) > 0
+
+
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
     """df with n_words, n_removed and kept (the words left, joined by one space)."""
     if window - prefix + 1 > 62:
@@ -236,24 +268,21 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     spans = removals(docs, window, prefix, group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts, gone, kept = [], [], []
-            for t, found in zip(b.column("_text").to_pylist(), b.column("_spans").to_pylist(), strict=True):
-                words = (t or "").encode().split()
-                drop = 0
-                if found:
-                    edges = np.zeros(len(words) + 1, np.int64)
-                    for s in found:
-                        bits = np.flatnonzero(np.array([s["mask"] >> i & 1 for i in range(window - prefix + 1)]))
-                        np.add.at(edges, s["lo"] + bits, 1)
-                        np.add.at(edges, s["lo"] + bits + window, -1)
-                    covered = np.cumsum(edges[:-1]) > 0
-                    drop = int(covered.sum())
-                    words = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
-                counts.append(len(words) + drop)
-                gone.append(drop)
-                kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], schema.names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                counts, gone, kept = [], [], []
+                for t, found in zip(b.column("_text").to_pylist(), b.column("_spans"), strict=True):
+                    words = (t or "").encode().split()
+                    drop = 0
+                    if found.is_valid and len(found.values):
+                        covered = _covered(found.values, len(words), window)
+                        drop = int(covered.sum())
+                        words = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
+                    counts.append(len(words) + drop)
+                    gone.append(drop)
+                    kept.append(b" ".join(words).decode())
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], schema.names)
 
     keys = [c.alias(n) for c, n in zip(row_key(doc_id, text), ("_k1", "_k2"), strict=True)]
     both = df.select(*own, F.col(text).alias("_text"), *keys)
