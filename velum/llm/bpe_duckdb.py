@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from velum.llm.segments import PATTERN, Cache, encode as encode_texts, raw, stem
+from velum.llm.segments import PATTERN, Cache, Known, encode as encode_texts, give_back, raw, stem
 
 #: Bytes of a word from which a heap takes the place of the recursive query.
 LONG = 256
 #: Words in one recursive query, runs in one decoding query, documents handled together.
-WORDS_AT_ONCE, RUNS_AT_ONCE, DOCS_AT_ONCE = 16_000, 100_000, 1024
+WORDS_AT_ONCE, RUNS_AT_ONCE, DOCS_AT_ONCE = 16_000, 100_000, 2048
 #: Words that a worker remembers, at about 200 bytes each.
 REMEMBERED = 350_000
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -100,6 +100,7 @@ class Coder:
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.con.unregister("given")
         self.words = Cache(self.encode_words, REMEMBERED)
+        self.segments = Known(self.encode_segments)
         size = max(self.bytes) + 1
         self.opens = np.zeros(size, bool)
         self.opens[[i for i, t in self.bytes.items() if t[:1] in (b" ", b"\n")]] = True
@@ -167,7 +168,7 @@ class Coder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's begin."""
-        return encode_texts(texts, self.encode_segments)
+        return encode_texts(texts, self.segments)
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
         """The bytes of each document's ids. Runs that begin with a space or a line
@@ -221,6 +222,8 @@ def encode(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, ids:
                 new = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(found))]
                 if decoded:
                     new.append(c.decode(found, bounds).cast(pa.binary()))
+                del found
+                give_back()
                 yield pa.RecordBatch.from_arrays([*(b.column(x) for x in kept), *new], schema.names)
 
     return df.select(*kept, *([] if text in kept else [text])).mapInArrow(run, schema)

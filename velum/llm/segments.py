@@ -47,16 +47,38 @@ def cut(texts: pa.Array) -> pa.ListArray:
     return pa.concat_arrays([keys, rest]).take(pa.array(place))
 
 
-def encode(texts: pa.Array, coded: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of the texts in one array, and where each text's begin.
-
-    coded: the ids of distinct keys as little-endian 32-bit integers.
-    """
+class Known:
+    """The ids of segments met in this worker, as Arrow arrays of some 40 bytes a
+    segment. Its size is bounded: beyond the limit the later half goes, as frequent
+    segments come early. It changes speed only."""
+
+    def __init__(self, coded: Callable[[list[str]], list[bytes]], limit: int = 1_000_000):
+        self.coded, self.limit = coded, limit
+        self.keys, self.ids = pa.array([], pa.large_string()), int_lists([])
+
+    def look_up(self, keys: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
+        """Id lists, and which of them each of the distinct keys has."""
+        at = pc.index_in(keys, value_set=self.keys)
+        new = keys.filter(at.is_null())
+        at = at.to_numpy(zero_copy_only=False).astype(np.float64)
+        missing = np.isnan(at)
+        at[missing] = len(self.ids) + np.arange(len(new))
+        ids = pa.concat_arrays([self.ids, int_lists(self.coded(new.to_pylist()))]) if len(new) else self.ids
+        if len(new):
+            self.keys, self.ids = pa.concat_arrays([self.keys, new]), ids
+            if len(self.keys) > self.limit:
+                first = pa.array(np.arange(self.limit // 2))
+                self.keys, self.ids = self.keys.take(first), self.ids.take(first)
+        return ids, at.astype(np.int64)
+
+
+def encode(texts: pa.Array, known: Known) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the texts in one array, and where each text's begin."""
     keys = cut(texts)
     bounds = np.asarray(keys.offsets) - keys.offsets[0].as_py()
     distinct = keys.flatten().dictionary_encode()
-    ids = int_lists(coded(distinct.dictionary.to_pylist()))
-    spelled = ids.take(distinct.indices)
+    ids, at = known.look_up(distinct.dictionary)
+    spelled = ids.take(pa.array(at[distinct.indices.to_numpy()]))
     offsets = np.asarray(spelled.offsets).astype(np.int64) if len(spelled) else np.zeros(1, np.int64)
     return np.asarray(spelled.flatten()), offsets[bounds]
 
@@ -85,8 +107,7 @@ def give_back() -> None:
 
 
 class Cache(dict):
-    """What words or segments became in this worker. Its size is bounded: beyond the
-    limit the later half goes, as frequent keys come early. It changes speed only."""
+    """What words became in this worker, bounded likewise."""
 
     def __init__(self, encode: Callable[[list], list], limit: int, longest: int = 64):
         self.encode, self.limit, self.longest = encode, limit, longest

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from velum.llm.common import scratch_dir
-from velum.llm.segments import Cache, encode as encode_texts, give_back, raw, stem
+from velum.llm.segments import Known, encode as encode_texts, give_back, raw, stem
 
 TOKENIZER, END = "byte_bpe_50k.json", 2
 SAMPLE, DICTIONARY_BYTES, LEVEL = 1000, 64 << 10, 3
@@ -64,20 +64,18 @@ class Encoder:
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # each character of a byte-level token is one byte
             self.lengths[i] = len(token)
-        self.segments = Cache(self.encode_segments, 250_000)
+        self.segments = Known(self.encode_segments)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_segments(self, keys: list[str]) -> list[bytes]:
         stems = {k: w for k in keys if (w := stem(k))}
-        if stems:  # a closing mark is a match of its own
-            words = list(dict.fromkeys(stems.values()))
-            found = dict(zip(words, self.segments.look_up(words), strict=True))
-            marks = {m: self.one(m) for m in {k[-1] for k in stems}}
-            rest = [k for k in keys if k not in stems]
-            plain = dict(zip(rest, self.encode_segments(rest), strict=True)) if rest else {}
-            return [found[stems[k]] + marks[k[-1]] if k in stems else plain[k] for k in keys]
+        if stems:  # a closing mark is a match of its own, so word and mark are coded apart
+            words = list(dict.fromkeys([*stems.values(), *(k for k in keys if k not in stems)]))
+            coded = dict(zip(words, self.encode_segments(words), strict=True))
+            marks = {m: self._ids([m])[0].tobytes() for m in {k[-1] for k in stems}}
+            return [coded[stems[k]] + marks[k[-1]] if k in stems else coded[k] for k in keys]
         out = [b""] * len(keys)
         # a segment that opens with a space ends where the next begins, so many go in one call
         plain = [i for i, k in enumerate(keys) if k and k[0] not in "\r\n"]
@@ -95,12 +93,9 @@ class Encoder:
             out[i] = ids.tobytes()
         return out
 
-    def one(self, text: str) -> bytes:
-        return self._ids([text])[0].tobytes()
-
     def encode(self, texts: pa.Array, end: int) -> list[bytes]:
         """The ids of each text and the end id, as little-endian 32-bit integers."""
-        ids, bounds = encode_texts(texts, self.segments.look_up)
+        ids, bounds = encode_texts(texts, self.segments)
         data, last = ids.tobytes(), np.array([end], "<u4").tobytes()
         cuts = (bounds * 4).tolist()
         del ids
