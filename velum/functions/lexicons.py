@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 
 def _terms(text: str) -> tuple[str, ...]:
     return tuple(" ".join(t.split()) for t in text.split(","))
@@ -195,3 +197,16 @@ NOT_NAMES = CLINICAL | frozenset((*MONTHS, *WEEKDAYS, *FUNCTION_WORDS, *NEGATION
 def longest_first(terms) -> list[str]:
     """In an alternation the first that fits wins, so longer terms go first."""
     return sorted(terms, key=lambda t: (-len(t), t))
+
+
+def literal(term: str) -> str:
+    return re.escape(term).replace(r"\ ", " ")
+
+
+def alternation(terms) -> str:
+    """A pattern for any of the terms. Those that begin alike stand together, so that most are
+    passed over at once."""
+    by_first: dict[str, list[str]] = {}
+    for t in longest_first(terms):
+        by_first.setdefault(t[0], []).append(literal(t[1:]))
+    return "|".join(literal(c) + "(?:" + "|".join(rest) + ")" for c, rest in sorted(by_first.items()))

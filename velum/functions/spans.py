@@ -1,71 +1,104 @@
-"""Spans of matches with their offsets, in Catalyst expressions only.
-
-Matches and the gaps between them come from the same Java matcher, so their lengths
-add up to the offsets. Patterns must not match the empty string. Patterns follow
-Java; (?U) makes classes cover Unicode, (?iU) ignores case as well.
-"""
+"""Matches of patterns as rows with their offsets, and interval helpers."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from velum.functions.text import ACCENTED, PLAIN
 
+_FOLD = str.maketrans(ACCENTED, PLAIN)
+#: Matches that a task holds before it hands them on; texts that it holds at once.
+_ROWS, _TEXTS = 20_000, 256
 
-def groups_of(pattern: str) -> int:
-    """How many groups a pattern captures."""
-    bare = re.sub(r"\\\\.|\[(?:\\\\.|[^\]])*\]", "", pattern)
-    return len(re.findall(r"\((?!\?)", bare))
 
+@dataclass(frozen=True)
+class Pattern:
+    """A kind of match. folded: looked for in the folded text; needs: what a text must hold
+    (a pattern, cheap to look for) to have any match."""
 
-def add_spans(df: DataFrame, text: Column, patterns: dict[str, str]) -> DataFrame:
-    """df with a column array<struct<start, end, m, g1, g2...>> for each pattern: all its
-    matches from left to right. A group that takes no part is the empty string.
+    kind: str
+    order: int
+    regex: str
+    folded: bool = False
+    needs: str = ""
 
-    Columns build on columns, so each expression is computed once and stays shallow.
-    """
 
-    # what a lambda needs comes in as its array: an expression named inside a lambda could
-    # be put there by the optimizer, and be computed again for each element
-    def starts(n: str) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["pos"] + F.length(x["gap"])
-            return F.struct((start + F.length(x["m"])).alias("pos"), F.concat(acc["starts"], F.array(start)).alias("starts"))
-
-        zipped = F.zip_with(f"_m_{n}", F.slice(f"_gaps_{n}", 1, F.size(f"_m_{n}")), lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")))
-        return F.aggregate(zipped, F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("starts")), step)["starts"]
-
-    def spans(n: str) -> Column:
-        names = ["m", *(f"g{g}" for g in range(1, groups_of(patterns[n]) + 1))]
-        zipped = F.arrays_zip(F.col(f"_starts_{n}").alias("start"), *(F.col(f"_{x}_{n}").alias(x) for x in names))
-        fields = ["start", *names]
-        return F.transform(zipped, lambda x: F.struct(
-            x[fields[0]].alias("start"), (x["start"] + F.length(x["m"])).alias("end"), *(x[c].alias(c) for c in names)))
-
-    made = {}
-    for n, p in patterns.items():
-        made |= {f"_m_{n}": F.regexp_extract_all(text, F.lit(p), 0), f"_gaps_{n}": F.split(text, p, -1)}
-        made |= {f"_g{g}_{n}": F.regexp_extract_all(text, F.lit(p), g) for g in range(1, groups_of(p) + 1)}
-    df = df.withColumns(made)
-    df = df.withColumns({f"_starts_{n}": starts(n) for n in patterns})
-    df = df.withColumns({n: spans(n) for n in patterns})
-    return df.drop(*made, *(f"_starts_{n}" for n in patterns))
+MATCH = [
+    T.StructField("kind", T.StringType()), T.StructField("ord", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
+    T.StructField("text", T.StringType()), T.StructField("value_start", T.IntegerType()), T.StructField("value", T.StringType()),
+    T.StructField("g", T.ArrayType(T.StringType())), T.StructField("before", T.StringType()), T.StructField("after", T.StringType()),
+]
 
 
-def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
-    return (a_start < b_end) & (b_start < a_end)
+def _arrow(kind: T.DataType) -> pa.DataType:
+    return {T.StringType(): pa.string(), T.IntegerType(): pa.int32()}.get(kind, pa.list_(pa.string()))
+
 
+def scan(units: DataFrame, patterns: list[Pattern], keys: list[str], text: str = "text") -> DataFrame:
+    """A row for each match: the keys of its unit, kind, ord, start, end, text, the last group
+    that took part (value, at value_start; the match without groups), all groups g, and
+    32 and 24 characters of context. Offsets count code points; null text has no matches.
 
-def merge_spans(spans: Column) -> Column:
-    """Sorted spans (start, end) with those that touch or overlap joined."""
-    kind = "array<struct<start:int,end:int>>"
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"))))
+    The texts are read once, for all patterns; only matches leave the task.
+    """
+    schema = T.StructType([*(units.schema[k] for k in keys), *MATCH])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = [(p, re.compile(p.regex), re.compile(p.needs) if p.needs else None) for p in patterns]
+
+        def matches(t: str) -> Iterator[tuple]:
+            folded = t.translate(_FOLD).lower()
+            held: dict[str, bool] = {"": True}
+            for p, regex, needs in compiled:
+                if p.needs not in held:
+                    held[p.needs] = needs.search(t) is not None
+                if not held[p.needs]:
+                    continue
+                for m in regex.finditer(folded if p.folded else t):
+                    start, end, last = m.start(), m.end(), m.lastindex or 0
+                    low, high = m.span(last)
+                    yield p.kind, p.order, start, end, t[start:end], low, t[low:high], list(m.groups()), t[max(0, start - 32) : start], t[end : end + 24]
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, _TEXTS):
+                b = whole.slice(at, _TEXTS)
+                rows, of = [], []
+
+                def out(b=b) -> pa.RecordBatch:
+                    columns = [pa.array(c, _arrow(f.dataType)) for c, f in zip(zip(*rows, strict=True), MATCH, strict=True)]
+                    return pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(of)) for k in keys), *columns], schema.names)
+
+                for i, t in enumerate(b.column(text)):
+                    for m in matches(t.as_py() or ""):
+                        rows.append(m)
+                        of.append(i)
+                        if len(rows) >= _ROWS:
+                            yield out()
+                            rows.clear()
+                            of.clear()
+                if rows:
+                    yield out()
+
+    return units.select(*keys, *([] if text in keys else [text])).mapInArrow(run, schema)
+
+
+def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
+    return (a_start < b_end) & (b_start < a_end)
 
-    def add(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (s["start"] <= last["end"]), joined).otherwise(F.concat(acc, F.array(s)))
 
-    return F.aggregate(ordered, F.array().cast(kind), add)
+def merge_intervals(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
+    """keys, start, end and n of the intervals that remain when those of one key that touch
+    or overlap are joined."""
+    w = Window.partitionBy(*keys).orderBy(start, end)
+    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0)
+    island = F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    joined = df.withColumn("_opens", opens).withColumn("_island", island).groupBy(*keys, "_island")
+    return joined.agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("_island")

@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from velum.functions import lexicons as L
-from velum.functions.spans import add_spans, overlaps
-from velum.functions.text import canonical_number, collapse, context, fold
-from velum.operators.detect import alternation
+from velum.functions.spans import Pattern, overlaps, scan
+from velum.functions.text import canonical_number, clip, collapse, context, fold, salted_hash
+from velum.operators.detect import among
 
 _NUM = r"\d+(?:[.,]\d+)?"
 # Patterns over folded text.
-PATTERNS = {
-    "numero_unidad": rf"(?iU)({_NUM})\s*(" + alternation(L.UNITS) + r")(?![A-Za-z0-9/])",
-    "medida": rf"(?iU)\b({_NUM})\s*[x×]\s*({_NUM})(?:\s*[x×]\s*({_NUM}))?\s*(mm|cm|m)\b",
-    "dosis": rf"(?iU)\b({_NUM})\s*(mg|g|mcg|ug|ml|ui|comprimidos?|tabletas?|capsulas?|gotas?)\b(\s*(?:cada|c/)\s*\d{{1,2}}\s*(?:h|horas|dias|d))?",
-    "porcentaje": rf"(?iU)\b({_NUM})\s*%",
-    "analito_valor": r"(?iU)(?<![a-z0-9])(" + alternation({*L.ANALYTES, *L.VITALS}) + rf")(?![a-z0-9])\s*[:=]?\s*({_NUM})",
-    "termino": r"(?<![a-z0-9])(" + alternation(L.CLINICAL) + r")(?![a-z0-9])",
-    "signo_vital": r"(?iU)\b(\d{2,3})\s*/\s*(\d{2,3})\s*(?:mmhg)?\b",
-    "negacion": r"(?<![a-z])(" + alternation(L.NEGATIONS) + r")(?![a-z])",
+_REGEX = {
+    "numero_unidad": rf"(?i)({_NUM})\s*(" + "|".join(map(L.literal, L.longest_first(L.UNITS))) + r")(?![A-Za-z0-9/])",
+    "medida": rf"(?i)\b({_NUM})\s*[x×]\s*({_NUM})(?:\s*[x×]\s*({_NUM}))?\s*(mm|cm|m)\b",
+    "dosis": rf"(?i)\b({_NUM})\s*(mg|g|mcg|ug|ml|ui|comprimidos?|tabletas?|capsulas?|gotas?)\b(\s*(?:cada|c/)\s*\d{{1,2}}\s*(?:h|horas|dias|d))?",
+    "porcentaje": rf"(?i)\b({_NUM})\s*%",
+    "analito_valor": r"(?i)(?<![a-z0-9])(" + L.alternation({*L.ANALYTES, *L.VITALS}) + rf")(?![a-z0-9])\s*[:=]?\s*({_NUM})",
+    "termino": r"(?<![a-z0-9])(" + L.alternation(L.CLINICAL) + r")(?![a-z0-9])",
+    "signo_vital": r"(?i)\b(\d{2,3})\s*/\s*(\d{2,3})\s*(?:mmhg)?\b",
+    "negacion": r"(?<![a-z])(" + L.alternation(L.NEGATIONS) + r")(?![a-z])",
 }
+#: Why a kind is protected, in the order in which a clash is looked for.
 REASONS = {
     "numero_unidad": "valor con unidad", "medida": "medida", "dosis": "dosis", "porcentaje": "porcentaje",
     "analito_valor": "analito con valor", "termino": "termino clinico", "signo_vital": "signo vital",
@@ -30,31 +31,33 @@ CLASSES = {
     "anatomia": L.ANATOMY, "lateralidad": L.LATERALITY, "medicamento": L.DRUGS, "procedimiento": L.PROCEDURES,
     "diagnostico": L.DIAGNOSES, "certeza": L.CERTAINTY,
 }
-VALUE = "array<struct<class:string,norm:string,text:string,context:string>>"
+#: The order of values within a text: class by class.
+_VALUE_ORDER = ("numero_unidad", "medida", "porcentaje", "dosis", "analito_valor", "signo_vital", "termino", "negacion")
+#: Clinical kinds come behind the identifiers in the order of a common scan.
+FIRST = 100
+_NEEDS = dict.fromkeys(("numero_unidad", "medida", "dosis", "porcentaje", "analito_valor", "signo_vital"), r"\d")
+VALUES = [Pattern(k, FIRST + i, _REGEX[k], folded=True, needs=_NEEDS.get(k, "")) for i, k in enumerate(_VALUE_ORDER)]
+GUARDS = [p for p in VALUES if p.kind in REASONS]
 
 
-def _vital(folded: Column, spans: Column) -> Column:
-    """Ratios with a word for blood pressure in the 30 characters before."""
+def vital(matches: DataFrame) -> DataFrame:
+    """matches without ratios that no word for blood pressure precedes within 30 characters."""
+    near = fold(F.right("before", F.lit(30))).rlike(r"(?U)\b(ta|pa|tension|presion|arterial)\b")
+    return matches.where((F.col("kind") != "signo_vital") | near)
 
-    def near(s: Column) -> Column:
-        first = F.greatest(F.lit(0), s["start"] - 30)
-        return folded.substr(first + 1, s["start"] - first).rlike(r"(?U)\b(ta|pa|tension|presion|arterial)\b")
 
-    return F.filter(spans, near)
+def guard() -> Column:
+    """What the aggregation of a unit's protected spans collects; null for other kinds."""
+    reasons = F.create_map(*(F.lit(x) for k, v in REASONS.items() for x in (k, v)))
+    places = F.create_map(*(F.lit(x) for i, k in enumerate(REASONS) for x in (k, i)))
+    return F.when(F.col("kind").isin(*REASONS), F.struct(places[F.col("kind")].alias("place"), "start", "end", reasons[F.col("kind")].alias("reason")))
 
 
-def _with_spans(df: DataFrame, text: Column, kinds: list[str]) -> DataFrame:
-    df = df.withColumn("_clinical_text", F.coalesce(text, F.lit(""))).withColumn("_clinical", fold(F.col("_clinical_text")))
-    df = add_spans(df, F.col("_clinical"), {f"_c_{k}": PATTERNS[k] for k in kinds})
-    return df.withColumn("_c_signo_vital", _vital(F.col("_clinical"), F.col("_c_signo_vital")))
-
-
-def protect(df: DataFrame, text: str = "text", made: str = "protected") -> DataFrame:
-    """df with the spans (start, end, reason) that no transformation may touch, in the
-    order in which a clash is looked for."""
-    df = _with_spans(df, F.col(text), [*REASONS])
-    parts = [F.transform(f"_c_{k}", lambda s, r=r: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(r).alias("reason"))) for k, r in REASONS.items()]
-    return df.withColumn(made, F.concat(*parts)).drop("_clinical", "_clinical_text", *(f"_c_{k}" for k in REASONS))
+def protect(units: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, unit_seq and protected: the spans (place, start, end, reason) that no
+    transformation may touch, of units that have any."""
+    found = vital(scan(units, GUARDS, ["doc_id", "unit_seq"], text)).withColumn("p", guard())
+    return found.groupBy("doc_id", "unit_seq").agg(F.array_sort(F.collect_list("p")).alias("protected"))
 
 
 def clash(start: Column, end: Column, protected: Column) -> Column:
@@ -65,41 +68,49 @@ def clash(start: Column, end: Column, protected: Column) -> Column:
 def _class(term: Column) -> Column:
     out = F.lit("termino_clinico")
     for name, terms in reversed(CLASSES.items()):
-        out = F.when(term.isin(*terms), name).otherwise(out)
+        out = F.when(among(term, terms), name).otherwise(out)
     return out
 
 
-def values(df: DataFrame, text: str = "text", made: str = "values") -> DataFrame:
-    """df with the comparable clinical values, class by class in order; a stretch of text
-    may hold several."""
-    df = _with_spans(df, F.col(text), [*PATTERNS])
-    whole = F.col("_clinical_text")
-
-    def each(kind: str, norm, class_=None) -> Column:
-        def one(s: Column) -> Column:
-            shown = whole.substr(s["start"] + 1, s["end"] - s["start"])
-            return F.struct((class_(s) if class_ else F.lit(kind)).alias("class"), norm(s).alias("norm"), shown.alias("text"), context(whole, s["start"], s["end"]).alias("context"))
-
-        return F.transform(f"_c_{kind}", one).cast(VALUE)
-
-    def number(x: Column) -> Column:
-        return canonical_number(x)
-
-    third = lambda s: F.when(s["g3"] != "", F.concat(F.lit("x"), number(s["g3"]))).otherwise("")
-    rhythm = lambda s: F.when(collapse(s["g3"]) != "", F.concat(F.lit(" "), collapse(s["g3"]))).otherwise("")
-    parts = [
-        each("numero_unidad", lambda s: F.concat(number(s["g1"]), F.lit(" "), F.lower(s["g2"]))),
-        each("medida", lambda s: F.concat(number(s["g1"]), F.lit("x"), number(s["g2"]), third(s), F.lit(" "), F.lower(s["g4"]))),
-        each("porcentaje", lambda s: F.concat(number(s["g1"]), F.lit(" %"))),
-        each("dosis", lambda s: F.concat(number(s["g1"]), F.lit(" "), F.lower(s["g2"]), rhythm(s))),
-        each("analito_valor", lambda s: F.concat(collapse(s["g1"]), F.lit("="), number(s["g2"]))),
-        each("signo_vital", lambda s: F.concat(s["g1"], F.lit("/"), s["g2"])),
-        each("termino", lambda s: s["g1"], lambda s: _class(s["g1"])),
-        each("negacion", lambda s: s["g1"]),
-    ]
-    return df.withColumn(made, F.concat(*parts)).drop("_clinical", "_clinical_text", *(f"_c_{k}" for k in PATTERNS))
-
-
-def class_counts(df: DataFrame, key: str = "doc_id", made: str = "values") -> DataFrame:
-    """(key, class, n)."""
-    return df.select(key, F.explode(made).alias("v")).groupBy(key, "v.class").agg(F.count(F.lit(1)).alias("n"))
+def values(units: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id", "unit_seq")) -> DataFrame:
+    """The comparable clinical values of units, one row each: keys, class, norm, text,
+    context, and ord and start, the order in a text. A stretch of text may hold several."""
+    m = vital(scan(units, VALUES, list(keys), text))
+    g = [F.coalesce(F.try_element_at("g", F.lit(i + 1)), F.lit("")) for i in range(4)]
+    # groups are of the folded text
+    n = [canonical_number(x) for x in g[:3]]
+    third = F.when(g[2] != "", F.concat(F.lit("x"), n[2])).otherwise("")
+    rhythm = F.when(collapse(g[2]) != "", F.concat(F.lit(" "), collapse(g[2]))).otherwise("")
+    norm = (
+        F.when(F.col("kind") == "numero_unidad", F.concat(n[0], F.lit(" "), F.lower(g[1])))
+        .when(F.col("kind") == "medida", F.concat(n[0], F.lit("x"), n[1], third, F.lit(" "), F.lower(g[3])))
+        .when(F.col("kind") == "porcentaje", F.concat(n[0], F.lit(" %")))
+        .when(F.col("kind") == "dosis", F.concat(n[0], F.lit(" "), F.lower(g[1]), rhythm))
+        .when(F.col("kind") == "analito_valor", F.concat(collapse(g[0]), F.lit("="), n[1]))
+        .when(F.col("kind") == "signo_vital", F.concat(g[0], F.lit("/"), g[1]))
+        .otherwise(g[0])
+    )
+    kind = F.when(F.col("kind") == "termino", _class(g[0])).otherwise(F.col("kind"))
+    around = F.concat("before", "text", "after")
+    shown = context(around, F.length("before"), F.length("before") + F.length("text"), 28)
+    return m.select(*keys, kind.alias("class"), norm.alias("norm"), "text", shown.alias("context"), "ord", "start")
+
+
+def class_counts(found: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keys, class, n."""
+    return found.groupBy(*keys, "class").agg(F.count(F.lit(1)).alias("n"))
+
+
+def preserved_rows(found: DataFrame, most: int = 250) -> DataFrame:
+    """The matrix rows of clinical values kept as they are: the first `most` distinct ones of
+    each document, without negations and certainty, in the order of the text's values."""
+    place = F.struct("unit_seq", "ord", "start")
+    kept = found.where(~F.col("class").isin("negacion", "certeza"))
+    firsts = kept.groupBy("doc_id", "class", "norm").agg(F.min(place).alias("place"), F.min_by("text", place).alias("text"))
+    ranked = firsts.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("place")))
+    shown = clip(F.col("text"), 60)
+    return ranked.where(F.col("rank") <= most).select(
+        "doc_id", "rank", F.lit("clinico").alias("category"), F.col("class").alias("type"), F.lit("contenido").alias("layer"), shown.alias("finding_masked"), salted_hash(F.col("text")).alias("finding_hash"),
+        F.lit("preservar").alias("action"), shown.alias("result"), F.lit("dato clinico: se conserva literal").alias("motive"), F.lit("exacta").alias("clinical_integrity"),
+        F.lit("n/a").alias("residual_risk"), F.lit("").alias("path"), F.lit("alta").alias("confidence"), F.lit(False).alias("requires_review"),
+    )

@@ -1,8 +1,10 @@
-"""Detectors of identifiers: text column -> array of findings, without leaving the JVM.
+"""Detectors of identifiers: units of text -> findings.
 
-A finding has offsets in code points, and a scope: the match with its label, which decides
-overlaps. Order matters and is kept in `ord`: direct patterns, labelled values, the cell
-to the left, labelled names, titles, capitalised runs; then the indirect ones.
+Patterns are matched by `scan`; everything else is column expressions over the matches: what
+a label's value is, whether it may be a name, and which matches others rule out. A finding
+has offsets in code points, and a scope: the match with its label, which decides overlaps.
+Order matters and is kept in `ord`: direct patterns, labelled values, the cell to the left,
+labelled names, titles, capitalised runs; then the indirect ones.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velum.functions import lexicons as L
-from velum.functions.spans import add_spans, groups_of, overlaps
+from velum.functions.spans import Pattern, overlaps, scan
 from velum.functions.text import fold, let
 
 FINDING = "struct<type:string,category:string,start:int,end:int,text:string,scope_start:int,scope_end:int,confidence:string,detector:string,note:string>"
@@ -26,18 +28,18 @@ _CODE = r"([A-Z0-9][A-Z0-9.\-]{3,20}\d)"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 DIRECT = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "alta"),
-    ("url", r"(?iU)\bhttps?://[^\s<>\"')]+", "alta"),
-    ("usuario_red", r"(?U)(?<![\w@.])@[A-Za-z][A-Za-z0-9._]{2,30}\b", "media"),
-    ("ip", rf"(?U)(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d.])", "alta"),
-    ("documento_identidad", r"(?iU)\b(?:c\.?\s?c\.?|t\.?\s?i\.?|c\.?\s?e\.?|n\.?\s?i\.?t\.?|dni|nie|rut|curp|pasaporte|cedula|c[ée]dula|identificaci[oó]n|documento)" + _NUMBER + _CODE, "alta"),
-    ("historia_clinica", r"(?iU)\b(?:h\.?\s?c\.?|historia\s+cl[ií]nica|hist\.?\s*cl[ií]n\.?|nhc|mrn|expediente|folio)" + _NUMBER + _CODE, "alta"),
-    ("numero_administrativo", r"(?iU)\b(?:orden|autorizaci[oó]n|factura|remisi[oó]n|solicitud|radicado|p[oó]liza|afiliado|carn[eé]|contrato|episodio|ingreso|cama|habitaci[oó]n)" + _NUMBER + r"([A-Z]{0,4}-?[\d][\d.\-/]{2,16})", "alta"),
-    ("telefono_etiquetado", r"(?iU)\b(?:tel[eé]fono|tel|cel|celular|m[oó]vil|movil|whatsapp|contacto|fax)\s*[:#-]?\s*(\+?[\d][\d\s().\-]{6,18}\d)", "alta"),
-    ("telefono", r"(?U)(?<![\d.,/-])(?:\+\d{1,3}[\s.-]?)?3\d{2}[\s.-]?\d{3}[\s.-]?\d{4}(?![\d.,/-])", "media"),
-    ("direccion", r"(?iU)\b(?:calle|carrera|cra|kr|avenida|avda|diagonal|transversal|manzana|urbanizaci[oó]n|apartamento|apto|autopista|carretera|km|kil[oó]metro)\.?\s*(?=[\d#])[\w#\-\s.º°]{1,45}?(?=[,;\n]|\.\s|\s{2,}|\z)", "media"),
-    ("codigo_postal", r"(?iU)\b(?:c[oó]digo\s+postal|cp|zip)\s*[:#-]?\s*(\d{4,6})\b", "alta"),
-    ("firma_digital", r"(?iU)\b(?:firmado\s+(?:digitalmente\s+)?por|firma\s+electr[oó]nica|suscrito\s+por)\s*[:#-]?\s*([^\n;|]{2,60})", "alta"),
-    ("firma_digital", r"(?iU)\b(?:registro(?:\s+(?:m[eé]dico|profesional))?|r\.?\s?m\.?|m\.?\s?p\.?|matr[ií]cula\s+profesional|colegiado|tarjeta\s+profesional)\s*(?:n[oº°]\.?\s*)?[:#-]?\s*(?!m[eé]dico\b|profesional\b)([A-Z0-9][\w.\-/]{2,40})", "alta"),
+    ("url", r"(?i)\bhttps?://[^\s<>\"')]+", "alta"),
+    ("usuario_red", r"(?<![\w@.])@[A-Za-z][A-Za-z0-9._]{2,30}\b", "media"),
+    ("ip", rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d.])", "alta"),
+    ("documento_identidad", r"(?i)\b(?:c\.?\s?c\.?|t\.?\s?i\.?|c\.?\s?e\.?|n\.?\s?i\.?t\.?|dni|nie|rut|curp|pasaporte|cedula|c[ée]dula|identificaci[oó]n|documento)" + _NUMBER + _CODE, "alta"),
+    ("historia_clinica", r"(?i)\b(?:h\.?\s?c\.?|historia\s+cl[ií]nica|hist\.?\s*cl[ií]n\.?|nhc|mrn|expediente|folio)" + _NUMBER + _CODE, "alta"),
+    ("numero_administrativo", r"(?i)\b(?:orden|autorizaci[oó]n|factura|remisi[oó]n|solicitud|radicado|p[oó]liza|afiliado|carn[eé]|contrato|episodio|ingreso|cama|habitaci[oó]n)" + _NUMBER + r"([A-Z]{0,4}-?[\d][\d.\-/]{2,16})", "alta"),
+    ("telefono_etiquetado", r"(?i)\b(?:tel[eé]fono|tel|cel|celular|m[oó]vil|movil|whatsapp|contacto|fax)\s*[:#-]?\s*(\+?[\d][\d\s().\-]{6,18}\d)", "alta"),
+    ("telefono", r"(?<![\d.,/-])(?:\+\d{1,3}[\s.-]?)?3\d{2}[\s.-]?\d{3}[\s.-]?\d{4}(?![\d.,/-])", "media"),
+    ("direccion", r"(?i)\b(?:calle|carrera|cra|kr|avenida|avda|diagonal|transversal|manzana|urbanizaci[oó]n|apartamento|apto|autopista|carretera|km|kil[oó]metro)\.?\s*(?=[\d#])[\w#\-\s.º°]{1,45}?(?=[,;\n]|\.\s|\s{2,}|\Z)", "media"),
+    ("codigo_postal", r"(?i)\b(?:c[oó]digo\s+postal|cp|zip)\s*[:#-]?\s*(\d{4,6})\b", "alta"),
+    ("firma_digital", r"(?i)\b(?:firmado\s+(?:digitalmente\s+)?por|firma\s+electr[oó]nica|suscrito\s+por)\s*[:#-]?\s*([^\n;|]{2,60})", "alta"),
+    ("firma_digital", r"(?i)\b(?:registro(?:\s+(?:m[eé]dico|profesional))?|r\.?\s?m\.?|m\.?\s?p\.?|matr[ií]cula\s+profesional|colegiado|tarjeta\s+profesional)\s*(?:n[oº°]\.?\s*)?[:#-]?\s*(?!m[eé]dico\b|profesional\b)([A-Z0-9][\w.\-/]{2,40})", "alta"),
 ]
 
 # Labels before a name.
@@ -67,251 +69,206 @@ observaciones, nombre, apellidos, servicio, medico, profesional, registro, firma
 """)
 
 
-def alternation(terms) -> str:
-    return "|".join(re.escape(t).replace(r"\ ", " ") for t in L.longest_first(terms))
+_VALUE_LABEL = r"(?i)(?<![a-záéíóúñ])(" + L.alternation(VALUE_LABELS) + r")\s*[:=]\s*([^\n\t|;]{2,60})"
+_NAME_LABEL = r"(?i)(?<![a-z])(" + L.alternation(NAME_LABELS) + r")\s*[:\-]\s*([^\n\t|;]{2,70})"
+_TITLE = r"\b(?i:dr|dra|doctor|doctora|sr|sra|srta|lic|prof|enf)\.?\s+((?:[A-ZÁ-Ú][a-zá-ú]+(?:\s+(?:de|del|la|los)\s+)?\s*){1,4})"
+_CAPITALISED = r"\b[A-ZÁ-Ú][a-zá-ú]{2,}(?:\s+(?:de|del|la|las|los)\s+[A-ZÁ-Ú][a-zá-ú]{2,}|\s+[A-ZÁ-Ú][a-zá-ú]{2,}){1,3}\b"
 
-
-_VALUE_LABEL = r"(?iU)(?<![a-záéíóúñ])(" + alternation(VALUE_LABELS) + r")\s*[:=]\s*([^\n\t|;]{2,60})"
-_NAME_LABEL = r"(?iU)(?<![a-z])(" + alternation(NAME_LABELS) + r")\s*[:\-]\s*([^\n\t|;]{2,70})"
-_TITLE = r"(?U)\b(?i:dr|dra|doctor|doctora|sr|sra|srta|lic|prof|enf)\.?\s+((?:[A-ZÁ-Ú][a-zá-ú]+(?:\s+(?:de|del|la|los)\s+)?\s*){1,4})"
-_CAPITALISED = r"(?U)\b[A-ZÁ-Ú][a-zá-ú]{2,}(?:\s+(?:de|del|la|las|los)\s+[A-ZÁ-Ú][a-zá-ú]{2,}|\s+[A-ZÁ-Ú][a-zá-ú]{2,}){1,3}\b"
 _CUT = r"(?U)\s{2,}|\t|\||;|\(|\s-\s|,\s*(?=[A-ZÁ-Ú][a-zá-ú]+\s*:)"
 
 
-def clean_value(value: Column) -> Column:
-    """A label's value up to where the next field begins."""
-    return F.rtrim(F.element_at(F.split(value, _CUT, 2), 1), F.lit(" .;,:-"))
-
-
-def _bare(token: Column) -> Column:
-    return fold(F.regexp_replace(token, r"(?U)[^\wÁ-ÿ]", ""))
-
-
-def looks_clinical(value: Column) -> Column:
-    return F.exists(F.split(F.coalesce(value, F.lit("")), r"(?U)\s+"), lambda t: _bare(t).isin(*L.CLINICAL))
-
-
-def name_confidence(value: Column) -> Column:
-    """alta, media or null: whether a value may be a person's name."""
-    tokens = F.filter(F.split(value, r"(?U)\s+"), lambda t: t != "")
-    useful = F.filter(tokens, lambda t: ~fold(t).isin(*L.PARTICLES))
-
-    def judged(x: Column) -> Column:
-        bad = F.exists(x["useful"], lambda t: (_bare(t) == "") | _bare(t).isin(*L.NOT_NAMES) | t.rlike(r"(?U)\d"))
-        known = F.exists(x["useful"], lambda t: fold(t).isin(*L.GIVEN_NAMES, *L.SURNAMES))
-        n = F.size(x["useful"])
-        return F.when((F.size(x["tokens"]) > 6) | (n == 0) | bad, None).when(known & (n >= 2), "alta").when((n >= 2) | known, "media")
-
-    return let(F.struct(tokens.alias("tokens"), useful.alias("useful")), judged)
-
-
-def finding(type_, text: Column, start: Column, end: Column, confidence, category: str = "directo", note=None, scope: tuple | None = None) -> Column:
-    """A finding; its scope is its span unless given."""
-
-    def col(x) -> Column:
-        return x if isinstance(x, Column) else F.lit(x)
-
-    low, high = scope or (start, end)
-    return F.struct(
-        col(type_).alias("type"), F.lit(category).alias("category"), start.cast("int").alias("start"), end.cast("int").alias("end"),
-        text.substr(start + 1, end - start).alias("text"), F.least(low, start).cast("int").alias("scope_start"), F.greatest(high, end).cast("int").alias("scope_end"),
-        col(confidence).alias("confidence"), F.lit("directos" if category == "directo" else "indirectos").alias("detector"), F.coalesce(col(note) if note is not None else F.lit(""), F.lit("")).alias("note"),
-    )
-
-
-def _kept(found: Column) -> Column:
-    """Without nulls and without empty spans, as findings."""
-    return F.filter(found, lambda h: h.isNotNull() & (h["end"] > h["start"])).cast(FINDINGS)
-
-
-def label_type(label: Column) -> Column:
-    """The type that a label's value has; null for other labels."""
-    types = F.create_map(*(F.lit(x) for k, v in VALUE_LABELS.items() for x in (k, v)))
-    return F.try_element_at(types, F.btrim(fold(label), F.lit(" :=.-")))
-
-
-def _trim_end(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\s+\z", "")
-
-
-def _value_start(span: Column, group: str) -> Column:
-    """Where a group that ends its match begins."""
-    return span["end"] - F.length(span[group])
-
+# Ages, durations and dates.
+_AGE = r"(?i)(?<![\d.,])\d{1,3}\s*(?:anos|años|a\.?\s*de\s*edad)(?![a-z])"
+_AGE_LABEL = r"(?i)\bedad\s*[:=]\s*(\d{1,3}(?:\s*(?:anos|años))?)"
+_MONTH = "|".join(L.MONTHS)
+DATES = [
+    r"\b\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}\b",
+    r"\b\d{4}[/\-.]\d{1,2}[/\-.]\d{1,2}\b",
+    rf"(?i)\b\d{{1,2}}\s+de\s+(?:{_MONTH})\s+(?:de[l]?\s+)?\d{{4}}\b",
+    rf"(?i)\b(?:{_MONTH})\s+(?:de[l]?\s+)?\d{{4}}\b",
+]
+_BIRTH = r"(?i)\b(?:fecha\s+de\s+nacimiento|f\.?\s*nac\.?|nacid[oa]\s+el|nacimiento)\s*[:=-]?\s*([^\n\t|;]{4,30})"
+_WORK_LABEL = r"(?i)\b(?:ocupaci[oó]n|profesi[oó]n|oficio|cargo|labora\s+como|trabaja\s+como|empleo)\s*[:=]?\s*([^\n\t|;.]{3,50})"
+_WORK = r"(?<![a-z])(?:" + L.alternation(L.SECTORS) + r")(?![a-z])"
+_INSURER = r"(?<![a-z])(?:eps|ips|arl|aseguradora|seguro)?\s*(" + L.alternation(L.INSURERS) + r")(?![a-z])"
+_PLACE = r"(?<![a-z])(?:" + L.alternation({*L.REGIONS, *L.DEPARTMENTS}) + r")(?![a-z])"
 
-def _simple(text: Column, kind: str, pattern: str, confidence: str, spans: Column) -> Column:
-    def one(s: Column) -> Column:
-        start = _value_start(s, "g1") if groups_of(pattern) else s["start"]
-        return finding(kind, text, start, s["end"], confidence, scope=(s["start"], s["end"]))
 
-    return _kept(F.transform(spans, one))
+def accent_free(phrase: str) -> str:
+    """A pattern that a phrase matches with any accents and case."""
+    same = {c: c + c.upper() for c in "abcdefghijklmnopqrstuvwxyz"}
+    same |= {"a": "aáàäâãAÁÀÄÂÃ", "e": "eéèëêEÉÈËÊ", "i": "iíìïîIÍÌÏÎ", "o": "oóòöôõOÓÒÖÔÕ", "u": "uúùüûUÚÙÜÛ", "n": "nñNÑ", "c": "cçCÇ"}
+    return "".join(f"[{same[c]}]" if c in same else r"[ \t]+" if c == " " else re.escape(c) for c in phrase)
 
 
-def _labelled_values(text: Column, spans: Column) -> Column:
-    def one(s: Column) -> Column:
-        start, value, kind = _value_start(s, "g2"), clean_value(s["g2"]), label_type(s["g1"])
-        end = start + F.length(value)
-        note = F.concat(F.lit("campo '"), fold(s["g1"]), F.lit("'"))
-        return F.when(kind.isNotNull() & (value != "") & ~looks_clinical(value), finding(kind, text, start, end, "alta", note=note, scope=(s["start"], end)))
+_CAPITAL = r"(?:[A-ZÁ-Ú][\wÁ-ÿ]*|[A-ZÁ-Ú]{3,})"
+_INSTITUTION = (
+    r"(?<![a-zA-Z])(?:" + "|".join(accent_free(p) for p in sorted(L.INSTITUTIONS, key=len, reverse=True)) + r")\.?[ \t]"
+    r"((?:(?i:de|del|la|las|los|san|santa|santo)[ \t])?" + _CAPITAL + r"(?:[ \t](?:(?i:de|del|la|las|los|y)[ \t])?" + _CAPITAL + r"){0,3})"
+)
 
-    return _kept(F.transform(spans, one))
 
 
-def _labelled_cell(text: Column, label: Column) -> Column:
-    kind = label_type(label)
-    note = F.concat(F.lit("valor de la celda etiquetada '"), F.trim(fold(label)), F.lit("'"))
-    cell = F.when(kind.isNotNull() & text.rlike(r"(?U)\S") & ~looks_clinical(text), finding(kind, text, F.lit(0), F.length(_trim_end(text)), "alta", note=note))
-    return _kept(F.array(cell))
+_BEFORE = r"(?iU)(hace|desde\s+hace|durante|hace\s+ya|ultimos|últimos|previos|evoluci[oó]n\s+de|seguimiento\s+de|tratamiento\s+de|diagnosticad[oa]\s+hace)\s*\z"
+_AFTER = r"(?iU)^\s*(de\s+evoluci[oó]n|de\s+diagn[oó]stico|atr[aá]s|antes|previos|de\s+seguimiento|de\s+tratamiento)"
 
 
-def _judged(spans: Column, value) -> Column:
-    """spans with value and sure: how sure it is that the value is a name."""
-    valued = F.transform(spans, lambda s: F.struct(s.alias("s"), value(s).alias("value")))
-    return F.transform(valued, lambda x: F.struct(x["s"].alias("s"), x["value"].alias("value"), name_confidence(x["value"]).alias("sure")))
+def _patterns() -> list[Pattern]:
+    needs = {"email": "@", "usuario_red": "@", "url": "://", "firma_digital": ""}
+    out = [Pattern(kind, i, p, needs=needs.get(kind, r"\d")) for i, (kind, p, _) in enumerate(DIRECT)]
+    out += [Pattern("value_label", 20, _VALUE_LABEL, needs="[:=]"), Pattern("name_label", 22, _NAME_LABEL, needs=r"[:\-]")]
+    out += [Pattern("title", 23, _TITLE), Pattern("capitals", 24, _CAPITALISED)]
+    out += [Pattern("age", 30, _AGE, needs=r"\d"), Pattern("age_label", 31, _AGE_LABEL, needs="[:=]"), Pattern("birth", 32, _BIRTH, needs="(?i)nac")]
+    out += [Pattern("date", 33 + i, p, needs=r"\d") for i, p in enumerate(DATES)]
+    out += [Pattern("work_label", 37, _WORK_LABEL), Pattern("work", 38, _WORK, folded=True), Pattern("institution", 39, _INSTITUTION)]
+    return [*out, Pattern("insurer", 40, _INSURER, folded=True), Pattern("place", 41, _PLACE, folded=True)]
 
 
-def _labelled_names(text: Column, judged: Column) -> Column:
-    def one(x: Column) -> Column:
-        s, value = x["s"], x["value"]
-        start, label = _value_start(s, "g2"), fold(s["g1"])
-        end = start + F.length(value)
-        doubt = finding("campo_identificador_dudoso", text, start, end, "baja", note=F.concat(F.lit("etiqueta '"), label, F.lit("' con valor no clasificable")))
-        name = finding("nombre_persona", text, start, end, "alta", note=F.concat(F.lit("etiqueta: "), label), scope=(s["start"], end))
-        letters = value.rlike("[A-Za-zÁ-ÿ]") & (F.length(value) > 2)
-        return F.when(value == "", None).when(x["sure"].isNotNull(), name).when(letters, doubt)
+PATTERNS = _patterns()
+#: The whole text of a cell without white space at its end.
+CELL = Pattern("cell", 21, r"\A(?=[\s\S]*\S)[\s\S]*\S")
+#: Kinds from this place in the order on are indirect identifiers.
+_INDIRECT = 30
 
-    return _kept(F.transform(judged, one))
 
+def among(term: Column, terms) -> Column:
+    """Whether a term is one of a fixed list, as one look into one literal."""
+    return (term != "") & F.lit("|" + "|".join(sorted(terms)) + "|").contains(F.concat(F.lit("|"), term, F.lit("|")))
 
-def _titled_names(text: Column, judged: Column) -> Column:
-    def one(x: Column) -> Column:
-        s = x["s"]
-        start = _value_start(s, "g1")
-        end = start + F.length(x["value"])
-        return F.when((x["value"] != "") & x["sure"].isNotNull(), finding("nombre_profesional", text, start, end, "alta", note="precedido por tratamiento", scope=(s["start"], end)))
 
-    return _kept(F.transform(judged, one))
+def clean_value(value: Column) -> Column:
+    """A label's value up to where the next field begins."""
+    return F.rtrim(F.element_at(F.split(value, _CUT, 2), 1), F.lit(" .;,:-"))
 
 
-def _capitalised_names(text: Column, judged: Column, before: Column) -> Column:
-    def one(x: Column) -> Column:
-        s = x["s"]
-        known = finding("nombre_persona", text, s["start"], s["end"], "alta", note="coincide con lexico de nombres/apellidos")
-        maybe = finding("posible_nombre", text, s["start"], s["end"], "media", note="secuencia capitalizada sin respaldo en lexico")
-        taken = F.exists(before, lambda h: overlaps(s["start"], s["end"], h["scope_start"], h["scope_end"]))
-        return F.when(taken, None).when(x["sure"] == "alta", known).when(x["sure"].isNotNull(), maybe)
+def _bare(token: Column) -> Column:
+    return fold(F.regexp_replace(token, r"(?U)[^\wÁ-ÿ]", ""))
 
-    return _kept(F.transform(judged, one))
 
+def looks_clinical(value: Column) -> Column:
+    return F.exists(F.split(F.coalesce(value, F.lit("")), r"(?U)\s+"), lambda t: among(_bare(t), L.CLINICAL))
 
-def add_direct(df: DataFrame, text: Column, label: Column | None = None) -> DataFrame:
-    """df with _direct: all direct findings, in the order of detection."""
-    simple = {f"_x{i}": p for i, (_, p, _) in enumerate(DIRECT)}
-    extra = {"_value": _VALUE_LABEL, "_name": _NAME_LABEL, "_title": _TITLE, "_capital": _CAPITALISED}
-    df = add_spans(df, text, simple | extra)
-    df = df.withColumns({
-        "_name": _judged(F.col("_name"), lambda s: clean_value(s["g2"])),
-        "_title": _judged(F.col("_title"), lambda s: clean_value(s["g1"])),
-        "_capital": _judged(F.col("_capital"), lambda s: s["m"]),
-    })
-    parts = [_simple(text, *p, F.col(f"_x{i}")) for i, p in enumerate(DIRECT)]
-    parts.append(_labelled_values(text, F.col("_value")))
-    if label is not None:
-        parts.append(_labelled_cell(text, label))
-    parts += [_labelled_names(text, F.col("_name")), _titled_names(text, F.col("_title"))]
-    df = df.withColumn("_direct", F.concat(*parts))
-    df = df.withColumn("_direct", F.concat("_direct", _capitalised_names(text, F.col("_capital"), F.col("_direct"))))
-    return df.drop(*simple, *extra)
 
+def name_confidence(value: Column) -> Column:
+    """alta, media or null: whether a value may be a person's name."""
+    tokens = F.filter(F.split(value, r"(?U)\s+"), lambda t: t != "")
 
-# Ages, durations and dates.
-_AGE = r"(?iU)(?<![\d.,])\d{1,3}\s*(?:anos|años|a\.?\s*de\s*edad)(?![a-z])"
-_AGE_LABEL = r"(?iU)\bedad\s*[:=]\s*(\d{1,3}(?:\s*(?:anos|años))?)"
-_BEFORE = r"(?iU)(hace|desde\s+hace|durante|hace\s+ya|ultimos|últimos|previos|evoluci[oó]n\s+de|seguimiento\s+de|tratamiento\s+de|diagnosticad[oa]\s+hace)\s*\z"
-_AFTER = r"(?iU)^\s*(de\s+evoluci[oó]n|de\s+diagn[oó]stico|atr[aá]s|antes|previos|de\s+seguimiento|de\s+tratamiento)"
-_MONTH = "|".join(L.MONTHS)
-DATES = [
-    r"(?U)\b\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}\b",
-    r"(?U)\b\d{4}[/\-.]\d{1,2}[/\-.]\d{1,2}\b",
-    rf"(?iU)\b\d{{1,2}}\s+de\s+(?:{_MONTH})\s+(?:de[l]?\s+)?\d{{4}}\b",
-    rf"(?iU)\b(?:{_MONTH})\s+(?:de[l]?\s+)?\d{{4}}\b",
-]
-_BIRTH = r"(?iU)\b(?:fecha\s+de\s+nacimiento|f\.?\s*nac\.?|nacid[oa]\s+el|nacimiento)\s*[:=-]?\s*([^\n\t|;]{4,30})"
-_WORK_LABEL = r"(?iU)\b(?:ocupaci[oó]n|profesi[oó]n|oficio|cargo|labora\s+como|trabaja\s+como|empleo)\s*[:=]?\s*([^\n\t|;.]{3,50})"
-_WORK = r"(?<![a-z])(?:" + alternation(L.SECTORS) + r")(?![a-z])"
-_INSURER = r"(?U)(?<![a-z])(?:eps|ips|arl|aseguradora|seguro)?\s*(" + alternation(L.INSURERS) + r")(?![a-z])"
-_PLACE = r"(?<![a-z])(?:" + alternation({*L.REGIONS, *L.DEPARTMENTS}) + r")(?![a-z])"
+    def judged(tokens: Column) -> Column:
+        useful = F.filter(tokens, lambda t: ~among(fold(t), L.PARTICLES))
 
+        def sure(x: Column) -> Column:
+            bad = F.exists(x, lambda t: (_bare(t) == "") | among(_bare(t), L.NOT_NAMES) | t.rlike(r"(?U)\d"))
+            known = F.exists(x, lambda t: among(fold(t), (*L.GIVEN_NAMES, *L.SURNAMES)))
+            many = F.size(x) >= 2
+            return F.when((F.size(x) == 0) | bad, None).when(known & many, "alta").when(known | many, "media")
 
-def accent_free(phrase: str) -> str:
-    """A pattern that a phrase matches with any accents and case."""
-    same = {c: c + c.upper() for c in "abcdefghijklmnopqrstuvwxyz"}
-    same |= {"a": "aáàäâãAÁÀÄÂÃ", "e": "eéèëêEÉÈËÊ", "i": "iíìïîIÍÌÏÎ", "o": "oóòöôõOÓÒÖÔÕ", "u": "uúùüûUÚÙÜÛ", "n": "nñNÑ", "c": "cçCÇ"}
-    return "".join(f"[{same[c]}]" if c in same else r"[ \t]+" if c == " " else re.escape(c) for c in phrase)
+        return F.when(F.size(tokens) <= 6, let(useful, sure))
 
+    return let(tokens, judged)
 
-_CAPITAL = r"(?:[A-ZÁ-Ú][\wÁ-ÿ]*|[A-ZÁ-Ú]{3,})"
-_INSTITUTION = (
-    r"(?U)(?<![a-zA-Z])(?:" + "|".join(accent_free(p) for p in sorted(L.INSTITUTIONS, key=len, reverse=True)) + r")\.?[ \t]"
-    r"((?:(?i:de|del|la|las|los|san|santa|santo)[ \t])?" + _CAPITAL + r"(?:[ \t](?:(?i:de|del|la|las|los|y)[ \t])?" + _CAPITAL + r"){0,3})"
-)
 
+def label_type(label: Column) -> Column:
+    """The type that a label's value has; null for other labels."""
+    types = F.create_map(*(F.lit(x) for k, v in VALUE_LABELS.items() for x in (k, v)))
+    return F.try_element_at(types, F.btrim(fold(label), F.lit(" :=.-")))
 
-def _indirect(kind: str, text: Column, s: Column, confidence: str, note=None, start: Column | None = None) -> Column:
-    return finding(kind, text, s["start"] if start is None else start, s["end"], confidence, "indirecto", note)
 
+def _when(cases: dict[str, Column], otherwise=None) -> Column:
+    out = otherwise
+    for kind, value in cases.items():
+        hit = F.col("kind").isin(*kind.split())
+        out = F.when(hit, value) if out is None else F.when(hit, value).otherwise(out)
+    return out
 
-def _free(spans: Column, held: Column) -> Column:
-    return F.filter(spans, lambda s: ~F.exists(held, lambda h: overlaps(s["start"], s["end"], h["start"], h["end"])))
 
+_MAYBE_WORK = "termino de ocupacion en texto libre: puede ser un adjetivo y no la ocupacion de una persona"
+_BIRTH_NOTE = "fecha de nacimiento (cuasi-identificador fuerte)"
 
-def _age(text: Column, s: Column) -> Column:
-    first = F.greatest(F.lit(0), s["start"] - 32)
-    duration = text.substr(first + 1, s["start"] - first).rlike(_BEFORE) | text.substr(s["end"] + 1, F.lit(24)).rlike(_AFTER)
-    years = F.regexp_extract(s["m"], r"(?U)^(\d{1,3})", 1).try_cast("int")
-    return F.when(~duration & (years <= 120), _indirect("edad", text, s, "alta"))
 
+def add_finding(matches: DataFrame, label: str | None = None) -> DataFrame:
+    """matches with h: the finding that a match is taken alone, null if it is none; and with
+    rule: what else can rule it out (D: scopes of direct findings, A: ages, T: dates, I: all
+    indirect findings before it)."""
+    df = matches.withColumn("clean", _when({"value_label name_label title": clean_value(F.col("value")), "capitals cell": F.col("text")}, F.lit("")))
+    df = df.withColumn("sure", _when({"name_label title capitals": name_confidence(F.col("clean"))}, F.lit(None).cast("string")))
+    clean, sure, first = F.col("clean"), F.col("sure"), F.col("g")[0]
+    left = F.col(label) if label else F.lit(None).cast("string")
+    letters = clean.rlike("[A-Za-zÁ-ÿ]") & (F.length(clean) > 2)
+    duration = F.col("before").rlike(_BEFORE) | F.col("after").rlike(_AFTER)
+    years = F.regexp_extract("text", r"(?U)^(\d{1,3})", 1).try_cast("int")
+    next_field = among(F.btrim(F.element_at(F.split(F.trim(fold(first)), r"(?U)\s+"), 1), F.lit(":.,")), FIELD_LABELS)
+    doubtful = (F.col("kind") == "name_label") & sure.isNull()
+    type_ = _when({
+        "value_label": F.when((clean != "") & ~looks_clinical(clean), label_type(first)),
+        "cell": F.when(~looks_clinical(clean), label_type(left)),
+        "name_label": F.when(clean == "", None).when(sure.isNotNull(), "nombre_persona").when(letters, "campo_identificador_dudoso"),
+        "title": F.when((clean != "") & sure.isNotNull(), "nombre_profesional"),
+        "capitals": F.when(sure == "alta", "nombre_persona").when(sure.isNotNull(), "posible_nombre"),
+        "age": F.when(~duration & (years <= 120), "edad"), "age_label": F.lit("edad"), "birth": F.lit("fecha_nacimiento"), "date": F.lit("fecha"),
+        "work_label": F.lit("ocupacion"), "work": F.lit("posible_ocupacion"), "institution": F.when(~next_field, "institucion"),
+        "insurer": F.lit("aseguradora"), "place": F.lit("localidad"),
+    }, F.col("kind"))
+    own = _when({"capitals cell age date work institution place": F.col("start")}, F.col("value_start"))
+    stop = _when({
+        "value_label name_label title": F.col("value_start") + F.length(clean),
+        "work_label": F.col("value_start") + F.length(F.regexp_replace("value", r"(?U)^\s+|\s+\z", "")),
+        "capitals cell age age_label date work institution place": F.col("end"),
+    }, F.col("value_start") + F.length("value"))
+    wide = (F.col("ord") < _INDIRECT) & ~doubtful & ~F.col("kind").isin("capitals", "cell")
+    simple = {k: c for k, _, c in DIRECT}
+    confidence = _when({
+        **{" ".join(k for k, c in simple.items() if c == "media"): F.lit("media")},
+        "name_label": F.when(doubtful, "baja").otherwise("alta"), "capitals": F.when(sure == "alta", "alta").otherwise("media"),
+        "work": F.lit("baja"), "insurer place": F.lit("media"),
+    }, F.lit("alta"))
+    note = _when({
+        "value_label": F.concat(F.lit("campo '"), fold(first), F.lit("'")), "cell": F.concat(F.lit("valor de la celda etiquetada '"), F.trim(fold(left)), F.lit("'")),
+        "name_label": F.when(doubtful, F.concat(F.lit("etiqueta '"), fold(first), F.lit("' con valor no clasificable"))).otherwise(F.concat(F.lit("etiqueta: "), fold(first))),
+        "title": F.lit("precedido por tratamiento"), "capitals": F.when(sure == "alta", "coincide con lexico de nombres/apellidos").otherwise("secuencia capitalizada sin respaldo en lexico"),
+        "age_label": F.lit("campo edad"), "birth": F.lit(_BIRTH_NOTE), "work_label": F.lit("campo ocupacion"), "work": F.lit(_MAYBE_WORK),
+    }, F.lit(""))
+    df = df.withColumns({"_type": type_, "_from": own, "_to": stop})
+    found = F.col("text").substr(F.col("_from") - F.col("start") + 1, F.col("_to") - F.col("_from"))
+    direct = F.col("ord") < _INDIRECT
+    h = F.struct(
+        F.col("_type").alias("type"), F.when(direct, "directo").otherwise("indirecto").alias("category"), F.col("_from").alias("start"), F.col("_to").alias("end"), found.alias("text"),
+        F.when(wide, F.col("start")).otherwise(F.col("_from")).alias("scope_start"),
+        F.when(wide & F.col("kind").isin("value_label", "name_label", "title"), F.col("_to")).when(wide, F.col("end")).otherwise(F.col("_to")).alias("scope_end"),
+        confidence.alias("confidence"), F.when(direct, "directos").otherwise("indirectos").alias("detector"), F.coalesce(note, F.lit("")).alias("note"),
+    )
+    rule = _when({"capitals": F.lit("D"), "age_label": F.lit("A"), "date": F.lit("T"), "work insurer place": F.lit("I")}, F.lit(""))
+    usable = F.col("_type").isNotNull() & (F.col("_to") > F.col("_from"))
+    return df.withColumns({"h": F.when(usable, h), "rule": rule}).drop("clean", "sure", "_type", "_from", "_to")
 
-def _labelled_age(text: Column, s: Column, ages: Column) -> Column:
-    start = _value_start(s, "g1")
-    held = F.exists(ages, lambda h: (h["start"] <= start) & (start < h["end"]))
-    return F.when(~held, _indirect("edad", text, s, "alta", "campo edad", start))
 
+CANDIDATE = f"struct<ord:int,start:int,end:int,rule:string,h:{FINDING}>"
 
-def _work(text: Column, s: Column) -> Column:
-    start = _value_start(s, "g1")
-    value = F.regexp_replace(s["g1"], r"(?U)^\s+|\s+\z", "")
-    return finding("ocupacion", text, start, start + F.length(value), "alta", "indirecto", "campo ocupacion")
 
+def candidate() -> Column:
+    """What the aggregation of a unit's findings collects; null where there is no finding."""
+    return F.when(F.col("h").isNotNull(), F.struct("ord", "start", "end", "rule", "h"))
 
-def _institution(text: Column, s: Column) -> Column:
-    first = F.btrim(F.element_at(F.split(F.trim(fold(s["g1"])), r"(?U)\s+"), 1), F.lit(":.,"))
-    return F.when(~first.isin(*FIELD_LABELS), _indirect("institucion", text, s, "alta"))
 
+def without_ruled_out(candidates: Column) -> Column:
+    """The findings, in order, that none before them rules out."""
 
-_MAYBE_WORK = "termino de ocupacion en texto libre: puede ser un adjetivo y no la ocupacion de una persona"
-_BIRTH_NOTE = "fecha de nacimiento (cuasi-identificador fuerte)"
+    def step(acc: Column, c: Column) -> Column:
+        def blocks(a: Column) -> Column:
+            h = a["h"]
+            spans = overlaps(c["start"], c["end"], h["start"], h["end"])
+            indirect = h["category"] == "indirecto"
+            return (
+                F.when(c["rule"] == "D", (h["category"] == "directo") & (a["rule"] != "D") & overlaps(c["start"], c["end"], h["scope_start"], h["scope_end"]))
+                .when(c["rule"] == "A", indirect & (h["type"] == "edad") & (h["start"] <= c["h"]["start"]) & (c["h"]["start"] < h["end"]))
+                .when(c["rule"] == "T", indirect & h["type"].isin("fecha", "fecha_nacimiento") & spans)
+                .when(c["rule"] == "I", indirect & spans)
+                .otherwise(False)
+            )
 
+        return F.when(F.exists(acc, blocks), acc).otherwise(F.concat(acc, F.array(c)))
 
-def add_indirect(df: DataFrame, text: Column, folded: Column) -> DataFrame:
-    """df with _indirect: all indirect findings; later kinds skip what earlier ones hold."""
-    dates = {f"_date{i}": p for i, p in enumerate(DATES)}
-    shown = {"_age": _AGE, "_age_label": _AGE_LABEL, "_birth": _BIRTH, **dates, "_work_label": _WORK_LABEL, "_inst": _INSTITUTION}
-    hidden = {"_work": _WORK, "_insurer": _INSURER, "_place": _PLACE}
-    df = add_spans(add_spans(df, text, shown), folded, hidden)
-    ages = F.col("_indirect")
-    df = df.withColumn("_indirect", _kept(F.transform("_age", lambda s: _age(text, s))))
-    df = df.withColumn("_indirect", F.concat(ages, _kept(F.transform("_age_label", lambda s: _labelled_age(text, s, ages)))))
-    df = df.withColumn("_dates", _kept(F.transform("_birth", lambda s: _indirect("fecha_nacimiento", text, s, "alta", _BIRTH_NOTE, _value_start(s, "g1")))))
-    for name in dates:
-        df = df.withColumn("_dates", F.concat("_dates", _kept(F.transform(_free(F.col(name), F.col("_dates")), lambda s: _indirect("fecha", text, s, "alta")))))
-    df = df.withColumn("_indirect", F.concat("_indirect", "_dates", _kept(F.transform("_work_label", lambda s: _work(text, s)))))
-    held = F.col("_indirect")
-    df = df.withColumn("_indirect", F.concat(held, _kept(F.transform(_free(F.col("_work"), held), lambda s: _indirect("posible_ocupacion", text, s, "baja", _MAYBE_WORK)))))
-    df = df.withColumn("_indirect", F.concat(held, _kept(F.transform("_inst", lambda s: _institution(text, s)))))
-    df = df.withColumn("_indirect", F.concat(held, _kept(F.transform(_free(F.col("_insurer"), held), lambda s: _indirect("aseguradora", text, s, "media", start=_value_start(s, "g1"))))))
-    df = df.withColumn("_indirect", F.concat(held, _kept(F.transform(_free(F.col("_place"), held), lambda s: _indirect("localidad", text, s, "media")))))
-    return df.drop(*shown, *hidden, "_dates")
+    kept = F.aggregate(F.array_sort(candidates), F.array().cast(f"array<{CANDIDATE}>"), step)
+    return F.transform(kept, lambda c: c["h"])
 
 
 # Which kind wins where scopes overlap; lower wins.
@@ -342,13 +299,14 @@ def resolve(findings: Column) -> Column:
     return F.transform(by_place, lambda x: x["h"])
 
 
+
 def detect(units: DataFrame, text: str = "text", previous_label: str | None = None) -> DataFrame:
-    """units with findings: the resolved array of each row; no shuffle.
+    """The findings of units (doc_id, unit_seq, text), one row each, resolved: overlapping
+    scopes leave one finding. Null text has none.
 
-    Null text has no findings. previous_label: a column with the text of the cell to the left.
+    previous_label: a column with the text of the cell to the left.
     """
-    df = units.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumn("_folded", fold(F.col("_text")))
-    df = add_direct(df, F.col("_text"), F.col(previous_label) if previous_label else None)
-    df = add_indirect(df, F.col("_text"), F.col("_folded"))
-    return df.withColumn("findings", resolve(F.concat("_direct", "_indirect"))).drop("_text", "_folded", "_direct", "_indirect")
+    keys = ["doc_id", "unit_seq", *([previous_label] if previous_label else [])]
+    matches = add_finding(scan(units, [*PATTERNS, *([CELL] if previous_label else [])], keys, text), previous_label)
+    found = matches.where("h is not null").groupBy("doc_id", "unit_seq").agg(F.collect_list(candidate()).alias("c"))
+    return found.select("doc_id", "unit_seq", F.posexplode(resolve(without_ruled_out(F.col("c")))).alias("ord", "h")).select("doc_id", "unit_seq", "ord", "h.*")

@@ -1,6 +1,7 @@
 """What happens to each finding, for a purpose: remove, replace, generalise, keep or mark.
 
-Works on exploded findings (doc_id, unit_seq, type, start, end, text, note, ...). What depends
+Works on findings (doc_id, unit_seq, layer, path, editable, protected, ord, type, start, end, text,
+note, ...). What depends
 on the whole document (pseudonyms, relative days) is a window over doc_id.
 """
 
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 from velum.functions import lexicons as L
 from velum.functions.text import age_band, clip, mask, normalise, parse_date, salted_hash
 from velum.operators.clinical import clash
-from velum.operators.detect import FINDINGS
 
 
 @dataclass(frozen=True)
@@ -134,13 +134,6 @@ def _decision(p: Purpose, aggressive: bool) -> Column:
     )
 
 
-def explode_findings(units: DataFrame) -> DataFrame:
-    """A row for each finding of units (doc_id, unit_seq, layer, path, editable, protected, findings)."""
-    return units.select("doc_id", "unit_seq", "layer", "path", "editable", "protected", F.posexplode(F.col("findings").cast(FINDINGS)).alias("ord", "h")).select(
-        "doc_id", "unit_seq", "layer", "path", "editable", "protected", "ord", "h.*"
-    )
-
-
 def decide(findings: DataFrame, purpose: str = "educacion", aggressive: bool = False, dropped_layers: tuple[str, ...] = ()) -> DataFrame:
     """findings with action, result, reason, review, integrity and applied.
 
