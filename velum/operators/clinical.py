@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from velum.functions import lexicons as L
 from velum.functions.spans import Pattern, overlaps, scan
 from velum.functions.text import canonical_number, clip, collapse, context, fold, salted_hash
-from velum.operators.detect import among
+from velum.operators.detect import OTHERS, among
 
 _NUM = r"\d+(?:[.,]\d+)?"
 # Patterns over folded text.
@@ -33,10 +33,8 @@ CLASSES = {
 }
 #: The order of values within a text: class by class.
 _VALUE_ORDER = ("numero_unidad", "medida", "porcentaje", "dosis", "analito_valor", "signo_vital", "termino", "negacion")
-#: Clinical kinds come behind the identifiers in the order of a common scan.
-FIRST = 100
 _NEEDS = dict.fromkeys(("numero_unidad", "medida", "dosis", "porcentaje", "analito_valor", "signo_vital"), r"\d")
-VALUES = [Pattern(k, FIRST + i, _REGEX[k], folded=True, needs=_NEEDS.get(k, "")) for i, k in enumerate(_VALUE_ORDER)]
+VALUES = [Pattern(k, OTHERS + i, _REGEX[k], folded=True, needs=_NEEDS.get(k, "")) for i, k in enumerate(_VALUE_ORDER)]
 GUARDS = [p for p in VALUES if p.kind in REASONS]
 
 

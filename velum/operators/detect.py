@@ -127,8 +127,8 @@ def _patterns() -> list[Pattern]:
 PATTERNS = _patterns()
 #: The whole text of a cell without white space at its end.
 CELL = Pattern("cell", 21, r"\A(?=[\s\S]*\S)[\s\S]*\S")
-#: Kinds from this place in the order on are indirect identifiers.
-_INDIRECT = 30
+#: Kinds from these places in the order on are indirect identifiers, and none at all.
+_INDIRECT, OTHERS = 30, 100
 
 
 def among(term: Column, terms) -> Column:
@@ -237,7 +237,7 @@ def add_finding(matches: DataFrame, label: str | None = None) -> DataFrame:
         confidence.alias("confidence"), F.when(direct, "directos").otherwise("indirectos").alias("detector"), F.coalesce(note, F.lit("")).alias("note"),
     )
     rule = _when({"capitals": F.lit("D"), "age_label": F.lit("A"), "date": F.lit("T"), "work insurer place": F.lit("I")}, F.lit(""))
-    usable = F.col("_type").isNotNull() & (F.col("_to") > F.col("_from"))
+    usable = F.col("_type").isNotNull() & (F.col("ord") < OTHERS) & (F.col("_to") > F.col("_from"))
     return df.withColumns({"h": F.when(usable, h), "rule": rule}).drop("clean", "sure", "_type", "_from", "_to")
 
 

@@ -140,12 +140,20 @@ def decide(findings: DataFrame, purpose: str = "educacion", aggressive: bool = F
     A change that would touch protected clinical content is blocked, but has used its
     pseudonym. In layers that cannot be rewritten a change is a mark, or the layer goes.
     """
-    df = relative_days(pseudonyms(findings, aggressive)).withColumn("_c", _decision(PURPOSES[purpose], aggressive))
-    df = df.withColumn("_clash", F.when(F.col("_c.action").isin(*CHANGES), clash(F.col("start"), F.col("end"), F.col("protected"))))
-    changes, free = F.col("_c.action").isin(*CHANGES), F.col("_clash").isNull()
+    return decide_for(findings, (purpose,), aggressive, dropped_layers).drop("purpose")
+
+
+def decide_for(findings: DataFrame, purposes: tuple[str, ...] = tuple(PURPOSES), aggressive: bool = False, dropped_layers: tuple[str, ...] = ()) -> DataFrame:
+    """As decide, for several purposes: each finding once for each, with a column purpose."""
+    df = relative_days(pseudonyms(findings, aggressive))
+    for_each = F.explode(F.array(*(F.struct(F.lit(p).alias("purpose"), _decision(PURPOSES[p], aggressive).alias("c")) for p in purposes)))
+    df = df.withColumn("_p", for_each).withColumns({"purpose": F.col("_p.purpose"), "_c": F.col("_p.c")}).drop("_p")
+    changes = F.col("_c.action").isin(*CHANGES)
+    df = df.withColumn("_clash", F.when(changes, clash(F.col("start"), F.col("end"), F.col("protected"))))
+    free, dropped = F.col("_clash").isNull(), F.col("layer").isin(*dropped_layers) if dropped_layers else F.lit(False)
     rewritten = changes & free & F.col("editable")
-    gone = changes & free & ~F.col("editable") & F.col("layer").isin(*dropped_layers)
-    only_marked = changes & free & ~F.col("editable") & ~F.col("layer").isin(*dropped_layers)
+    gone = changes & free & ~F.col("editable") & dropped
+    only_marked = changes & free & ~F.col("editable") & ~dropped
     layer_gone = F.concat(F.lit("(la capa '"), "layer", F.lit("' no se copia al archivo reconstruido)"))
     blocked = F.concat(F.lit("la transformacion habria alterado informacion clinica ("), "_clash", F.lit(")"))
     df = df.withColumns({
