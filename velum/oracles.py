@@ -207,8 +207,8 @@ UNION ALL SELECT {K}, 'dosis', {_X} || ' g', '850 mg', 1 FROM orders WHERE {_GON
 SQL["unsupported_content"] = f"""
 SELECT {K} AS doc_id, CAST({_MORE} AS INT) + CAST({_NEW} AS INT) AS n_sentences, 2 * CAST({_MORE} AS INT) + 3 * CAST({_NEW} AS INT) AS n_values FROM orders WHERE {_MORE} OR {_NEW}
 """
-#: The last age of a band stands in the band's text as a whole word, and `8 anos` in every note.
-_AGAIN = f"({_AGE} = 8 OR {_AGE} % 10 = 9 AND {_AGE} < 90)"
+#: The last age of a band stands in the band's text as a whole word, `8 anos` in every note, and `90 anos` in its band.
+_AGAIN = f"({_AGE} IN (8, 90) OR {_AGE} % 10 = 9 AND {_AGE} < 90)"
 SQL["adversarial_leaks"] = f"""
 WITH o AS (SELECT {K} AS doc_id, CAST({K} % 17 = 0 AS INT) + CAST({_AGAIN} AS INT) AS n_leaks, CAST({K} % 5 = 0 AS INT) AS n_residual FROM orders)
 SELECT doc_id, n_leaks, n_residual, 0 AS n_metadata, CASE WHEN n_leaks > 0 THEN 'FAIL' WHEN n_residual > 0 THEN 'REVISAR' ELSE 'PASS' END AS verdict FROM o
