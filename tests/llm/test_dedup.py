@@ -77,6 +77,28 @@ def test_near_duplicates_as_brute_force(spark):
     assert weighted_minhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_with_shared_passages(spark):
+    # a passage in every document, and own words that pair two of them: many pairs meet in the passage's buckets only
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    passage = [word() for _ in range(300)]
+    texts = []
+    for _ in range(150):
+        own = [word() for _ in range(44)]
+        texts += [" ".join(passage + own), " ".join(passage + own[:22] + [word() for _ in range(22)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    weights = weighted_minhash.shingle_weights(*weighted_minhash.document_frequencies(docs))
+    sets = []
+    for i, j, doc, h, tf in weighted_minhash.shingles(pa.array(texts, pa.string())):
+        sets += [(h[doc == d], weights[h[doc == d] >> np.uint64(64 - weighted_minhash.DF_BITS)].astype(float) * tf[doc == d]) for d in range(j - i)]
+    near = [(a, b) for a in range(len(texts)) for b in range(a) if weighted_minhash.weighted_jaccard(sets[a], sets[b]) >= 0.8]
+    assert near == [(2 * k + 1, 2 * k) for k in range(150)]
+    got = {r.doc_id: r.class_id for r in weighted_minhash.near_duplicates(docs).collect()}
+    assert sum(got[a] == got[b] for a, b in near) >= 149 and len(set(got.values())) >= 150
+
+
 def _removed(texts, window):
     words = [(t or "").split() for t in texts]
     seen = {}
