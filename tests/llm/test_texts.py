@@ -76,6 +76,36 @@ def test_licences(spark):
     assert [(r.licences, r.n_sentences) for r in got.collect()] == [(["MIT"], 3), ([], 3), ([], 0), ([], 0), (["MIT"], 2)]
 
 
+def test_wrapped_licences(spark):
+    import textwrap
+
+    mit = ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+           "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+           "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."]
+    bsd = ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+           "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+           "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."]
+    isc = ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."]
+    gpl = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    hope = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."
+    mpl = ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."]
+    whole = [("MIT", mit, 3), ("BSD-2-Clause", bsd, 3), ("ISC", isc, 1), ("GPL-2.0-or-later", [gpl.format(";", ";", 2), hope], 2), ("GPL-3.0-or-later", [gpl.format(":", ",", 3), hope], 2), ("MPL-2.0", mpl, 1)]
+    rows, want = [], []
+    for name, paragraphs, n in whole:
+        for width in (9999, 80, 70, 33):
+            for mark in ("", "# ", " * ", "// "):
+                lines = [f"{mark}Copyright 2020 A. Person", mark.rstrip()]
+                for x in paragraphs:
+                    lines += [*textwrap.wrap(x, width, initial_indent=mark, subsequent_indent=mark), mark.rstrip()]
+                rows += [("\n".join(lines) + "\n",), ("\r\n".join(lines),)]
+                want += [([name], n)] * 2
+    # not over blank lines, and not within other words
+    rows += [(mpl[0].replace("Mozilla ", "Mozilla\n\n"),), ("unreleased under the MIT license.",), ("They say it is released under the MIT license.",)]
+    want += [([], 0)] * 3
+    got = licences.scan(spark.createDataFrame([(i, t) for i, (t,) in enumerate(rows)], "i long, text string")).orderBy("i").collect()
+    assert [(r.licences, r.n_sentences) for r in got] == want
+
+
 def test_languages_held_out(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     model = langid.fit_folds(table)

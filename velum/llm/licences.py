@@ -1,9 +1,11 @@
 """Licence recognition by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences; each is normalised (lower case, runs of other characters
-than letters and digits as one space) and looked up among known licence sentences. The
-identifiers found, in order, are matched against ordered rules: a rule holds if its
-identifiers occur in that order, with any other sentences between them.
+A text is cut into pieces behind . ! ? ; : before white space, and at line feeds; all is
+normalised (lower case, runs of other characters than letters and digits as one space). A
+known licence sentence is found where it equals a run of whole pieces, so neither wrapped
+lines, with or without comment marks, nor a cut within it matter; lines without a letter or
+digit end every run. The identifiers found, in order, are matched against ordered rules: a
+rule holds if its identifiers occur in that order, with any other sentences between them.
 
 Texts without any keyword are not cut at all; every known sentence holds a keyword, so
 this changes no result. Everything happens within a row: no shuffle.
@@ -72,10 +74,23 @@ KEYWORDS = ("licen", "permi", "warrant", "redistribut", "endorse")
 MARK = "\u0001"
 
 
+#: Stands for lines without a letter or digit.
+PARAGRAPH = "\u0002"
+#: Known sentences between two cuts, cut or not between their words; of those that begin alike the shortest comes first.
+_KNOWN = "|".join(s.replace(" ", f"[ {MARK}]+") for s in sorted(SENTENCES.values(), key=len))
+_FOUND = f"[{MARK}{PARAGRAPH}] *({_KNOWN})(?= *[{MARK}{PARAGRAPH}])"
+
+
 def sentences(text: Column) -> Column:
-    """The normalised sentences: cut behind . ! ? ; : before white space, and at line feeds."""
-    cut = F.split(F.regexp_replace(text, r"([.!?;:])\s+|\n+", "$1" + MARK), MARK)
-    return F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " ")))
+    """The known sentences that the text holds, normalised, in order."""
+    cut = F.regexp_replace(text, f"[{MARK}{PARAGRAPH}]", " ")
+    cut = F.regexp_replace(cut, r"\n[^\p{L}\p{N}\n]*(?:\n[^\p{L}\p{N}\n]*)*\n", PARAGRAPH)
+    cut = F.regexp_replace(cut, r"([.!?;:])\s+|\n", "$1" + MARK)
+    plain = F.regexp_replace(F.lower(cut), rf"[^\p{{L}}\p{{N}}{MARK}{PARAGRAPH}]+", " ")
+    # lines and cuts without a word in between are one cut
+    plain = F.regexp_replace(F.concat(F.lit(MARK), plain, F.lit(MARK)), f"{MARK}[ {MARK}]*", MARK)
+    found = F.regexp_extract_all(plain, F.lit(_FOUND), F.lit(1))
+    return F.transform(found, lambda s: F.regexp_replace(s, f"[ {MARK}]+", " "))
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
