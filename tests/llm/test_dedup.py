@@ -134,3 +134,32 @@ def test_overlaps_with_items(spark):
     assert got == {0: [1], 1: [0], 2: [2], 3: [], 4: [], 5: [], 6: []}
     assert sorted(r.doc_id for r in decontaminate.clean(docs.drop("hits"), bench).collect()) == [3, 4, 5, 6]
     assert decontaminate.clean(docs, bench.limit(0)).count() == 7 and decontaminate.flag(docs.limit(0), bench).count() == 0
+
+
+def test_seeds_cover_what_is_accepted():
+    # every set of substitutions in items of 5 to 13 words, and random ones in longer items, against the rule itself
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    for n in [*range(5, 14), 15, 17, 30]:
+        item = [f"w{n}x{k}" for k in range(n)]
+        masks = range(1 << n) if n <= 12 else [sum((rng.random() < 0.75) << k for k in range(n)) for _ in range(3000)]
+        same = [[m >> k & 1 for k in range(n)] for m in masks]
+        texts = ["a b " + " ".join(w if s else "other" for w, s in zip(item, row, strict=True)) + " c" for row in same]
+        want = {}
+        for d, row in enumerate(same):
+            best, at, low, low_at, total = 0, (0, 0), 0, 0, 0
+            for k, x in enumerate(row):
+                total += 1 if x else -2
+                if total - low > best:
+                    best, at = total - low, (low_at, k + 1)
+                if total < low:
+                    low, low_at = total, k + 1
+            matched = sum(row[at[0] : at[1]])
+            if matched >= min(12, math.ceil(0.8 * n)):
+                want[d] = [(5, 2 + at[0], at[1] - at[0], matched)]
+        seeds = decontaminate.Seeds([(5, " ".join(item)), (6, "a b c")])
+        got = {}
+        for i, _, words in decontaminate._tokens(pa.array(texts)):
+            got |= {i + d: h for d, h in seeds.hits(words).items()}
+        assert len(want) > 2 and got == want

@@ -1,18 +1,20 @@
-"""Overlaps of training documents with test items by spaced-seed hashing.
+"""Overlaps of training documents with test items by seed hashing.
 
-Words are lower-cased runs of letters and digits. Fixed masks look at some of SPAN
-consecutive words and ignore the rest, so a substituted word spoils few seeds. Every
-position of every document is hashed under every mask and joined with the hashed
+Words are lower-cased runs of letters and digits. Every position of every document is
+hashed under every mask (some of its consecutive words) and joined with the hashed
 positions of the test items. Around each hit, the item is laid over the document at
 that offset, and the best run (a match counts 1, a mismatch -2) is measured; it is an
 overlap if it holds WORDS matches, or SHARE of the words of a shorter item.
 
+The masks miss nothing that this accepts: without three matches in line no run gains more
+than 2, and the first such is the best, of 2 matches; an overlap has 4 at least.
+
 The test set is the small side, but its size is checked, not assumed: it is dealt
 into blocks of about BLOCK_BYTES, each block is broadcast and all documents are joined
 with it. Documents are never shuffled and every one is read whole.
 
 Edge cases: null and empty texts have no hits; items of fewer than LEAST words are
-never matched, items shorter than SPAN are matched by masks of their whole length;
+never matched;
 items that repeat give a hit each; an empty table on either side gives no hits; extra
 columns stay, but `hits` is replaced.
 """
@@ -31,9 +33,10 @@ from pyspark.sql import types as T
 
 from velum.llm.common import NOT_WORD, Words, chunks, mix, utf8
 
-#: Weight 8 of 12 words each.
-MASKS = ("111010110011", "110110011101", "101101111001")
-SPAN, WORDS, SHARE, LEAST = 12, 12, 0.8, 5
+MASKS = ("111",)
+WORDS, SHARE, LEAST = 12, 0.8, 5
+#: Words of items laid over documents at a time.
+CELLS = 1 << 20
 BLOCK_BYTES = 8 << 20
 
 _FACTORS = np.random.default_rng(11).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -64,10 +67,12 @@ class Seeds:
         self.words: list[np.ndarray] = []
         for _, _, w in _tokens(pa.array([t for _, t in items], pa.string())):
             self.words += [w.hashes[a:b] for a, b in zip(w.first, w.first[1:], strict=False)]
-        lengths = {len(w) for w in self.words}
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
+        self.first = np.cumsum(self.lengths) - self.lengths
+        self.all = np.concatenate([*self.words, np.zeros(1, np.uint64)])
         self.tables = []
-        for mask in (*MASKS, *("1" * n for n in range(LEAST, SPAN) if n in lengths)):
-            of = [i for i, w in enumerate(self.words) if (len(w) == len(mask) if len(mask) < SPAN else len(w) >= SPAN)]
+        for mask in MASKS:
+            of = [i for i, w in enumerate(self.words) if len(w) >= max(LEAST, len(mask))]
             found = [_seeds(self.words[i], mask) for i in of]
             if not found:
                 continue
@@ -83,7 +88,7 @@ class Seeds:
     def hits(self, words: Words) -> dict[int, list[tuple[int, int, int, int]]]:
         """By document: (item, start, words, matched), the best run of each item."""
         n, end = len(words.hashes), words.doc_end()
-        laid = set()
+        laid = [np.zeros((0, 3), np.int64)]
         for mask, seed, item, at, bits in self.tables:
             if n < len(mask):
                 continue
@@ -91,28 +96,48 @@ class Seeds:
             p = np.flatnonzero(bits[mine >> np.uint64(44)])
             p = p[p + len(mask) <= end[p]]
             low, high = np.searchsorted(seed, mine[p], "left"), np.searchsorted(seed, mine[p], "right")
-            count = high - low
-            where = np.repeat(p, count)
-            k = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            laid.update(zip((where - at[k]).tolist(), item[k].tolist(), (np.searchsorted(words.first, where, "right") - 1).tolist(), strict=True))
+            i = 0
+            while i < len(p):  # a word triple may stand in very many items
+                upto = np.cumsum((high - low)[i:])
+                j = i + max(1, int(np.searchsorted(upto, CELLS, "right")))
+                count = (high - low)[i:j]
+                where = np.repeat(p[i:j], count)
+                k = np.repeat(low[i:j] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                doc = np.searchsorted(words.first, where, "right") - 1
+                laid.append(self.overlaps(words, np.unique(np.stack([where - at[k], item[k], doc], 1), axis=0)))
+                i = j
         out: dict[int, dict[int, tuple[int, int, int]]] = {}
-        for offset, item, doc in sorted(laid):
-            run = self.overlap(words.hashes, offset, item, int(words.first[doc]), int(words.first[doc + 1]))
-            if run and run[2] > out.setdefault(doc, {}).get(item, (0, 0, 0))[2]:
-                out[doc][item] = (run[0] - int(words.first[doc]), run[1], run[2])
+        for _, item, doc, start, length, matched in sorted({tuple(r) for x in laid[1:] for r in x.tolist()}):
+            if matched > out.setdefault(doc, {}).get(item, (0, 0, 0))[2]:
+                out[doc][item] = (start - int(words.first[doc]), length, matched)
         return {d: [(self.ids[i], *r) for i, r in sorted(runs.items())] for d, runs in out.items()}
 
-    def overlap(self, h: np.ndarray, offset: int, item: int, first: int, end: int) -> tuple[int, int, int] | None:
-        """Start, words and matches of the best run of the item laid at offset."""
-        w = self.words[item]
-        lo, hi = max(offset, first), min(offset + len(w), end)
-        same = h[lo:hi] == w[lo - offset : hi - offset]
-        sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-        gain = sums - np.minimum.accumulate(sums)
-        b = int(gain.argmax())
-        a = int(sums[: b + 1].argmin()) if b else 0
-        matched = int(same[a:b].sum())
-        return (lo + a, b - a, matched) if matched >= min(WORDS, math.ceil(SHARE * len(w))) else None
+    def overlaps(self, words: Words, laid: np.ndarray) -> np.ndarray:
+        """Of rows (offset, item, doc): offset, item, doc, start, words, matches of the best
+        run of the item laid at offset, where it is an overlap."""
+        found = [np.zeros((0, 6), np.int64)]
+        laid = laid[np.argsort(self.lengths[laid[:, 1]], kind="stable")]
+        length = self.lengths[laid[:, 1]]
+        i = 0
+        while i < len(laid):
+            long = int(length[i])
+            j = min(int(np.searchsorted(length, long, "right")), i + max(1, CELLS // long))
+            offset, item, doc = laid[i:j].T
+            at = offset[:, None] + np.arange(long)
+            same = (at >= words.first[doc][:, None]) & (at < words.first[doc + 1][:, None])
+            same &= words.hashes[np.clip(at, 0, len(words.hashes) - 1)] == self.all[self.first[item][:, None] + np.arange(long)]
+            sums = np.zeros((j - i, long + 1), np.int32)
+            np.cumsum(np.where(same, 1, -2), axis=1, out=sums[:, 1:])
+            least = np.minimum.accumulate(sums, axis=1)
+            b = (sums - least).argmax(axis=1)
+            rows = np.arange(j - i)
+            a = (sums == least[rows, b][:, None]).argmax(axis=1)
+            # a run of n words that gains g has (g + 2 n) / 3 matches
+            matched = (sums[rows, b] - sums[rows, a] + 2 * (b - a)) // 3
+            ok = matched >= min(WORDS, math.ceil(SHARE * long))
+            found.append(np.stack([offset, item, doc, offset + a, b - a, matched], 1)[ok])
+            i = j
+        return np.concatenate(found)
 
 
 def flag(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
