@@ -108,3 +108,12 @@ def test_clinical_values(spark):
 def test_merge_intervals(spark):
     df = spark.createDataFrame([(1, 0, 5), (1, 5, 7), (1, 9, 9), (1, 1, 2), (2, 0, 1)], "k int, start long, end long")
     assert sorted(map(tuple, merge_intervals(df, ["k"]).collect())) == [(1, 0, 7, 3), (1, 9, 9, 1), (2, 0, 1, 1)]
+
+
+def test_conversations_are_read_whole(spark, tmp_path):
+    from velum import queries
+
+    rows = [(1, 0, "user", "Mi correo es ana@uno.org y el de casa eva@dos.org"), (1, 1, "assistant", "Entonces escribo a ana@uno.org desde 70.23.22.9"), (1, 2, None, "luz@tres.org"), (2, 0, "user", None), (3, 0, "assistant", "nada")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.doc_id, r.type): (r.n, r.n_distinct) for r in queries.QUERIES["conversation_findings"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "email"): (5, 4), (1, "ip"): (1, 1), (2, "email"): (1, 1)}

@@ -103,10 +103,11 @@ def note_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def conversation_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as units: how many findings each conversation has, with an address put into each
-    turn of a user."""
-    turns = _table(spark, sf_dir, "conversations").where("role = 'user'")
-    text = F.concat(F.lit("Escriba a u"), F.col("conv_id").cast("string"), F.lit("@example.org. "))
+    """Turns as units, whole and of all roles: how many findings each conversation has, with an
+    address put behind each turn of a user."""
+    turns = _table(spark, sf_dir, "conversations")
+    address = F.concat(F.lit("\nEscriba a u"), F.col("conv_id").cast("string"), F.lit("@example.org. "))
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("role") == "user", address).otherwise(F.lit("")))
     units = turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("unit_seq"), text.alias("text"))
     return detect.detect(units).groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("n_distinct"))
 
