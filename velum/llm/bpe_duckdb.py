@@ -19,7 +19,6 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
-from functools import cache
 from itertools import chain
 
 import duckdb
@@ -31,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from velum.llm.segments import PATTERN, Cache, Known, encode as encode_texts, give_back, raw, stem
+from velum.llm.common import give_back, held
+from velum.llm.segments import PATTERN, Cache, Known, encode as encode_texts, raw, stem
 
 #: Bytes of a word from which a heap takes the place of the recursive query.
 LONG = 256
@@ -197,10 +197,9 @@ class Coder:
         return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(cuts), data])
 
 
-@cache
 def coder(vocabulary: str) -> Coder:
-    """One for each worker and vocabulary."""
-    return Coder(read_ranks(vocabulary))
+    """This worker's, until it holds something else."""
+    return held((Coder, vocabulary), lambda: Coder(read_ranks(vocabulary)))
 
 
 def encode(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, ids: str = "ids", decoded: str | None = None) -> DataFrame:

@@ -3,9 +3,12 @@ words and word n-grams in numpy, connected components."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +21,14 @@ from pyspark.sql import functions as F
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset (tests, a laptop) a temporary folder is made.
+    Only a local session that names none (tests, a laptop) gets a temporary folder; on a
+    cluster executors would not see it, so there it is an error.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="velum-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -32,11 +38,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared scratch folder and read it again.
 
     Cuts the lineage; a lost executor costs nothing afterwards. The folder is
-    new for every call and stays until the scratch space is cleaned.
+    new for every call; it stays until discard() or until the scratch space is cleaned.
     """
     path = f"{scratch_dir(df.sparkSession)}/velum/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that no later result reads."""
+    for df in tables:
+        jvm, path = df.sparkSession._jvm, df.__dict__["_scratch_path"]
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores before those that a column has already."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def row_key(*cols: str) -> list[Column]:
@@ -48,6 +76,35 @@ def row_key(*cols: str) -> list[Column]:
     return [F.xxhash64(*cols).alias("k1"), F.hash(*cols).alias("k2")]
 
 
+# -------------------------------------------------------------- Python workers
+
+_held: dict = {}
+
+
+def held(key: object, build: Callable[[], object]) -> object:
+    """What build() makes, kept in this Python worker for later tasks. One key is kept, so
+    what the stages of a job keep does not add up in a worker that serves them all."""
+    if key not in _held:
+        let_go()
+        _held[key] = build()
+    return _held[key]
+
+
+def let_go() -> None:
+    """Drop what earlier tasks kept, before this worker takes memory for another purpose."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # ----------------------------------------------------------------- numpy: text
 
 #: The separators of `[^\x20\x09-\x0D]+`.
@@ -117,7 +174,27 @@ class Words:
         self.starts = np.flatnonzero(begins)
         self.ends = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        self.hashes = _range_hash(data.astype(np.uint64) + np.uint64(1), _P, self.starts, self.ends)
+        self.hashes = self._word_hashes()
+
+    def _word_hashes(self) -> np.ndarray:
+        """64 bits of each word: a sum over its bytes of what each byte stands for at its place.
+
+        Eight bytes at a time, each block mixed with its place in the word. A polynomial
+        modulo 2 ** 64 would give some long words equal hashes whatever its base.
+        """
+        lengths = self.ends - self.starts
+        blocks = (lengths + 7) >> 3
+        first = np.cumsum(blocks) - blocks
+        word = np.repeat(np.arange(len(lengths)), blocks)
+        place = np.arange(len(word)) - first[word]
+        at = self.starts[word] + 8 * place
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        block = np.lib.stride_tricks.sliding_window_view(padded, 8)[at].view("<u8").ravel()
+        left = np.minimum(lengths[word] - 8 * place, 8).astype(np.uint64)
+        block = block & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * left))
+        block = mix(mix(block ^ (place.astype(np.uint64) * _P)) + left + place.astype(np.uint64) * _Q)
+        sums = np.add.reduceat(block, first) if len(first) else block
+        return mix(sums + lengths.astype(np.uint64))
 
     @property
     def counts(self) -> np.ndarray:

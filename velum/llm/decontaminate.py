@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from velum.llm.common import NOT_WORD, Words, chunks, mix, utf8
+from velum.llm.common import NOT_WORD, Words, chunks, let_go, mix, utf8
 
 MASKS = ("111",)
 WORDS, SHARE, LEAST = 12, 0.8, 5
@@ -44,6 +44,7 @@ HIT = "array<struct<item_id:bigint,start:int,words:int,matched:int>>"
 
 
 def _tokens(texts: pa.Array) -> Iterator[tuple[int, int, Words]]:
+    let_go()
     lower = pc.utf8_lower(texts.cast(pa.large_string()).fill_null(""))
     for i, j, data, offsets in chunks(*utf8(lower)):
         yield i, j, Words(data, offsets, NOT_WORD)

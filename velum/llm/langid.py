@@ -2,16 +2,18 @@
 
 Texts become TF-IDF vectors of hashed letter trigrams (bytes of the lower-cased
 text, runs of other characters as one space), scaled to length 1. For each
-language, spherical k-means over a bounded sample of labelled rows gives
+language, spherical k-means over a bounded sample of labelled texts gives
 CENTROIDS centroids; a text takes the language of the centroid with the greatest
 cosine, and is rejected where that cosine is under SLACK times the least cosine that
 the centroid's own sample rows had (their 1 % quantile).
 
-The classifier is fitted on about PER_LANGUAGE labelled rows of each language, those
-with the smallest hash; prediction reads every text whole, row by row, without a
-shuffle.
+The centroids are fitted on at most PER_LANGUAGE different labelled texts of each
+language, those with the smallest hash, so a text that repeats counts once; document
+frequencies are counted over all labelled rows. Prediction reads every text whole, row by
+row, without a shuffle.
 
-Edge cases: a null text or one without a letter is `und`, score 0, rejected; equal
+Edge cases: rows that repeat each other get equal results; a text of any length is one
+vector, of bounded size; a null text or one without a letter is `und`, score 0, rejected; equal
 cosines go to the language first in order; labels that are null are never learned;
 without any learned row everything is `und`; an empty table gives an empty result;
 extra columns stay, but lang_pred, score and rejected are replaced.
@@ -26,15 +28,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from velum.llm.common import chunks, materialize, utf8
+from velum.llm.common import chunks, discard, let_go, materialize, unused, utf8
 
 DIMENSIONS = 8192
 PER_LANGUAGE, CENTROIDS, ROUNDS = 600, 4, 12
 SLACK = 0.3
+#: Documents whose vectors a task holds at once.
+DOCS_AT_ONCE = 128
 
 _LETTERS = np.full(256, 32, np.uint8)
 _LETTERS[[*range(97, 123), *range(128, 256)]] = [*range(97, 123), *range(128, 256)]
@@ -43,9 +47,10 @@ _LETTERS[[*range(65, 91)]] = [*range(97, 123)]
 
 def features(texts: pa.Array) -> Iterator[np.ndarray]:
     """Trigram counts (documents x DIMENSIONS, float32) of runs of the texts."""
+    let_go()
     texts = pc.utf8_lower(texts.cast(pa.large_string()).fill_null(""))
     spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
-    for i, j, data, offsets in chunks(*utf8(spaced), docs=512):
+    for i, j, data, offsets in chunks(*utf8(spaced), docs=DOCS_AT_ONCE):
         n = j - i
         letters = _LETTERS[data]
         doc = np.repeat(np.arange(n), np.diff(offsets))
@@ -95,25 +100,31 @@ def _kmeans(vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS) -> Centroids:
-    """Learn from rows with a label and a text; which rows: see the module."""
+    """Learn from rows with a label and a text; which of them: see the module."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    hashed = materialize(rows.select("lang", F.xxhash64("text").alias("h")).distinct(), "langid_texts")
+    counts = {r.lang: r.n for r in hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
     if not counts:
         return Centroids(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), [], np.zeros(0))
-    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
-    sample = materialize(sample, "langid_sample")
+    # hashes are even, so the smallest lie below this share of their range, of which few more are sorted
+    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (2 * per_language + 64) / n))))
+    low = hashed.where(F.col("h").cast("double") / 2.0**64 + 0.5 <= share[F.col("lang")])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    low = low.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "h")
+    chosen = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(low), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))  # at most per_language hashes of each
+    sample = materialize(chosen, "langid_sample")
 
     def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIMENSIONS, np.int64), 0
         for b in batches:
             for f in features(b.column("text")):
-                total, n = total + (f > 0).sum(axis=0), n + len(f)
-        yield pa.RecordBatch.from_pydict({"n": [n], "df": [total.tolist()]})
+                total, n = total + np.count_nonzero(f, axis=0), n + len(f)
+        yield pa.RecordBatch.from_pydict({"at": np.arange(DIMENSIONS + 1, dtype=np.int32), "n": np.append(total, n)})
 
-    parts = sample.select("text").mapInArrow(document_counts, "n bigint, df array<bigint>").collect()
-    n, df = sum(p.n for p in parts), np.sum([p.df for p in parts], axis=0)
-    idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+    totals = rows.select("text").mapInArrow(document_counts, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect()  # DIMENSIONS + 1 rows
+    df = np.zeros(DIMENSIONS + 1)
+    df[[r["at"] for r in totals]] = [r["n"] for r in totals]
+    idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
 
     def cluster(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         vectors = np.concatenate([_scaled(f, idf) for f in features(pa.array(pdf["text"].sort_values(), pa.large_string()))])
@@ -121,6 +132,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
         return pd.DataFrame({"lang": key[0], "centroid": [c.tolist() for c in centres], "floor": floors})
 
     found = sample.groupBy("lang").applyInPandas(cluster, "lang string, centroid array<float>, floor double").collect()
+    discard(hashed, sample)
     found = sorted(found, key=lambda r: (r.lang, r.centroid))
     return Centroids(idf, np.array([r.centroid for r in found], np.float32), [r.lang for r in found], np.array([r.floor for r in found]))
 
@@ -129,6 +141,7 @@ def predict(df: DataFrame, model: Centroids, text: str = "text", slack: float =
     """df with lang_pred, score (the cosine, 0 to 1) and rejected."""
     made = ["lang_pred", "score", "rejected"]
     kept = [c for c in df.columns if c not in made]
+    (letter,) = unused(df.columns, "letters")
     types = {"lang_pred": T.StringType(), "score": T.DoubleType(), "rejected": T.BooleanType()}
     schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(c, types[c]) for c in made)])
 
@@ -144,13 +157,13 @@ def predict(df: DataFrame, model: Centroids, text: str = "text", slack: float =
                     best.append(np.zeros(len(f), np.int64))
                     cosine.append(np.zeros(len(f)))
             best, cosine = np.concatenate(best), np.clip(np.concatenate(cosine), 0, 1)
-            known = b.column("_letters").to_numpy(zero_copy_only=False).astype(bool) & bool(model.languages)
+            known = b.column(letter).to_numpy(zero_copy_only=False).astype(bool) & bool(model.languages)
             floors = model.floors[best] * slack if model.languages else np.ones(len(best))
             langs = np.array([*model.languages, "und"], object)[np.where(known, best, len(model.languages))]
             out = [pa.array(langs, pa.string()), pa.array(np.where(known, cosine, 0.0)), pa.array(~known | (cosine < floors))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *out], schema.names)
 
-    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters")
+    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(letter)
     return df.select(*kept, letters).mapInArrow(run, schema)
 
 

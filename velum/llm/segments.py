@@ -10,9 +10,7 @@ otherwise the raw text without its leading space.
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable
-from contextlib import suppress
 
 import numpy as np
 import public_tokenizers
@@ -99,13 +97,6 @@ def int_lists(values: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(values), "<i4")))
 
 
-def give_back() -> None:
-    """Return freed memory to the system, where the C library can."""
-    pa.default_memory_pool().release_unused()
-    with suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 class Cache(dict):
     """What words became in this worker, bounded likewise."""
 

@@ -26,7 +26,6 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
-from functools import cache
 from zlib import crc32
 
 import numpy as np
@@ -36,8 +35,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from velum.llm.common import scratch_dir
-from velum.llm.segments import Known, encode as encode_texts, give_back, raw, stem
+from velum.llm.common import give_back, held, scratch_dir
+from velum.llm.segments import Known, encode as encode_texts, raw, stem
 
 TOKENIZER, END = "byte_bpe_50k.json", 2
 SAMPLE, DICTIONARY_BYTES, LEVEL = 1000, 64 << 10, 3
@@ -103,9 +102,9 @@ class Encoder:
         return [data[a:b] + last for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-@cache
 def encoder(name: str) -> Encoder:
-    return Encoder(name)
+    """This worker's, until it holds something else."""
+    return held((Encoder, name), lambda: Encoder(name))
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, sample: int = SAMPLE, size: int = DICTIONARY_BYTES) -> bytes:
