@@ -114,13 +114,34 @@ def test_repeats_as_brute_force(spark):
     texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 60))) for _ in range(60)] + [None, "", "a " * 200, "a b c d e f", "a b c d e f"]
     df = spark.createDataFrame([(i % 60, t, "x") for i, t in enumerate(texts)], DOC)
     want = sorted(_removed(texts, 6))
-    for group in (50_000, 1):
+    for group in (50_000, 7, 1):
         got = substrings.remove_repeats(df, window=6, prefix=3, group=group)
         assert got.columns == ["doc_id", "text", "k1", "n_words", "n_removed", "kept"]
         assert sorted((r.n_words, r.n_removed, r.kept) for r in got.collect()) == want
     assert substrings.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_words_that_a_polynomial_confuses(spark):
+    # two words of 2,048 letters whose polynomial hashes modulo 2 ** 64 are equal for every base
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    odd = ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
+    texts = [" ".join([*(f"w{i}" for i in range(20)), w, *(f"w{i}" for i in range(20, 39))]) for w in odd]
+    texts += [" ".join(f"x{i}" for i in range(34)), " ".join(f"x{i}" for i in range(34)), texts[0] + " end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for group in (2000, 1):
+        got = sorted((r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(df, group=group).collect())
+        assert got == sorted(_removed(texts, 35))
+
+
+def test_repeats_of_long_texts_and_clashing_columns(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(30_000)}" for _ in range(60_000)]
+    texts = [" ".join(words), "start " + " ".join(words[30_000:30_100]) + " end", " \t\n ", "é" * 70_000 + " " + " ".join(words[5:60])]
+    df = spark.createDataFrame([(None if i == 1 else i, t, [1], "x") for i, t in enumerate(texts)], "doc_id long, text string, _spans array<int>, k2 string")
+    got = substrings.remove_repeats(df).collect()
+    assert sorted((r.n_words, r.n_removed, r.kept) for r in got) == sorted(_removed(texts, 35)) and all(r._spans == [1] and r.k2 == "x" for r in got)
+
+
 def test_overlaps_with_items(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))

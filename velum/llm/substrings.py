@@ -11,23 +11,25 @@ least that deep, of the corpus's suffix tree. That tree is never built whole:
    windows mostly share their anchor, so there is a row for about 14 words.
 2. The PREFIX words are the first, short prefix. Prefixes that occur once lead to no
    internal node and are dropped by counting.
-3. Occurrences whose whole surroundings (the words of all windows of the anchor)
-   are equal collapse to one row with a count. So thousands of copies are a few rows,
-   and a count of two or more already settles all their windows.
-4. What is left is one row for each prefix and different surroundings. Prefixes
-   with up to GROUP of them form memory-sized groups: a task sorts a group's suffixes
-   (a suffix array), takes the common depth of neighbours, and marks the suffixes
-   below nodes of depth WINDOW. Prefixes with more are lengthened until the group is
-   of a single path: the WINDOW words themselves, counted by an aggregation.
-5. Marks go back to all occurrences, and documents drop the words they cover.
-
-Words are compared by 64-bit hashes of their bytes, and a match needs WINDOW of them
-in line. Documents are keyed by 96 bits of id and text, so null or repeated ids need
-no care: rows that repeat each other make their windows repeat.
+3. Of occurrences whose whole surroundings (the words of all windows of the anchor) have
+   one 128-bit digest, the first and the last become leaves: enough for every node above
+   them to have two. So thousands of copies are two rows, and their words are compared.
+4. A prefix with at most GROUP leaves is a memory-sized group. Larger ones are split
+   again and again by longer prefixes, up to the end of their anchor and then STEP words
+   more each time, until they are small enough or the prefix is a whole window, which is
+   a node itself.
+5. A task sorts a group's suffixes by their words (a suffix array) and takes the common
+   depth of neighbours: runs of depth WINDOW or more are the leaves below one deep
+   internal node, and the greatest depth beside a leaf is the maximal repeat there.
+6. What they cover goes back to all occurrences, and documents drop those words.
+
+Suffixes are compared by the bytes of their words. Hashes only deal out the work, but for
+the digest of step 3. Documents are keyed by 96 bits of id and text, so null or repeated
+ids need no care: rows that repeat each other make their windows repeat.
 
 Edge cases: null and empty texts have no words; texts under WINDOW words lose
-nothing; an empty table gives an empty result; columns other than the three made
-stay as they are.
+nothing; very long words and texts are like any other; an empty table gives an empty
+result; columns other than the three made stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,19 +38,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from velum.llm.common import SPACES, Words, chunks, materialize, row_key, utf8
+from velum.llm.common import SPACES, Words, chunks, let_go, materialize, row_key, unused, utf8
 
-WINDOW, PREFIX = 35, 8
-#: Different surroundings of one prefix that a task takes as one group.
-GROUP = 50_000
-#: Suffixes that a task sorts at once; larger groups go by the place of their anchor.
-LEAVES = 50_000
+WINDOW, PREFIX, STEP = 35, 8, 9
+#: Leaves of a prefix that a task takes as one group, some 30 suffixes each.
+GROUP = 2000
+#: Bytes of words that a task sorts at once, besides those of a group that it is in.
+BATCH_BYTES = 1 << 20
 
-ANCHORS = "k1 long, k2 int, gram long, ctx long, lo int, step int, times int, off int, n int"
+ANCHORS = "k1 long, k2 int, gram long, c1 long, c2 long, lo int, step int, times int, off int, n int"
+LEAF = ["gram", "c1", "c2", "bit", "n", "words"]
 
 
 def _first_minima(h: np.ndarray, width: int) -> np.ndarray:
@@ -82,19 +87,35 @@ def anchors(words: Words, window: int, prefix: int) -> tuple[np.ndarray, ...]:
     return doc[whole[first]], least[first], whole[first], size
 
 
+def _spelled(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The words, each with a space behind it, and where each begins."""
+    lengths = words.ends - words.starts
+    first = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths + 1, out=first[1:])
+    out = np.full(first[-1], 32, np.uint8)
+    word = np.repeat(np.arange(len(lengths)), lengths)
+    out[np.arange(len(word)) + word] = words.data[~SPACES[words.data]]
+    return out, first
+
+
 def _scan(docs: DataFrame, window: int, prefix: int) -> DataFrame:
     """The anchors of all documents (k1, k2, text). Equal ones in line, as words that
     repeat over and over make them, are one row: the first, their distance and number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             k1, k2 = b.column("k1").to_numpy(), b.column("k2").to_numpy()
             for i, _, data, offsets in chunks(*utf8(b.column("text"))):
                 words = Words(data, offsets, SPACES)
                 doc, a, lo, n = anchors(words, window, prefix)
-                gram, ctx = words.spans(a, a + prefix), words.spans(lo, lo + n + window - 1)
+                gram = words.spans(a, a + prefix)
+                spelled, begins = _spelled(words)
+                view, digest = memoryview(spelled), xxhash.xxh3_128_digest
+                ctx = b"".join([digest(view[x:y]) for x, y in zip(begins[lo].tolist(), begins[lo + n + window - 1].tolist(), strict=True)])
+                ctx = np.frombuffer(ctx, np.int64).reshape(-1, 2)
                 same = np.zeros(len(doc), bool)
-                same[1:] = (doc[1:] == doc[:-1]) & (gram[1:] == gram[:-1]) & (ctx[1:] == ctx[:-1])
+                same[1:] = (doc[1:] == doc[:-1]) & (gram[1:] == gram[:-1]) & (ctx[1:] == ctx[:-1]).all(axis=1)
                 step = np.diff(lo, prepend=0)
                 runs = ~same
                 runs[1:] |= same[:-1] & (step[1:] != step[:-1])
@@ -103,7 +124,7 @@ def _scan(docs: DataFrame, window: int, prefix: int) -> DataFrame:
                 step = np.where(times > 1, step[np.minimum(first + 1, len(doc) - 1)], 0)
                 doc, a, lo, n = doc[first], a[first], lo[first], n[first]
                 yield pa.RecordBatch.from_pydict({
-                    "k1": k1[i + doc], "k2": k2[i + doc], "gram": gram[first].view(np.int64), "ctx": ctx[first].view(np.int64),
+                    "k1": k1[i + doc], "k2": k2[i + doc], "gram": gram[first].view(np.int64), "c1": ctx[first, 0], "c2": ctx[first, 1],
                     "lo": (lo - words.first[doc]).astype(np.int32), "step": step.astype(np.int32), "times": times.astype(np.int32),
                     "off": (a - lo).astype(np.int32), "n": n.astype(np.int32),
                 })
@@ -111,109 +132,116 @@ def _scan(docs: DataFrame, window: int, prefix: int) -> DataFrame:
     return docs.select("k1", "k2", "text").mapInArrow(run, ANCHORS)
 
 
-def _contexts(docs: DataFrame, window: int) -> DataFrame:
-    """The word hashes of the wanted surroundings: one binary for each."""
+def _leaves(docs: DataFrame, window: int) -> DataFrame:
+    """The words of the wanted surroundings: a row for each of `wants`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
-            wants = b.column("wants").to_pylist()
+            wants = b.column("wants")
             for i, j, data, offsets in chunks(*utf8(b.column("text"))):
                 words = Words(data, offsets, SPACES)
-                out = [
-                    (w["gram"], w["ctx"], w["off"], w["n"], w["many"], words.hashes[f + w["lo"] : f + w["lo"] + w["n"] + window - 1].tobytes())
-                    for f, ws in zip(words.first, wants[i:j], strict=False)
-                    for w in ws
-                ]
-                if out:
-                    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["gram", "ctx", "off", "n", "many", "words"])
+                spelled, begins = _spelled(words)
+                part = wants.slice(i, j - i)
+                of = np.repeat(np.arange(j - i), pc.list_value_length(part).to_numpy())
+                w = {x: y.to_numpy(zero_copy_only=False) for x, y in zip(("lo", "n", "off", "many", "gram", "c1", "c2"), part.flatten().flatten(), strict=True)}
+                lo = words.first[of] + w["lo"]
+                raw = spelled.tobytes()
+                texts = [raw[x : y - 1] for x, y in zip(begins[lo].tolist(), begins[lo + w["n"] + window - 1].tolist(), strict=True)]
+                yield pa.RecordBatch.from_pydict({x: w[x] for x in ("gram", "c1", "c2", "off", "n", "many")} | {"words": pa.array(texts, pa.binary()).cast(pa.string())})
 
-    return docs.mapInArrow(run, "gram long, ctx long, off int, n int, many boolean, words binary")
+    return docs.mapInArrow(run, "gram long, c1 long, c2 long, off int, n int, many boolean, words string")
 
 
-def _windows(contexts: DataFrame, window: int) -> DataFrame:
-    """Each window of the surroundings as its hash: prefixes at their full length."""
+def subtree_marks(groups: np.ndarray, n: np.ndarray, words: pa.Array, window: int) -> np.ndarray:
+    """Of each leaf's n windows, as bits, those that lie within a maximal repeat.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = b.column("n").to_numpy().astype(np.int64)
-            words = Words.__new__(Words)
-            words.hashes = np.frombuffer(b"".join(b.column("words").to_pylist()), np.uint64)
-            row = np.repeat(np.arange(len(n)), n)
-            bit = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            lo = (np.cumsum(n + window - 1) - (n + window - 1))[row] + bit
-            yield pa.RecordBatch.from_pydict({
-                "whole": words.spans(lo, lo + window).view(np.int64), "place": (b.column("off").to_numpy()[row] - bit).astype(np.int32),
-                "gram": b.column("gram").to_numpy()[row], "ctx": b.column("ctx").to_numpy()[row], "bit": bit.astype(np.int32),
-            })
-
-    return contexts.mapInArrow(run, "whole long, place int, gram long, ctx long, bit int")
-
-
-def subtree_marks(grams: np.ndarray, ctxs: np.ndarray, offs: np.ndarray, ns: np.ndarray, words: list[bytes], window: int, leaves: int = LEAVES) -> np.ndarray:
-    """Bits of each context's windows that lie below a node of depth window.
-
-    All windows of the groups are suffixes. Sorted by group and words they are the
-    leaves of the groups' subtrees in order; suffixes whose anchors stand at different
-    places cannot share such a node, so many suffixes are taken place by place.
+    groups: ascending; words: the leaf's words, joined by single spaces. Suffixes that
+    begin with its windows are sorted within their group by word after word.
     """
-    n = ns.astype(np.int64)
+    lists = pc.split_pattern(words, " ")
+    ids = lists.flatten().dictionary_encode().indices.to_numpy().astype(">u4") + 1  # equal ids: equal words
+    first = np.asarray(lists.offsets).astype(np.int64)
     row = np.repeat(np.arange(len(n)), n)
     bit = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    place = offs[row] - bit
-    sizes = n + window - 1
-    lo = (np.cumsum(sizes) - sizes)[row] + bit
-    hashes = np.frombuffer(b"".join(words), np.uint64)
+    start, length = first[row] + bit, (first[row + 1] - first[row] - bit)
+    width = int(length.max(initial=0))
+    padded = np.concatenate([ids, np.zeros(width, ids.dtype)])
+    suffixes = np.empty((len(row), width + 1), ">u4")
+    suffixes[:, 0] = np.cumsum(np.diff(groups, prepend=groups[:1]) != 0)[row]
+    suffixes[:, 1:] = np.lib.stride_tricks.sliding_window_view(padded, width)[start]
+    suffixes[:, 1:][np.arange(width) >= length[:, None]] = 0
+    order = np.argsort(suffixes.view(f"V{suffixes.shape[1] * 4}").ravel(), kind="stable")
+    suffixes, length, row, bit = suffixes[order], length[order], row[order], bit[order]
+
+    differ = suffixes[1:] != suffixes[:-1]
+    depth = np.where(differ.any(axis=1), differ.argmax(axis=1) - 1, width)  # words in common with the leaf before; -1: another group
+    depth = np.minimum(depth, np.minimum(length[1:], length[:-1]))
+    deepest = np.full(len(row), -1)  # the deepest internal node above each leaf: a repeat that no other extends
+    deepest[1:] = depth
+    deepest[:-1] = np.maximum(deepest[:-1], depth)
+    hit = deepest >= window
+    spans = (np.int64(1) << (deepest[hit] - window + 1)) - 1 << bit[hit]
     marks = np.zeros(len(n), np.int64)
-    parts = [np.arange(len(row))] if len(row) <= leaves else [np.flatnonzero(place == p) for p in np.unique(place)]
-    for part in parts:
-        suffixes = np.empty((len(part), window + 2), np.uint64)
-        suffixes[:, 0] = grams[row[part]].view(np.uint64)
-        suffixes[:, 1] = place[part].astype(np.uint64)
-        suffixes[:, 2:] = hashes[lo[part][:, None] + np.arange(window)]
-        order = np.argsort(suffixes.view(f"V{suffixes.shape[1] * 8}").ravel(), kind="stable")
-        suffixes, r, b = suffixes[order], row[part][order], bit[part][order]
-        node = (suffixes[1:] == suffixes[:-1]).all(axis=1)  # neighbours that share a node this deep
-        other = node & (ctxs[r[1:]] != ctxs[r[:-1]])
-        # a node counts if two different contexts hang below it: rows repeated whole are one
-        group = np.concatenate([[0], np.cumsum(~node)])
-        mixed = np.zeros(group[-1] + 1, bool)
-        mixed[group[1:][other]] = True
-        hit = mixed[group[: len(r)]]
-        np.bitwise_or.at(marks, r[hit], np.int64(1) << b[hit])
+    np.bitwise_or.at(marks, row[hit], spans)
     return marks
 
 
-def _trees(contexts: DataFrame, window: int) -> DataFrame:
-    """Marks of the memory-sized groups; a partition holds whole prefixes, sorted."""
+def _trees(leaves: DataFrame, window: int) -> DataFrame:
+    """(c1, c2, mask) of memory-sized groups of leaves; a partition holds whole groups, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "ctx", "off", "n"]
+        let_go()
         held: list[pa.RecordBatch] = []
+        size = 0
 
         def marks(table: pa.Table) -> pa.RecordBatch:
-            g, c, o, n = (table.column(x).to_numpy() for x in names)
-            m = subtree_marks(g, c, o, n, table.column("words").to_pylist(), window)
-            return pa.RecordBatch.from_pydict({"gram": g[m != 0], "ctx": c[m != 0], "mask": m[m != 0]})
+            column = {c: table.column(c).combine_chunks() for c in LEAF}
+            m = subtree_marks(column["gram"].to_numpy(), column["n"].to_numpy().astype(np.int64), column["words"], window) << column["bit"].to_numpy().astype(np.int64)
+            kept = pa.array(m != 0)
+            return pa.RecordBatch.from_arrays([column["c1"].filter(kept), column["c2"].filter(kept), pa.array(m[m != 0])], ["c1", "c2", "mask"])
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
-                if b.column("gram")[0] == b.column("gram")[-1] and held:
-                    held.append(b)
-                    continue
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
                 held.append(b)
+                size += pc.sum(pc.binary_length(b.column("words"))).as_py() or 0
+                if size < BATCH_BYTES:
+                    continue
                 table = pa.Table.from_batches(held).combine_chunks()
                 grams = table.column("gram").to_numpy()
-                cut = int(np.searchsorted(grams, grams[-1], "left"))  # the last prefix may go on
+                cut = int(np.searchsorted(grams, grams[-1], "left"))  # the last group may go on
                 if cut:
-                    yield marks(table.slice(0, cut).combine_chunks())
-                held = table.slice(cut).combine_chunks().to_batches()
+                    yield marks(table.slice(0, cut))
+                    held = table.slice(cut).combine_chunks().to_batches()
+                    size = sum(pc.sum(pc.binary_length(x.column("words"))).as_py() or 0 for x in held)
         if held:
             yield marks(pa.Table.from_batches(held).combine_chunks())
 
-    dealt = contexts.repartition("gram").sortWithinPartitions("gram", "ctx")
-    return dealt.mapInArrow(run, "gram long, ctx long, mask long")
+    dealt = leaves.select(LEAF).repartition("gram").sortWithinPartitions("gram")
+    return dealt.mapInArrow(run, "c1 long, c2 long, mask long")
+
+
+def _by_longer_prefixes(leaves: DataFrame, window: int, prefix: int, group: int) -> DataFrame:
+    """(c1, c2, mask) of groups that are too large: each window is a leaf of its own, dealt
+    by its first words, which reach to the end of the anchor and then on."""
+    at = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("bit")
+    rows = leaves.select("c1", "c2", "off", "words", at).select("c1", "c2", "bit", (F.col("off") - F.col("bit")).alias("place"), F.expr(f"substring_index(substring_index(words, ' ', bit + {window}), ' ', -{window})").alias("words"))
+    rows = materialize(rows, "windows")
+    done = None
+    for length in range(prefix, window + STEP, STEP):
+        keyed = rows.withColumn("head", F.expr(f"substring_index(words, ' ', least({window}, place + {length}))"))
+        sizes = materialize(keyed.groupBy("place", "head").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+        keyed = materialize(keyed.join(sizes, ["place", "head"]), "keyed")  # a prefix that occurs once leads to no internal node
+        small = keyed.where(F.col("size") <= group).select(F.xxhash64("place", "head").alias("gram"), "c1", "c2", "bit", F.lit(1).alias("n"), "words")
+        found = _trees(small, window)
+        done = found if done is None else done.unionByName(found)
+        rows = keyed.where(F.col("size") > group).drop("head", "size")
+        if length >= window or rows.isEmpty():
+            break
+    # what is left shares whole windows: the prefix is the node
+    whole = rows.select("c1", "c2", F.expr("shiftleft(1L, bit)").alias("mask"))
+    return done.unionByName(whole)
 
 
 def removals(docs: DataFrame, window: int, prefix: int, group: int) -> DataFrame:
@@ -224,23 +252,22 @@ def removals(docs: DataFrame, window: int, prefix: int, group: int) -> DataFrame
     twice = materialize(found.groupBy("gram").agg(F.sum("times").alias("n")).where("n > 1").select("gram"), "twice")
     found = materialize(found.join(twice, "gram", "left_semi"), "anchors")
 
-    contexts = found.groupBy("gram", "ctx").agg(F.sum("times").alias("seen"), F.min(F.struct("k1", "k2", "lo")).alias("at"), F.max("off").alias("off"), F.max("n").alias("n"))
+    last = F.struct("k1", "k2", (F.col("lo") + F.col("step") * (F.col("times") - 1)).alias("lo"))
+    contexts = found.groupBy("c1", "c2").agg(F.sum("times").alias("seen"), F.min(F.struct("k1", "k2", "lo")).alias("first"), F.max(last).alias("last"), F.min("gram").alias("gram"), F.max("off").alias("off"), F.max("n").alias("n"))
     contexts = materialize(contexts, "contexts")
-    full = contexts.where("seen > 1").select("gram", "ctx", F.expr("shiftleft(1L, n) - 1").alias("mask"))
-
-    forks = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("forks")).where("forks > 1")
-    wanted = contexts.join(forks, "gram").select("at.k1", "at.k2", F.struct("at.lo", "n", "off", "gram", "ctx", (F.col("forks") > group).alias("many")).alias("want"))
-    wanted = wanted.groupBy("k1", "k2").agg(F.collect_list("want").alias("wants"))
-    spelled = materialize(_contexts(docs.join(wanted, ["k1", "k2"]), window), "spelled")
-
-    by_tree = _trees(spelled.where("not many"), window)
-    windows = _windows(spelled.where("many"), window)
-    deep = windows.groupBy("gram", "place", "whole").agg(F.min("ctx").alias("a"), F.max("ctx").alias("b")).where("a <> b").select("gram", "place", "whole")
-    by_count = windows.join(deep, ["gram", "place", "whole"], "left_semi").groupBy("gram", "ctx").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
-
-    masks = full.unionByName(by_tree).unionByName(by_count).groupBy("gram", "ctx").agg(F.bit_or("mask").alias("mask"))
-    masks = materialize(masks, "masks")
-    marked = found.join(masks, ["gram", "ctx"]).select("k1", "k2", F.struct("lo", "step", "times", "mask").alias("span"))
+    sizes = contexts.groupBy("gram").agg(F.sum(F.when(F.col("seen") > 1, 2).otherwise(1)).alias("leaves"))
+    large = materialize(sizes.where(F.col("leaves") > group).select("gram", F.lit(True).alias("many")), "large")
+
+    ends = F.when(F.col("seen") > 1, F.array("first", "last")).otherwise(F.array("first"))
+    wanted = contexts.join(large, "gram", "left").select(F.explode(ends).alias("at"), "n", "off", F.coalesce("many", F.lit(False)).alias("many"), "gram", "c1", "c2")
+    wanted = wanted.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("at.lo", "n", "off", "many", "gram", "c1", "c2")).alias("wants"))
+    leaves = materialize(_leaves(docs.join(wanted, ["k1", "k2"]), window), "leaves")
+
+    masks = _trees(leaves.where("not many").withColumn("bit", F.lit(0)), window)
+    if not large.isEmpty():
+        masks = masks.unionByName(_by_longer_prefixes(leaves.where("many"), window, prefix, group))
+    masks = materialize(masks.groupBy("c1", "c2").agg(F.bit_or("mask").alias("mask")), "masks")
+    marked = found.join(masks, ["c1", "c2"]).select("k1", "k2", F.struct("lo", "step", "times", "mask").alias("span"))
     return marked.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
 
 
@@ -264,6 +291,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     made = ["n_words", "n_removed", "kept"]
     own = [c for c in df.columns if c not in made]
     schema = T.StructType([*(df.schema[c] for c in own), T.StructField("n_words", T.LongType(), False), T.StructField("n_removed", T.LongType(), False), T.StructField("kept", T.StringType(), False)])
+    given, spans_of, *keys = unused(df.columns, "given", "spans", "k1", "k2")
     docs = df.select(*row_key(doc_id, text), F.col(text).alias("text"))
     spans = removals(docs, window, prefix, group)
 
@@ -272,7 +300,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
                 counts, gone, kept = [], [], []
-                for t, found in zip(b.column("_text").to_pylist(), b.column("_spans"), strict=True):
+                for t, found in zip(b.column(given).to_pylist(), b.column(spans_of), strict=True):
                     words = (t or "").encode().split()
                     drop = 0
                     if found.is_valid and len(found.values):
@@ -284,7 +312,6 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
                     kept.append(b" ".join(words).decode())
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], schema.names)
 
-    keys = [c.alias(n) for c, n in zip(row_key(doc_id, text), ("_k1", "_k2"), strict=True)]
-    both = df.select(*own, F.col(text).alias("_text"), *keys)
-    spans = spans.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans"))
-    return both.join(spans, ["_k1", "_k2"], "left").mapInArrow(run, schema)
+    both = df.select(*own, F.col(text).alias(given), *(c.alias(n) for c, n in zip(row_key(doc_id, text), keys, strict=True)))
+    spans = spans.select(F.col("k1").alias(keys[0]), F.col("k2").alias(keys[1]), F.col("spans").alias(spans_of))
+    return both.join(spans, keys, "left").mapInArrow(run, schema)
