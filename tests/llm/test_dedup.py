@@ -58,10 +58,10 @@ def test_near_duplicates_as_brute_force(spark):
     rows = docs.collect()
     import pyarrow as pa
 
-    weights = weighted_minhash.shingle_weights(*weighted_minhash.document_frequencies(docs))
+    weights = weighted_minhash.shingle_weights(docs)
     sets = []
     for i, j, doc, h, tf in weighted_minhash.shingles(pa.array([r.text for r in rows], pa.string())):
-        sets += [(h[doc == d], weights[h[doc == d] >> np.uint64(64 - weighted_minhash.DF_BITS)].astype(float) * tf[doc == d]) for d in range(j - i)]
+        sets += [(h[doc == d], weights(h[doc == d]).astype(float) * tf[doc == d]) for d in range(j - i)]
     near = [(a, b) for a in range(len(rows)) for b in range(a) if weighted_minhash.weighted_jaccard(sets[a], sets[b]) >= 0.8]
     top = groups(len(rows), near)
     want = {}
@@ -89,16 +89,40 @@ def test_near_duplicates_with_shared_passages(spark):
         own = [word() for _ in range(44)]
         texts += [" ".join(passage + own), " ".join(passage + own[:22] + [word() for _ in range(22)])]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    weights = weighted_minhash.shingle_weights(*weighted_minhash.document_frequencies(docs))
+    weights = weighted_minhash.shingle_weights(docs)
     sets = []
     for i, j, doc, h, tf in weighted_minhash.shingles(pa.array(texts, pa.string())):
-        sets += [(h[doc == d], weights[h[doc == d] >> np.uint64(64 - weighted_minhash.DF_BITS)].astype(float) * tf[doc == d]) for d in range(j - i)]
+        sets += [(h[doc == d], weights(h[doc == d]).astype(float) * tf[doc == d]) for d in range(j - i)]
     near = [(a, b) for a in range(len(texts)) for b in range(a) if weighted_minhash.weighted_jaccard(sets[a], sets[b]) >= 0.8]
     assert near == [(2 * k + 1, 2 * k) for k in range(150)]
     got = {r.doc_id: r.class_id for r in weighted_minhash.near_duplicates(docs).collect()}
     assert sum(got[a] == got[b] for a, b in near) >= 149 and len(set(got.values())) >= 150
 
 
+def test_document_frequencies(spark):
+    from collections import Counter
+
+    import pyarrow as pa
+
+    texts = ["one two three four five six"] * 30 + [f"one two three four five d{i} e{i} one two three four five" for i in range(90)] + [None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    weights = weighted_minhash.shingle_weights(docs)
+    df = Counter(x for *_, h, _ in weighted_minhash.shingles(pa.array(texts)) for x in h.tolist())
+    assert set(weights.frequent.tolist()) == {h for h, n in df.items() if n >= 0.01 * len(texts)}
+    rare = np.array([1, 2, 3], np.uint64)
+    assert (weights(rare) == 1.25).all()
+    common = np.array([h for h, n in df.items() if n == 120], np.uint64)
+    assert np.allclose(weights(common), 1 + 0.25 * np.log(122 / 120) / np.log(100)) and len(common) == 1
+
+
+def test_near_duplicates_in_a_chain(spark):
+    # neighbours at 0.818, all others far less: one class, however its buckets fall
+    words = [f"w{i}" for i in range(4000)]
+    texts = [" ".join(words[12 * i : 12 * i + 124]) for i in range(300)]
+    got = weighted_minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len({r.class_id for r in got}) <= 3
+
+
 def _removed(texts, window):
     words = [(t or "").split() for t in texts]
     seen = {}
@@ -154,6 +178,11 @@ def test_overlaps_with_items(spark):
     got = {r.doc_id: [h.item_id for h in r.hits] for r in decontaminate.flag(docs, bench, block_bytes=200).collect()}
     assert got == {0: [1], 1: [0], 2: [2], 3: [], 4: [], 5: [], 6: []}
     assert sorted(r.doc_id for r in decontaminate.clean(docs.drop("hits"), bench).collect()) == [3, 4, 5, 6]
+    named = bench.withColumn("item_id", F.concat(F.lit("i"), "item_id"))
+    doubled = docs.where("doc_id < 2").unionByName(docs.where("doc_id < 2")).withColumn("item_id", F.lit(0))
+    assert sorted((r.doc_id, h.item_id) for r in decontaminate.flag(doubled, named).collect() for h in r.hits) == [(0, "i1"), (0, "i1"), (1, "i0"), (1, "i0")]
+    long = docs.where("doc_id = 0").withColumn("text", F.concat(F.repeat(F.lit("lorem ipsum "), 200_000), "text"))
+    assert [(h.item_id, h.start) for h in decontaminate.flag(long, bench).first().hits] == [(1, 400_002)]
     assert decontaminate.clean(docs, bench.limit(0)).count() == 7 and decontaminate.flag(docs.limit(0), bench).count() == 0
 
 
@@ -162,7 +191,7 @@ def test_seeds_cover_what_is_accepted():
     import pyarrow as pa
 
     rng = random.Random(7)
-    for n in [*range(5, 14), 15, 17, 30]:
+    for n in [*range(1, 14), 15, 17, 30, 40]:
         item = [f"w{n}x{k}" for k in range(n)]
         masks = range(1 << n) if n <= 12 else [sum((rng.random() < 0.75) << k for k in range(n)) for _ in range(3000)]
         same = [[m >> k & 1 for k in range(n)] for m in masks]
@@ -179,8 +208,8 @@ def test_seeds_cover_what_is_accepted():
             matched = sum(row[at[0] : at[1]])
             if matched >= min(12, math.ceil(0.8 * n)):
                 want[d] = [(5, 2 + at[0], at[1] - at[0], matched)]
-        seeds = decontaminate.Seeds([(5, " ".join(item)), (6, "a b c")])
+        seeds = decontaminate.Seeds([(5, " ".join(item)), (6, "a b c")], least=1)
         got = {}
         for i, _, words in decontaminate._tokens(pa.array(texts)):
             got |= {i + d: h for d, h in seeds.hits(words).items()}
-        assert len(want) > 2 and got == want
+        assert len(want) > (2 if n > 4 else 0) and got == want

@@ -1,22 +1,28 @@
-"""Overlaps of training documents with test items by seed hashing.
+"""Overlaps of training documents with test items by spaced-seed hashing.
 
 Words are lower-cased runs of letters and digits. Every position of every document is
-hashed under every mask (some of its consecutive words) and joined with the hashed
-positions of the test items. Around each hit, the item is laid over the document at
+hashed under every mask (the words there that the mask looks at) and joined with the
+hashed positions of the test items. Around each hit, the item is laid over the document at
 that offset, and the best run (a match counts 1, a mismatch -2) is measured; it is an
 overlap if it holds WORDS matches, or SHARE of the words of a shorter item.
 
-The masks miss nothing that this accepts: without three matches in line no run gains more
-than 2, and the first such is the best, of 2 matches; an overlap has 4 at least.
+The mask 1101 ignores every third position and misses nothing that this accepts. No
+beginning of a best run sums below 0, so it begins with two matches; a mismatch behind them
+has a match behind it (11x1: the mask lies on the first word); a third match has a fourth
+behind it (1111: on the first word) or one mismatch and then a match (111x1: on the second).
+So it lies on every run of four matches or more. Items that need fewer have up to three
+words, all of which must match, and a mask of their length.
 
 The test set is the small side, but its size is checked, not assumed: it is dealt
 into blocks of about BLOCK_BYTES, each block is broadcast and all documents are joined
 with it. Documents are never shuffled and every one is read whole.
 
-Edge cases: null and empty texts have no hits; items of fewer than LEAST words are
-never matched;
-items that repeat give a hit each; an empty table on either side gives no hits; extra
-columns stay, but `hits` is replaced.
+Edge cases: null and empty texts have no hits; items of fewer words than `least` are too
+common to be evidence and are not looked for; a document of any length is read whole;
+documents that repeat have equal hits; items that repeat give a hit each; of an item's
+overlaps with one document the one with most matches counts, of equal ones the first; an
+empty table on either side gives no hits; ids of items may have any type; extra columns
+stay, but `hits` is replaced.
 """
 
 from __future__ import annotations
@@ -30,17 +36,26 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from velum.llm.common import NOT_WORD, Words, chunks, let_go, mix, utf8
 
-MASKS = ("111",)
+MASK = "1101"
 WORDS, SHARE, LEAST = 12, 0.8, 5
 #: Words of items laid over documents at a time.
 CELLS = 1 << 20
 BLOCK_BYTES = 8 << 20
 
 _FACTORS = np.random.default_rng(11).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-HIT = "array<struct<item_id:bigint,start:int,words:int,matched:int>>"
+
+
+def _least_matches(words: int) -> int:
+    """Matches that an overlap with an item of so many words must have."""
+    return min(WORDS, math.ceil(SHARE * words))
+
+
+def _mask(words: int) -> str:
+    return MASK if _least_matches(words) > 3 else "1" * words
 
 
 def _tokens(texts: pa.Array) -> Iterator[tuple[int, int, Words]]:
@@ -63,7 +78,7 @@ def _seeds(h: np.ndarray, mask: str) -> np.ndarray:
 class Seeds:
     """The seeds of a block of test items, sorted for look-up."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[object, str]], least: int = LEAST):
         self.ids = [i for i, _ in items]
         self.words: list[np.ndarray] = []
         for _, _, w in _tokens(pa.array([t for _, t in items], pa.string())):
@@ -72,11 +87,10 @@ class Seeds:
         self.first = np.cumsum(self.lengths) - self.lengths
         self.all = np.concatenate([*self.words, np.zeros(1, np.uint64)])
         self.tables = []
-        for mask in MASKS:
-            of = [i for i, w in enumerate(self.words) if len(w) >= max(LEAST, len(mask))]
+        masks = [_mask(n) if n >= max(1, least) else "" for n in self.lengths.tolist()]
+        for mask in sorted({*masks} - {""}):
+            of = [i for i, m in enumerate(masks) if m == mask]
             found = [_seeds(self.words[i], mask) for i in of]
-            if not found:
-                continue
             seed = np.concatenate(found)
             item = np.repeat(of, [len(s) for s in found])
             at = np.concatenate([np.arange(len(s)) for s in found])
@@ -135,25 +149,26 @@ class Seeds:
             a = (sums == least[rows, b][:, None]).argmax(axis=1)
             # a run of n words that gains g has (g + 2 n) / 3 matches
             matched = (sums[rows, b] - sums[rows, a] + 2 * (b - a)) // 3
-            ok = matched >= min(WORDS, math.ceil(SHARE * long))
+            ok = matched >= _least_matches(long)
             found.append(np.stack([offset, item, doc, offset + a, b - a, matched], 1)[ok])
             i = j
         return np.concatenate(found)
 
 
-def flag(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def flag(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, least: int = LEAST) -> DataFrame:
     """df with `hits`: the items that each document overlaps (empty: none)."""
     spark = df.sparkSession
-    items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
+    items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     kept = [c for c in df.columns if c != "hits"]
-    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField("hits", T._parse_datatype_string(HIT), False)])
-    out = df.select(*kept, F.array().cast(HIT).alias("hits"))
-    types = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("words", pa.int32()), ("matched", pa.int32())]))
+    hit = T.StructType([T.StructField("item_id", items.schema["i"].dataType), *(T.StructField(c, T.IntegerType()) for c in ("start", "words", "matched"))])
+    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField("hits", T.ArrayType(hit), False)])
+    out = df.select(*kept, F.array().cast(T.ArrayType(hit)).alias("hits"))
+    types = to_arrow_type(T.ArrayType(hit))
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()  # about block_bytes
-        seeds = spark.sparkContext.broadcast(Seeds(sorted(((r.i, r.t) for r in rows), key=lambda r: (r[0] is None, r))))
+        seeds = spark.sparkContext.broadcast(Seeds(sorted(((r.i, r.t) for r in rows), key=lambda r: (r[0] is None, r)), least))
 
         def run(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
             for b in batches:
