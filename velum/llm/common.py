@@ -246,21 +246,22 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, component): the smallest id that each id of the edges (a, b) reaches.
 
     Alternates large-star and small-star contractions until nothing changes.
-    Each round's edges are written, so lineage stays short. The smaller-id side
-    of a join may hold a hot id; the joins are plain equi-joins that Spark can
-    split.
+    Each round's edges are written, so lineage stays short, and the round before is
+    deleted. A hot id's smallest neighbour is a partial aggregate, written as well, so
+    that Spark can split the joins with it.
     """
     cur = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     while True:
         # each node's smallest neighbour or itself
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}_low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         nxt = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         nxt = materialize(nxt, name)
+        discard(cur, low)
         # settled: every node points at a root, and no root points anywhere
         moving = nxt.join(nxt.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
         twice = nxt.groupBy("u").count().where("count > 1")
