@@ -32,7 +32,9 @@ def test_vectors_as_brute_force(spark):
     vectors += [vectors[0], None, [0.0] * 24, [math.nan] * 24, [1.0, None] * 12, []]
     rows = [(i, None if v is None else [x if x is None else float(np.float32(x)) for x in v], None if i == 3 else i % 2, "x") for i, v in enumerate(vectors)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, node string")
-    got = {r.vec_id: r for r in embedding_dedup.near_vectors(df).collect()}
+    results = [{r.vec_id: r for r in embedding_dedup.near_vectors(df, block=block).collect()} for block in (1000, 3)]
+    assert results[0] == results[1]
+    got = results[0]
     usable = [i for i, v, label, _ in rows if v and label is not None and None not in v and all(map(math.isfinite, v)) and any(v)]
     unit = {i: np.array(rows[i][1]) / np.linalg.norm(rows[i][1]) for i in usable}
     links = [(a, b) for a in usable for b in usable if a < b and rows[a][2] == rows[b][2] and unit[a] @ unit[b] >= 0.98]
