@@ -128,3 +128,26 @@ def test_quality_shrinks_small_sites(spark):
     assert got[151].probability > got[300].probability
     assert quality.assess(df.limit(0), labels, "good").count() == 0
     assert {r.evidence for r in quality.assess(df, labels.limit(0), "good").collect()} == {0.0}
+
+
+def test_quality_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    table = spark.read.parquet(f"{sf}/documents.parquet").withColumn("_label", F.lit("x")).withColumn("evidence", F.lit("x"))
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("quality").alias("good"))
+    learned = labels.where("doc_id % 2 = 0")
+    got = quality.assess(table, learned, "good", url=F.concat_ws("/", "source", "lang"))
+    assert got.columns[-7:] == ["evidence", "host", "path", "host_rate", "path_rate", "prior_shift", "probability"] and "_label" in got.columns
+    held = got.join(labels.where("doc_id % 2 = 1 and good is not null"), "doc_id").select("probability", "good").collect()
+    good, bad = ([r.probability for r in held if r.good == g] for g in (1, 0))
+    order = sum((a > b) + (a == b) / 2 for a in good for b in bad) / (len(good) * len(bad))
+    # some 200 documents teach it here; with ten times as many the area under the curve is 0.89
+    assert len(good) > 20 and len(bad) > 20 and order > 0.7
+
+
+def test_samples_are_bounded(spark):
+    # a text that repeats very often counts once in both samples
+    rows = [(f"uno dos tres cuatro {i % 3000 if i % 2 else 0}", "es", i % 5 and 1) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "text string, lang string, label int").repartition(3)
+    model = langid.fit(df, per_language=50)
+    assert model.languages and set(model.languages) == {"es"}
+    assert quality.fit(df, sample=100).bias != 0

@@ -1,17 +1,20 @@
 """Document quality by hierarchical empirical Bayes.
 
 1. A classifier gives each document's evidence: a logistic model over the presence of
-   hashed words and a few measures of style, fitted on at most about SAMPLE labelled
-   documents (those with the smallest hash).
+   hashed words and a few measures of style, fitted on at most SAMPLE different labelled
+   texts (those with the smallest hash). Every document is scored once, and what it scored
+   is written.
 2. Grouped aggregation over all documents gives each path (section of a host) and each
    host its number of documents and of good ones: the label where there is one, the
    classifier's probability elsewhere.
 3. Hosts shrink toward the global rate and paths toward their host, by prior weights
    estimated from how much the groups vary beyond chance (method of moments).
 4. A document's posterior log odds are its evidence plus the log odds of its path
-   relative to the global rate, weighted by PRIOR_WEIGHT.
+   relative to the global rate, weighted by PRIOR_WEIGHT. What the document itself, label
+   or evidence, adds to the rates of its path and host is left out of its own.
 
-Edge cases: null and empty texts have the evidence of an empty document; a null or
+Edge cases: rows that repeat each other count as documents of their own and get equal
+results; texts of any length are read whole; null and empty texts have the evidence of an empty document; a null or
 unparsable site is the host and path ''; null labels are no labels; a document with
 several labels counts with their mean; without labels of both kinds the evidence is 0
 and every rate a half; an empty table gives an empty result; extra columns stay, but
@@ -31,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from velum.llm.common import NOT_WORD, SPACES, Words, chunks, utf8
+from velum.llm.common import NOT_WORD, SPACES, Words, chunks, let_go, materialize, utf8
 
 BITS, SAMPLE, LEAST_DOCUMENTS = 20, 6000, 4
 ROUNDS, RATE, PENALTY = 150, 0.3, 2e-4
@@ -70,6 +73,7 @@ def _measures(w: Words, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For runs of documents: style, and document and bucket of each distinct word."""
+    let_go()
     texts = texts.cast(pa.large_string()).fill_null("")
     lower = pc.ascii_lower(texts)
     raw, offsets = utf8(texts)
@@ -98,11 +102,12 @@ class Evidence:
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Evidence:
     """Fit on rows (text, label); label is 1 for good and 0 for bad."""
     none = Evidence(np.zeros(1 << BITS, np.float32), np.zeros(STYLE), 0.0)
-    labelled = labelled.where(F.col("label").isNotNull() & F.col("text").isNotNull())
-    n = labelled.count()
-    if not n:
+    labelled = labelled.where(F.col("label").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64("text"))
+    cut = labelled.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if cut is None:
         return none
-    chosen = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < min(1.0, sample / n) * 1_000_003)
+    # copies of a text are one row with their number; of differing labels their mean counts
+    chosen = labelled.where(F.col("h") <= cut).groupBy("h").agg(F.min("text").alias("text"), F.round(F.avg("label")).alias("label"), F.count(F.lit(1)).alias("copies"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -110,11 +115,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Evidence:
             for style, doc, bucket in features(b.column("text")):
                 cuts = np.searchsorted(doc, np.arange(len(style) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(style), pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(cuts), pa.array(bucket.astype(np.int32))), b.column("label").slice(at, len(style))], ["style", "words", "label"]
+                    [pa.array(list(style), pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(cuts), pa.array(bucket.astype(np.int32))), b.column("label").slice(at, len(style)), b.column("copies").slice(at, len(style))], ["style", "words", "label", "copies"]
                 )
                 at += len(style)
 
-    rows = chosen.select("text", F.col("label").cast("double").alias("label")).mapInArrow(read, "style array<double>, words array<int>, label double").toPandas()  # about `sample` rows
+    rows = chosen.select("text", F.col("label").cast("double").alias("label"), "copies").mapInArrow(read, "style array<double>, words array<int>, label double, copies long").toPandas()  # at most `sample` rows
     if rows.empty or rows["label"].nunique() < 2:
         return none
     rows = rows.sort_values(["label"], kind="stable", ignore_index=True)
@@ -122,16 +127,17 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Evidence:
     style = np.stack(rows["style"])
     doc = np.repeat(np.arange(len(rows)), rows["words"].map(len))
     bucket, at = np.unique(np.concatenate(rows["words"].to_list()).astype(np.int64), return_inverse=True)
-    seen = np.bincount(at)
+    copies = rows["copies"].to_numpy(float)
+    seen = np.bincount(at, copies[doc])
     kept = (seen >= LEAST_DOCUMENTS)[at]
     doc, at = doc[kept], at[kept]
-    good = max(y.mean(), 1e-6)
-    weight = np.where(y > 0.5, 0.5 / good, 0.5 / max(1 - good, 1e-6))  # both kinds weigh the same
+    good = max(float((y * copies).sum() / copies.sum()), 1e-6)
+    weight = np.where(y > 0.5, 0.5 / good, 0.5 / max(1 - good, 1e-6)) * copies / copies.sum()  # both kinds weigh the same
     w, s, bias = np.zeros(len(bucket)), np.zeros(STYLE), 0.0
     gw, gs, gb = np.full(len(bucket), 1e-8), np.full(STYLE, 1e-8), 1e-8
     for _ in range(ROUNDS):
         z = style @ s + bias + np.bincount(doc, w[at], minlength=len(y))
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight / len(y)
+        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
         dw, ds, db = np.bincount(at, error[doc], minlength=len(bucket)) + PENALTY * w, style.T @ error, error.sum()
         gw, gs, gb = gw + dw**2, gs + ds**2, gb + db**2
         w, s, bias = w - RATE * dw / np.sqrt(gw), s - RATE * ds / np.sqrt(gs), bias - RATE * db / math.sqrt(gb)
@@ -182,20 +188,27 @@ def posteriors(docs: DataFrame) -> DataFrame:
     total = hosts.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     rate = min(max((total.good + 1) / (total.n + 2), 1e-4), 1 - 1e-4) if total.n else 0.5
     m_host, m_path = _prior_weight(hosts, rate), _prior_weight(paths, rate)
-    hosts = hosts.select("host", ((F.col("good") + m_host * rate) / (F.col("n") + m_host)).alias("host_rate"))
-    paths = paths.join(hosts, "host").select("path", "host_rate", ((F.col("good") + m_path * F.col("host_rate")) / (F.col("n") + m_path)).alias("path_rate"))
+    sums = paths.join(hosts.select("host", F.col("n").alias("host_n"), F.col("good").alias("host_good")), "host").drop("host")
+    # written, so that a path of very many documents can be split in the join
+    out = docs.join(materialize(sums, "paths"), "path").withColumn("own", good)
+    host_rate = (F.col("host_good") - F.col("own") + m_host * rate) / (F.col("host_n") - 1 + m_host)
+    path_rate = (F.col("good") - F.col("own") + m_path * F.col("host_rate")) / (F.col("n") - 1 + m_path)
+    out = out.withColumn("host_rate", host_rate).withColumn("path_rate", F.greatest(F.lit(1e-6), F.least(path_rate, F.lit(1 - 1e-6))))
     odds = F.log(F.col("path_rate") / (1 - F.col("path_rate"))) - math.log(rate / (1 - rate))
-    return docs.join(paths, "path").withColumn("prior_shift", odds)
+    return out.withColumn("prior_shift", odds)
 
 
 def assess(df: DataFrame, labels: DataFrame, label: str, text: str = "text", doc_id: str = "doc_id", url: Column | None = None, prior_weight: float = PRIOR_WEIGHT) -> DataFrame:
-    """df with evidence, host_rate, path_rate and probability of label = 1."""
-    known = labels.where(F.col(label).isNotNull()).groupBy(doc_id).agg(F.avg(F.col(label)).alias("_label"))
+    """df without its text and with evidence, host, path, host_rate, path_rate, prior_shift
+    and the probability of label = 1."""
+    made = ["evidence", "host", "path", "host_rate", "path_rate", "prior_shift", "probability"]
+    kept = [c for c in df.columns if c not in made]
+    known = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.avg(F.col(label)).alias("label"))
     host, path = site(F.col("url") if url is None else url)
-    made = ["evidence", "label", "host", "path", "host_rate", "path_rate", "prior_shift", "probability"]
-    docs = df.select(*(c for c in df.columns if c not in made), host.alias("host"), path.alias("path"))
-    training = docs.select(doc_id, F.col(text).alias("text")).join(known, doc_id).select("text", F.round("_label").alias("label"))
-    scored = score(docs, fit(training), "evidence", text).drop(text)
-    scored = scored.join(known, doc_id, "left").withColumnRenamed("_label", "label")
+    docs = df.select(F.struct(*(c for c in kept if c != text)).alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("text"), host.alias("host"), path.alias("path"))
+    training = docs.select("id", "text").join(known, "id").select("text", F.round("label").alias("label"))
+    scored = score(docs, fit(training), "evidence").drop("text")
+    scored = materialize(scored.join(known, "id", "left").drop("id"), "scored")
     out = posteriors(scored)
-    return out.withColumn("probability", 1 / (1 + F.exp(-(F.col("evidence") + prior_weight * F.col("prior_shift"))))).drop("label")
+    out = out.withColumn("probability", 1 / (1 + F.exp(-(F.col("evidence") + prior_weight * F.col("prior_shift")))))
+    return out.select("row.*", *made)
