@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from velum.functions.text import ACCENTED, PLAIN
+from velum.functions.text import FOLD_FROM, FOLD_TO
 
-_FOLD = str.maketrans(ACCENTED, PLAIN)
+_FOLD = str.maketrans(FOLD_FROM, FOLD_TO)
 #: Matches that a task holds before it hands them on; texts that it holds at once.
 _ROWS, _TEXTS = 20_000, 256
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # The accents that folding drops, one character each.
 ACCENTED = "áàäâãéèëêíìïîóòöôõúùüûñçÁÀÄÂÃÉÈËÊÍÌÏÎÓÒÖÔÕÚÙÜÛÑÇ"
 PLAIN = "aaaaaeeeeiiiiooooouuuuncAAAAAEEEEIIIIOOOOOUUUUNC"
+#: What folding replaces before it lowers; the last letter would become two.
+FOLD_FROM, FOLD_TO = ACCENTED + "İ", PLAIN + "i"
 
 #: Put before an identifier when it is hashed; a run may use its own.
 SALT = "velum-local-v1"
@@ -20,7 +22,7 @@ def let(value: Column, body) -> Column:
 
 def fold(text: Column) -> Column:
     """Lower case without accents; as long as the text."""
-    return F.lower(F.translate(F.coalesce(text, F.lit("")), ACCENTED, PLAIN))
+    return F.lower(F.translate(F.coalesce(text, F.lit("")), FOLD_FROM, FOLD_TO))
 
 
 def collapse(text: Column) -> Column:

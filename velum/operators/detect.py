@@ -94,11 +94,14 @@ _INSURER = r"(?<![a-z])(?:eps|ips|arl|aseguradora|seguro)?\s*(" + L.alternation(
 _PLACE = r"(?<![a-z])(?:" + L.alternation({*L.REGIONS, *L.DEPARTMENTS}) + r")(?![a-z])"
 
 
+# The letters that stand for one another with and without accents.
+SPELLINGS = ("aáàäâã", "eéèëê", "iíìïî", "oóòöôõ", "uúùüû", "nñ", "cç")
+
+
 def accent_free(phrase: str) -> str:
-    """A pattern that a phrase matches with any accents and case."""
-    same = {c: c + c.upper() for c in "abcdefghijklmnopqrstuvwxyz"}
-    same |= {"a": "aáàäâãAÁÀÄÂÃ", "e": "eéèëêEÉÈËÊ", "i": "iíìïîIÍÌÏÎ", "o": "oóòöôõOÓÒÖÔÕ", "u": "uúùüûUÚÙÜÛ", "n": "nñNÑ", "c": "cçCÇ"}
-    return "".join(f"[{same[c]}]" if c in same else r"[ \t]+" if c == " " else re.escape(c) for c in phrase)
+    """A pattern for a phrase of plain lower-case letters, however it is accented and cased."""
+    same = {letters[0]: letters for letters in SPELLINGS}
+    return re.sub("[a-z]", lambda m: f"[{(x := same.get(m[0], m[0]))}{x.upper()}]", phrase).replace(" ", r"[ \t]+")
 
 
 _CAPITAL = r"(?:[A-ZÁ-Ú][\wÁ-ÿ]*|[A-ZÁ-Ú]{3,})"
@@ -114,7 +117,7 @@ _AFTER = r"(?iU)^\s*(de\s+evoluci[oó]n|de\s+diagn[oó]stico|atr[aá]s|antes|pre
 
 
 def _patterns() -> list[Pattern]:
-    needs = {"email": "@", "usuario_red": "@", "url": "://", "firma_digital": ""}
+    needs = {"email": "@", "usuario_red": "@", "url": "://", "firma_digital": "", "direccion": r"[\d#]"}
     out = [Pattern(kind, i, p, needs=needs.get(kind, r"\d")) for i, (kind, p, _) in enumerate(DIRECT)]
     out += [Pattern("value_label", 20, _VALUE_LABEL, needs="[:=]"), Pattern("name_label", 22, _NAME_LABEL, needs=r"[:\-]")]
     out += [Pattern("title", 23, _TITLE), Pattern("capitals", 24, _CAPITALISED)]

@@ -7,11 +7,12 @@ from the keys that the notes are made of.
 from __future__ import annotations
 
 from velum.functions import lexicons as L
-from velum.functions.text import ACCENTED, PLAIN, SALT
+from velum.functions.text import FOLD_FROM, FOLD_TO, SALT
 from velum.operators.verify import NEUTRAL_VALUES, TECHNICAL
 from velum.plans import notes as N
+from velum.plans import samples as S
 
-_FOLD = "lower(translate({}, '" + ACCENTED + "', '" + PLAIN + "'))"
+_FOLD = "lower(translate({}, '" + FOLD_FROM + "', '" + FOLD_TO + "'))"
 _OCTET = "(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 
@@ -98,10 +99,12 @@ SQL["detect_url"] = _spans("pages", "page_id", "url", r"(?i)\bhttps?://[^\s<>\x2
 _ADDRESS = f"regexp_full_match({{}}, '({_OCTET}[.]){{{{3}}}}{_OCTET}')"
 SQL["detect_ip"] = _spans("documents", "doc_id", "text", "[0-9.]+", _ADDRESS.format("text"))
 SQL["detect_dates"] = _spans("documents", "doc_id", "text", r"\b[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}\b")
-SQL["initial_risk"] = f"""
-WITH n AS (SELECT len(regexp_extract_all(text, '{_EMAIL}')) + len(list_filter(regexp_extract_all(text, '[0-9.]+'), lambda x: {_ADDRESS.format('x')})) AS n FROM documents)
-SELECT CASE WHEN n > 12 THEN 'ALTO' WHEN coalesce(n, 0) = 0 THEN 'BAJO' ELSE 'MODERADO' END AS risk, count(*) AS n FROM n GROUP BY 1
+SQL["initial_risk_notes"] = f"""
+WITH n AS (SELECT o_custkey, count(*) AS n FROM ({FOUND}) JOIN orders ON o_orderkey = doc_id GROUP BY 1)
+SELECT CASE WHEN n > 12 THEN 'ALTO' ELSE 'MODERADO' END AS risk, count(*) AS n FROM n GROUP BY 1
 """
+for _name, _samples in S.FAMILIES.items():
+    SQL[_name] = " UNION ALL ".join(f"SELECT {K} AS doc_id, '{s.type}' AS type, CAST(length({s.before}) AS INT) AS start, {s.value} AS text, '{s.confidence}' AS confidence FROM orders WHERE {K} % {len(_samples)} = {i}" for i, s in enumerate(_samples) if s.type)
 _SEEN = f"'70.23.22.' || CAST({K} % 256 AS STRING)"
 SQL["overlap_resolution"] = f"""
 SELECT {K} AS doc_id, 'ip' AS type, 13 AS start, 13 + length({_SEEN}) AS "end", {_SEEN} AS text FROM orders
@@ -128,7 +131,7 @@ SELECT {K} AS doc_id, 'Paciente: [PACIENTE]' || chr(10) || 'Cedula: [DOCUMENTO E
 """
 SQL["rebuild_text"] = """
 SELECT conv_id AS doc_id, sha256('DOCUMENTO DESIDENTIFICADO - requiere revision humana' || chr(10) || chr(10) || string_agg(CAST(turn AS STRING) || ': ' || coalesce(text, ''), chr(10) ORDER BY turn)) AS body_sha256
-FROM conversations WHERE role = 'user' GROUP BY 1
+FROM conversations GROUP BY 1
 """
 _DECIDED = f"""SELECT p.purpose, type, CASE WHEN p.purpose = 'interconsulta' AND type IN ('edad', 'fecha') THEN 'preservar' ELSE action END AS action,
 review OR (p.purpose = 'interconsulta' AND type IN ('edad', 'fecha')) AS review

@@ -13,6 +13,7 @@ from velum.functions.text import age_band, canonical_number, fold, mask, normali
 from velum.functions import lexicons as L
 from velum.operators import audit, clinical, detect, policy, risk, verify
 from velum.plans import notes as N
+from velum.plans import samples as S
 from velum.plans import pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,10 +60,32 @@ def analyze_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def initial_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by their risk before anything is changed."""
-    found = detect.detect(_units(spark, sf_dir)).where("type in ('email', 'ip')").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    docs = _table(spark, sf_dir, "documents").select("doc_id").join(found, "doc_id", "left")
+    return _risk(_table(spark, sf_dir, "documents").select("doc_id"), _units(spark, sf_dir))
+
+
+@query
+def initial_risk_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by the risk of all their notes before anything is changed."""
+    units = N.notes(spark, sf_dir, customer="o_custkey").withColumn("unit_seq", F.col("doc_id").cast("int")).withColumn("doc_id", F.col("customer"))
+    return _risk(units.select("doc_id").distinct(), units)
+
+
+def _risk(docs: DataFrame, units: DataFrame) -> DataFrame:
+    found = detect.detect(units).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     level = risk.initial_risk(F.coalesce("n", F.lit(0)), F.lit(0), F.lit(0), F.lit(0))
-    return docs.groupBy(level.alias("risk")).agg(F.count(F.lit(1)).alias("n"))
+    return docs.join(found, "doc_id", "left").groupBy(level.alias("risk")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _sampled(family: str) -> Callable:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        units = _orders(spark, sf_dir, doc_id="o_orderkey", unit_seq="0", text=S.text(S.FAMILIES[family]))
+        return detect.detect(units).select("doc_id", "type", "start", "text", "confidence")
+
+    run.__doc__ = f"Sentences of samples.py, one for each order: {family}."
+    return run
+
+
+QUERIES |= {family: _sampled(family) for family in S.FAMILIES}
 
 
 @query
@@ -148,8 +171,8 @@ def redact_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rebuild_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of several units put together again below the notice: user turns of a conversation."""
-    turns = pipeline.units_of(_table(spark, sf_dir, "conversations").where("role = 'user'"), "conv_id", "text", "turn").withColumn("new_text", F.concat(F.col("unit_seq").cast("string"), F.lit(": "), "text"))
+    """Documents of several units put together again below the notice: turns of a conversation."""
+    turns = pipeline.units_of(_table(spark, sf_dir, "conversations"), "conv_id", "text", "turn").withColumn("new_text", F.concat(F.col("unit_seq").cast("string"), F.lit(": "), "text"))
     return pipeline.rebuilt(turns).select("doc_id", F.sha2("body", 256).alias("body_sha256"))
 
 
