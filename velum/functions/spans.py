@@ -37,6 +37,18 @@ MATCH = [
 ]
 
 
+#: Bytes that are enough work for a core; an input of less for each core is dealt out first.
+_SPLIT = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it is small: a small file often is a single split. Patterns cost
+    far more than such a shuffle; a large input has splits enough and is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if size < cores * _SPLIT else df
+
+
 def _arrow(kind: T.DataType) -> pa.DataType:
     return {T.StringType(): pa.string(), T.IntegerType(): pa.int32()}.get(kind, pa.list_(pa.string()))
 
@@ -86,7 +98,7 @@ def scan(units: DataFrame, patterns: list[Pattern], keys: list[str], text: str =
                 if rows:
                     yield out()
 
-    return units.select(*keys, *([] if text in keys else [text])).mapInArrow(run, schema)
+    return spread(units.select(*keys, *([] if text in keys else [text]))).mapInArrow(run, schema)
 
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:

@@ -11,6 +11,10 @@ from velum.functions.text import FOLD_FROM, FOLD_TO, SALT
 from velum.operators.verify import NEUTRAL_VALUES, TECHNICAL
 from velum.plans import notes as N
 from velum.plans import samples as S
+from velum.plans.pipeline import NOTICE, NOTICES
+from velum.operators.metadata import SENSITIVE
+from velum.operators.policy import REASONS, REMOVED
+from velum.operators.verify import HIGH, MODERATE, WEIGHTS
 
 _FOLD = "lower(translate({}, '" + FOLD_FROM + "', '" + FOLD_TO + "'))"
 _OCTET = "(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -129,8 +133,8 @@ SELECT {K} AS doc_id, 'Paciente: [PACIENTE]' || chr(10) || 'Cedula: [DOCUMENTO E
 || 'Ocupacion: ' || {_SECTOR} || chr(10) || 'Correo [CORREO ELIMINADO]' || chr(10) || CASE WHEN {K} % 5 = 0 THEN '{_STREET}' || chr(10) ELSE '' END
 || 'Hemoglobina: ' || {N.level()} || ' g/dl' || chr(10) || 'Losartan 50 mg cada 12 h, hace 8 anos.' AS new_text FROM orders
 """
-SQL["rebuild_text"] = """
-SELECT conv_id AS doc_id, sha256('DOCUMENTO DESIDENTIFICADO - requiere revision humana' || chr(10) || chr(10) || string_agg(CAST(turn AS STRING) || ': ' || coalesce(text, ''), chr(10) ORDER BY turn)) AS body_sha256
+SQL["rebuild_text"] = f"""
+SELECT conv_id AS doc_id, sha256('{NOTICE}' || chr(10) || chr(10) || string_agg(CAST(turn AS STRING) || ': ' || coalesce(text, ''), chr(10) ORDER BY turn)) AS body_sha256
 FROM conversations GROUP BY 1
 """
 _DECIDED = f"""SELECT p.purpose, type, CASE WHEN p.purpose = 'interconsulta' AND type IN ('edad', 'fecha') THEN 'preservar' ELSE action END AS action,
@@ -267,3 +271,65 @@ SELECT format, CASE WHEN format = '.exe' THEN 'formato no admitido' WHEN p % 7 =
 FROM f GROUP BY ALL
 """
 SQL["text_files"] = "SELECT page_id, 'añil ' || url AS text FROM pages"
+
+
+# ------------------------------------------------- metadata, verdicts, policy cases
+
+_SHOWN = f"substr({S.FIELD_VALUE}, 1, 300)"
+_NOTE = "CASE WHEN replace(lower({}), ' ', '_') IN (" + ", ".join(f"'{x}'" for x in SENSITIVE) + ") THEN 'campo sensible conocido' ELSE 'metadato del archivo' END"
+SQL["metadata_findings"] = f"""
+SELECT o_custkey AS doc_id, 'tecnico' AS category, 'metadato' AS type, {_SHOWN} AS text, CAST(length({_SHOWN}) AS INT) AS "end", 'metadatos' AS layer, {S.FIELD} AS path, 'alta' AS confidence, {_NOTE.format(S.FIELD)} AS note
+FROM orders WHERE {S.FIELD_VALUE} <> ''
+"""
+SQL["metadata_matrix"] = f"""
+SELECT o_custkey AS doc_id, {S.FIELD} || '.' || CAST({K} AS STRING) AS path, {S.FIELD} || '.' || CAST({K} AS STRING) || ' = ' || {mask(_SHOWN)} AS finding_masked, {salted_hash(_SHOWN)} AS finding_hash, 'eliminar' AS action,
+       '(no se copia al archivo reconstruido)' AS result, 'identificador tecnico: metadato del archivo' AS motive, 'bajo' AS residual_risk, false AS requires_review
+FROM orders WHERE {S.FIELD_VALUE} <> ''
+"""
+_TOLD = f"CASE WHEN {K} % 3 = 2 AND {S.FIELD} NOT IN ('TotalTime', 'Pages', 'dcterms:modified') THEN 1 ELSE 0 END"
+SQL["attack_verdicts"] = f"""
+WITH o AS (
+    SELECT {K} AS doc_id, CAST({K} % 7 = 0 AS INT) + CAST({K} % 10 = 0 AS INT) AS n_leaks, CAST({K} % 5 = 0 AS INT) AS n_residual, {_TOLD} AS n_metadata, CAST({K} % 11 = 0 AS INT) AS n_codes,
+           {K} % 4 = 0 AS author_declared FROM orders
+)
+SELECT *, CASE WHEN doc_id % 13 = 0 THEN 'NO_EVALUABLE' WHEN n_leaks > 0 OR n_codes > 0 THEN 'FAIL' WHEN n_metadata > 0 OR n_residual > 0 THEN 'REVISAR' ELSE 'PASS' END AS verdict FROM o
+"""
+SQL["context_levels"] = f"""
+WITH q AS (SELECT DISTINCT o_custkey AS doc_id, {S.QUASI} AS type FROM orders WHERE {K} % 4 <> 0)
+SELECT doc_id, sum(w) AS score, CASE WHEN sum(w) >= {HIGH} THEN 'alto' WHEN sum(w) >= {MODERATE} THEN 'moderado' ELSE 'bajo' END AS level, string_agg(type, ', ' ORDER BY type) AS kinds
+FROM q JOIN (VALUES {', '.join(f"('{k}', {v})" for k, v in WEIGHTS.items())}) t(type, w) USING (type) GROUP BY 1
+"""
+_DOUBTFUL = "('posible_nombre', 'campo_identificador_dudoso', 'posible_ocupacion')"
+#: What the policy makes of 'Medellin' as each type: action, whether a person is to look at it, and what the reason goes on with.
+_OUTCOME = f"""CASE WHEN type IN ({', '.join(f"'{k}'" for k in REMOVED)}) THEN 'eliminar' WHEN type IN ('nombre_persona', 'nombre_profesional', 'ocupacion', 'institucion', 'aseguradora', 'empleador') THEN 'sustituir'
+WHEN type = 'localidad' THEN 'generalizar' ELSE 'marcar_para_revision' END"""
+SQL["policy_cases"] = f"""
+WITH f AS (SELECT {K} AS doc_id, {S.KIND} AS type, {S.LAYER} AS layer FROM orders),
+d AS (
+    SELECT *, {_OUTCOME} AS wanted, CASE WHEN type = 'tipo_desconocido' THEN 'tipo no cubierto por la politica' WHEN type = 'fecha' THEN 'fecha no interpretable de forma segura'
+           WHEN type = 'ocupacion' THEN why || ' (sin sector conocido)' ELSE why END AS reason
+    FROM f LEFT JOIN (VALUES {_values(REASONS)}) r(type, why) USING (type)
+)
+SELECT doc_id, type, layer, CASE WHEN wanted = 'marcar_para_revision' OR layer = 'contenido' THEN wanted WHEN layer = 'comentario' THEN 'eliminar' ELSE 'marcar_para_revision' END AS action,
+       reason || CASE WHEN wanted = 'marcar_para_revision' OR layer = 'contenido' THEN '' WHEN layer = 'comentario' THEN ' (capa descartada por completo)' ELSE ' (capa no reescribible: solo se reporta)' END AS motive,
+       CASE WHEN wanted = 'marcar_para_revision' OR layer = 'nombre_archivo' THEN 'moderado' ELSE 'bajo' END AS residual_risk,
+       CASE WHEN wanted = 'marcar_para_revision' OR layer = 'nombre_archivo' THEN true WHEN layer = 'comentario' THEN false ELSE type = 'ocupacion' END AS requires_review
+FROM d
+"""
+SQL["aggressive_policy"] = f"SELECT {K} AS doc_id, split_part('posible_nombre,campo_identificador_dudoso,posible_ocupacion', ',', CAST({K} % 3 + 1 AS INT)) AS type, 'sustituir' AS action, true AS review, true AS applied FROM orders"
+SQL["rebuild_check"] = f"SELECT {K} AS doc_id, CASE WHEN {K} % 3 = 0 THEN 'N/A' WHEN {_GONE} OR {_MORE} OR {_NEW} THEN 'FAIL' ELSE 'PASS' END AS verdict, {K} % 3 <> 0 AND ({_GONE} OR {_MORE} OR {_NEW}) AS blocks FROM orders"
+SQL["notices"] = f"""
+SELECT {K} AS doc_id, {S.PURPOSE} AS purpose, {K} % 7 <> 0 AS stamped, CASE WHEN {K} % 7 <> 0 THEN CASE WHEN {S.PURPOSE} = 'docencia_sintetica' THEN '{NOTICES['docencia_sintetica']}' ELSE '{NOTICE}' END END AS notice
+FROM orders
+"""
+SQL["clinical_samples"] = f"""
+SELECT {K} AS doc_id, 'signo_vital' AS class, CAST({K} % 90 + 90 AS STRING) || '/' || CAST({K} % 40 + 50 AS STRING) AS norm FROM orders WHERE {K} % 4 = 0
+UNION ALL SELECT {K}, 'medida', CAST({K} % 9 + 1 AS STRING) || 'x' || CAST({K} % 7 + 1 AS STRING) || ' cm' FROM orders WHERE {K} % 4 = 2
+UNION ALL SELECT {K}, 'porcentaje', CAST({K} % 30 + 70 AS STRING) || ' %' FROM orders WHERE {K} % 4 = 3
+"""
+_KILOS = f"CAST({K} % 50 + 10 AS STRING) || ' kg'"
+SQL["expected_transformations"] = f"SELECT {K} AS doc_id, 'EXPECTED_TRANSFORMATION' AS state, {_KILOS} AS norm, 1 AS n FROM orders UNION ALL SELECT {K}, 'EXPECTED_TRANSFORMATION', '99 kg', 1 FROM orders"
+SQL["files_without_content"] = """
+SELECT 'p' || page_id || '.txt' AS path, 'No se pudo extraer contenido del archivo.' AS reject, 'NO_EVALUABLE' AS risk, 'REQUIRES_MANUAL_REVIEW' AS state FROM pages WHERE page_id % 3 = 0
+"""
+SQL["intact_files"] = "SELECT 'p' || page_id || '.txt' AS path, page_id % 5 <> 0 AND page_id % 3 <> 0 AS intact FROM pages"

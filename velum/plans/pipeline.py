@@ -11,7 +11,15 @@ from velum.functions.spans import scan
 from velum.operators import audit, clinical, detect, policy, risk, verify
 
 UNIT = ["doc_id", "unit_seq", "layer", "path", "editable"]
-NOTICE = "DOCUMENTO DESIDENTIFICADO - requiere revision humana"
+# The notice within a result, by purpose, and the note that goes with every file.
+NOTICE = "VERSION MINIMIZADA SUJETA A REVISION Y APROBACION HUMANA."
+NOTICES = {"docencia_sintetica": "DOCUMENTO CLINICO SINTETICO. VERSION MINIMIZADA SUJETA A REVISION Y APROBACION HUMANA."}
+WARNING = "Documento procesado mediante protocolo de desidentificacion. Existe riesgo residual. Requiere revision humana antes de compartir."
+
+
+def notice(purpose: str = "educacion", stamped: bool = True) -> str | None:
+    """What a result says of itself at its beginning; None if it is not to be stamped."""
+    return NOTICES.get(purpose, NOTICE) if stamped else None
 
 
 def units_of(df: DataFrame, doc_id: str = "doc_id", text: str = "text", unit_seq: str | None = None, layer: str = "contenido") -> DataFrame:
@@ -56,8 +64,12 @@ def process(units: DataFrame, purpose: str = "educacion", aggressive: bool = Fal
     return Processed(policy.apply(units, decided), decided, policy.matrix(decided))
 
 
-def check(units: DataFrame, done: Processed) -> DataFrame:
-    """A row for each document: checks, risk, reasons and state."""
+def check(units: DataFrame, done: Processed, reread: DataFrame | None = None, metadata: DataFrame | None = None, codes: DataFrame | None = None, unreadable: DataFrame | None = None) -> DataFrame:
+    """A row for each document: checks, risk, reasons and state.
+
+    reread: the units of the written results (doc_id, unit_seq, new_text), to be compared with
+    what was to be written; metadata, codes, unreadable: what those results hold (see verify.attack).
+    """
     docs = units.select("doc_id").distinct()
     changed = verify.changes(done.decided)
     before, after = clinical.values(units), clinical.values(done.units, "new_text")
@@ -66,9 +78,12 @@ def check(units: DataFrame, done: Processed) -> DataFrame:
     whole = verify.integrity_verdict(rows).select("doc_id", F.col("blocks").alias("integrity_blocks"), "n_exact", "n_expected", "n_unexpected", "n_missing", "n_new")
     supported = before.select("doc_id", "class", "norm").unionByName(given.select("doc_id", "class", "norm"))
     alien = verify.unsupported(done.units, supported).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_unsupported"))
-    attack = verify.attack(docs, verify.reappearing(done.units, done.decided), verify.residual(done.units, done.decided)).select("doc_id", F.col("verdict").alias("attack"), "n_leaks", "n_residual", "n_metadata")
+    attack = verify.attack(docs, verify.reappearing(done.units, done.decided), verify.residual(done.units, done.decided), metadata, codes, unreadable)
+    attack = attack.select("doc_id", F.col("verdict").alias("attack"), "n_leaks", "n_residual", "n_metadata")
     context = verify.combination(done.decided).select("doc_id", F.col("level").alias("context_level"), F.col("score").alias("context_score"))
     facts = docs
+    if reread is not None:
+        facts = facts.join(verify.rebuild_check(done.units, reread).select("doc_id", F.col("blocks").alias("rebuild_blocks"), F.col("verdict").alias("rebuild")), "doc_id", "left")
     for part in (whole, alien, attack, context, audit.per_document(done.matrix).drop("layers")):
         facts = facts.join(part, "doc_id", "left")
     return risk.review_state(risk.assess(facts))

@@ -5,6 +5,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from velum.operators.policy import PURPOSES, REASONS
+from velum.operators.verify import WEIGHTS
+
 K = "o_orderkey"
 
 
@@ -83,3 +86,23 @@ def text(samples: list[Sample]) -> str:
     """Each order's sentence."""
     cases = " ".join(f"WHEN {i} THEN {s.before} || {s.value} || {s.after}" for i, s in enumerate(samples))
     return f"CASE CAST({K} % {len(samples)} AS INT) {cases} END"
+
+
+def _one_of(words: tuple[str, ...]) -> str:
+    return f"split_part('{','.join(words)}', ',', CAST({K} % {len(words)} + 1 AS INT))"
+
+
+#: Fields of a file's metadata, and what they hold.
+FIELD = _one_of(("Author", "Title", "Last Modified By", "TotalTime", "Pages", "Company", "dcterms:modified"))
+FIELD_VALUE = "CASE WHEN o_orderkey % 9 = 0 THEN '' WHEN o_orderkey % 9 = 1 THEN repeat('Persona ' || CAST(o_custkey AS STRING) || ' ', 30) ELSE 'Persona ' || CAST(o_custkey AS STRING) END"
+#: Types of findings for the policy, the layers that they stand in, and purposes.
+KIND = _one_of((*REASONS, "tipo_desconocido"))
+LAYER = "CASE CAST(o_custkey % 4 AS INT) WHEN 0 THEN 'comentario' WHEN 1 THEN 'nombre_archivo' ELSE 'contenido' END"
+QUASI = _one_of(tuple(WEIGHTS))
+PURPOSE = _one_of(tuple(PURPOSES))
+CLINICAL = [
+    Sample("signo_vital", "'tension arterial '", f"CAST({K} % 90 + 90 AS STRING) || '/' || CAST({K} % 40 + 50 AS STRING)", "' hoy'"),
+    Sample("", "'fila '", f"CAST({K} % 90 + 90 AS STRING) || '/' || CAST({K} % 40 + 50 AS STRING)", "' hoy'"),
+    Sample("medida", "'nodulo de '", f"CAST({K} % 9 + 1 AS STRING) || ' x ' || CAST({K} % 7 + 1 AS STRING) || ' cm'", "' estable'"),
+    Sample("porcentaje", "'saturacion del '", f"CAST({K} % 30 + 70 AS STRING) || ' %'", "' hoy'"),
+]

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from velum.functions.spans import merge_intervals, scan
 from velum.functions.text import age_band, canonical_number, fold, mask, normalise, parse_date, safe_file_name, salted_hash
 from velum.functions import lexicons as L
-from velum.operators import audit, clinical, detect, policy, risk, verify
+from velum.operators import audit, clinical, detect, metadata, policy, risk, verify
 from velum.plans import notes as N
 from velum.plans import samples as S
 from velum.plans import pipeline
+from velum.sources import registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -418,3 +419,117 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     content = F.expr("CASE WHEN page_id % 2 = 0 THEN concat(X'EFBBBF', encode(concat('añil ', url), 'UTF-8')) ELSE encode(concat('añil ', url), 'ISO-8859-1') END")
     return _table(spark, sf_dir, "pages").select("page_id", decode_text(content).alias("text"))
+
+
+# ------------------------------------------------- metadata, verdicts, policy cases
+
+
+def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file's fields, one for each order of a customer."""
+    return _orders(spark, sf_dir, doc_id="o_custkey", key=f"{S.FIELD} || '.' || CAST(o_orderkey AS STRING)", field=S.FIELD, value=S.FIELD_VALUE)
+
+
+@query
+def metadata_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field of a file that is not empty is a finding."""
+    found = metadata.findings(_metadata(spark, sf_dir).withColumn("key", F.col("field")))
+    return found.select("doc_id", "category", "type", "text", "end", "layer", "path", "confidence", "note")
+
+
+@query
+def metadata_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = metadata.matrix(metadata.findings(_metadata(spark, sf_dir)))
+    return rows.select("doc_id", "path", "finding_masked", "finding_hash", "action", "result", "motive", "residual_risk", "requires_review")
+
+
+@query
+def attack_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every branch of the verdict on a result: leaks, graphic codes, metadata, findings, unreadable."""
+    docs = _orders(spark, sf_dir, doc_id="o_orderkey")
+    leaks, codes, unreadable = docs.where("doc_id % 7 = 0"), docs.where("doc_id % 11 = 0"), docs.where("doc_id % 13 = 0")
+    left = docs.where("doc_id % 5 = 0").withColumn("leaked", F.col("doc_id") % 10 == 0)
+    fields = _orders(spark, sf_dir, doc_id="o_orderkey", key=S.FIELD, value="CASE CAST(o_orderkey % 3 AS INT) WHEN 0 THEN '' WHEN 1 THEN 'Libro desidentificado' ELSE 'Persona ' || CAST(o_custkey AS STRING) END")
+    found = verify.attack(docs, leaks, left, fields.unionByName(docs.where("doc_id % 4 = 0").selectExpr("doc_id", "'author' AS key", "'Ana Rojas' AS value")), codes, unreadable, author="ANA ROJAS")
+    return found.select("doc_id", "n_leaks", "n_residual", "n_metadata", "n_codes", "author_declared", "verdict")
+
+
+@query
+def context_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quasi-identifiers that are left, at every level: an order is a finding of its customer."""
+    action = "CASE WHEN o_orderkey % 4 = 0 THEN 'generalizar' ELSE 'preservar' END"
+    decided = _orders(spark, sf_dir, doc_id="o_custkey", type=S.QUASI, text="CAST(o_orderkey AS STRING)", action=action)
+    return verify.combination(decided).select("doc_id", "score", "level", "kinds")
+
+
+@query
+def policy_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every type that a policy knows and one that it does not, in layers that can be rewritten,
+    that cannot, and that go as a whole."""
+    span = "CAST(NULL AS ARRAY<STRUCT<place:INT,start:INT,end:INT,reason:STRING>>)"
+    found = _orders(
+        spark, sf_dir, doc_id="o_orderkey", unit_seq="0", ord="0", category="'directo'", type=S.KIND, text="'Medellin'", start="0", end="8", scope_start="0", scope_end="8",
+        confidence="'alta'", detector="'x'", note="''", layer=S.LAYER, path="''", editable=f"{S.LAYER} = 'contenido'", protected=span,
+    )
+    decided = policy.decide(found, dropped_layers=("comentario",))
+    return policy.matrix(decided).select("doc_id", "type", "layer", "action", "motive", "residual_risk", "requires_review")
+
+
+@query
+def aggressive_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubtful findings, replaced because the user asks for it."""
+    span = "CAST(NULL AS ARRAY<STRUCT<place:INT,start:INT,end:INT,reason:STRING>>)"
+    doubtful = "split_part('posible_nombre,campo_identificador_dudoso,posible_ocupacion', ',', CAST(o_orderkey % 3 + 1 AS INT))"
+    found = _orders(
+        spark, sf_dir, doc_id="o_orderkey", unit_seq="0", ord="0", category="'directo'", type=doubtful, text="'Zenon'", start="0", end="5", scope_start="0", scope_end="5",
+        confidence="'media'", detector="'x'", note="''", layer="'contenido'", path="''", editable="true", protected=span,
+    )
+    return policy.decide(found, aggressive=True).select("doc_id", "type", "action", "review", "applied")
+
+
+@query
+def rebuild_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was to be written against what is read back; of every third order nothing was to be."""
+    units, _, _ = _altered(spark, sf_dir)
+    expected = units.withColumn("text", F.when(F.col("doc_id") % 3 != 0, F.col("text")))
+    return verify.rebuild_check(expected, units.withColumn("text", F.when(F.col("doc_id") % 3 != 0, F.col("new_text"))), "text")
+
+
+@query
+def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notice within a result, by purpose and wish."""
+    cases = [(p, s, pipeline.notice(p, s)) for p in policy.PURPOSES for s in (True, False)]
+    wished = spark.createDataFrame(cases, "purpose string, stamped boolean, notice string")
+    return _orders(spark, sf_dir, doc_id="o_orderkey", purpose=S.PURPOSE, stamped="o_orderkey % 7 <> 0").join(F.broadcast(wished), ["purpose", "stamped"])
+
+
+@query
+def clinical_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vital signs, measurements and percentages; a ratio that no blood pressure precedes is none."""
+    units = _orders(spark, sf_dir, doc_id="o_orderkey", unit_seq="0", text=S.text(S.CLINICAL))
+    return clinical.values(units).where(F.col("class").isin("signo_vital", "medida", "porcentaje")).select("doc_id", "class", "norm")
+
+
+@query
+def expected_transformations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that went with what was replaced and came with its replacement are expected."""
+    def found(sql: str) -> DataFrame:
+        return clinical.values(_orders(spark, sf_dir, doc_id="o_orderkey", unit_seq="0", text=sql))
+
+    level = "CAST(o_orderkey % 50 + 10 AS STRING) || ' kg'"
+    rows = verify.integrity(found(f"'pesa ' || {level}"), found("'pesa 99 kg'"), found(level), found("'99 kg'"))
+    return rows.where("class = 'numero_unidad'").select("doc_id", "state", "norm", "n")
+
+
+@query
+def files_without_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Admitted text files that gave no unit, of files made from the pages."""
+    files = _table(spark, sf_dir, "pages").selectExpr("concat('p', page_id, '.txt') AS path", "encode(url, 'UTF-8') AS content")
+    found = registry.units(files).where("cast(regexp_extract(path, '[0-9]+', 0) AS int) % 3 <> 0")
+    return registry.without_content(files, found)
+
+
+@query
+def intact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _table(spark, sf_dir, "pages").selectExpr("page_id", "concat('p', page_id, '.txt') AS path", "encode(url, 'UTF-8') AS content")
+    after = files.where("page_id % 5 <> 0").withColumn("content", F.when(F.col("page_id") % 3 == 0, F.lit(b"changed")).otherwise(F.col("content")))
+    return registry.intact(files, after)
