@@ -282,7 +282,7 @@ SELECT o_custkey AS doc_id, 'tecnico' AS category, 'metadato' AS type, {_SHOWN}
 FROM orders WHERE {S.FIELD_VALUE} <> ''
 """
 SQL["metadata_matrix"] = f"""
-SELECT o_custkey AS doc_id, {S.FIELD} || '.' || CAST({K} AS STRING) AS path, {S.FIELD} || '.' || CAST({K} AS STRING) || ' = ' || {mask(_SHOWN)} AS finding_masked, {salted_hash(_SHOWN)} AS finding_hash, 'eliminar' AS action,
+SELECT o_custkey AS doc_id, {S.FIELD} || '.' || CAST({K} AS STRING) AS path, {S.FIELD} || '.' || CAST({K} AS STRING) || ' = ' || {mask(f'trim({_SHOWN})')} AS finding_masked, {salted_hash(_SHOWN)} AS finding_hash, 'eliminar' AS action,
        '(no se copia al archivo reconstruido)' AS result, 'identificador tecnico: metadato del archivo' AS motive, 'bajo' AS residual_risk, false AS requires_review
 FROM orders WHERE {S.FIELD_VALUE} <> ''
 """
@@ -333,3 +333,7 @@ SQL["files_without_content"] = """
 SELECT 'p' || page_id || '.txt' AS path, 'No se pudo extraer contenido del archivo.' AS reject, 'NO_EVALUABLE' AS risk, 'REQUIRES_MANUAL_REVIEW' AS state FROM pages WHERE page_id % 3 = 0
 """
 SQL["intact_files"] = "SELECT 'p' || page_id || '.txt' AS path, page_id % 5 <> 0 AND page_id % 3 <> 0 AS intact FROM pages"
+SQL["audit_sections"] = f"""
+SELECT doc_id, 'r1' AS run, count(*) AS total, count(*) FILTER (WHERE action = 'generalizar') AS n_generalised, 'nombre_persona' AS first_type, CAST(7 AS BIGINT) AS n_exact, 'BAJO' AS risk, 'PENDING_REVIEW' AS state
+FROM ({FOUND}) GROUP BY 1
+"""

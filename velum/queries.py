@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velum.functions.spans import merge_intervals, scan
@@ -533,3 +533,19 @@ def intact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _table(spark, sf_dir, "pages").selectExpr("page_id", "concat('p', page_id, '.txt') AS path", "encode(url, 'UTF-8') AS content")
     after = files.where("page_id % 5 <> 0").withColumn("content", F.when(F.col("page_id") % 3 == 0, F.lit(b"changed")).otherwise(F.col("content")))
     return registry.intact(files, after)
+
+
+@query
+def audit_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers read back from the audit documents of the notes."""
+    units = N.notes(spark, sf_dir)
+    results = units.select("doc_id", F.lit("BAJO").alias("risk"), F.array(F.lit("x")).alias("reasons"), F.lit("PENDING_REVIEW").alias("state"), F.lit(7).alias("n_exact"))
+    made = audit.documents_json(results, pipeline.process(units).matrix, {"id": "r1"})
+
+    def read(path: str, kind: str = "string") -> Column:
+        return F.get_json_object("audit", path).cast(kind)
+
+    return made.select(
+        "doc_id", read("$.run.id").alias("run"), read("$.transformations.total", "long").alias("total"), F.coalesce(read("$.transformations.by_action.generalizar", "long"), F.lit(0)).alias("n_generalised"),
+        read("$.transformations.matrix[0].type").alias("first_type"), read("$.clinical_integrity.exact", "long").alias("n_exact"), read("$.residual_risk.risk").alias("risk"), read("$.state").alias("state"),
+    )
