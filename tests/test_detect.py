@@ -117,3 +117,32 @@ def test_conversations_are_read_whole(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {(r.doc_id, r.type): (r.n, r.n_distinct) for r in queries.QUERIES["conversation_findings"](spark, str(tmp_path)).collect()}
     assert got == {(1, "email"): (5, 4), (1, "ip"): (1, 1), (2, "email"): (1, 1)}
+
+
+def test_prefilters_change_nothing():
+    # what a text must hold, so that a pattern is tried at all, may not rule out a match
+    import re
+
+    from velum.operators import detect
+
+    texts = ["vive en Calle # A bis, Cali", "Firmado por: oficina, x", "Paciente - Ana Rojas", "nacido el 3 de mayo", "@vecino", "f nac. ayer noche", "Edad = 5", "x@y.org", "http://a"]
+    for p in detect.PATTERNS:
+        for t in texts:
+            if p.needs and re.search(p.regex, t):
+                assert re.search(p.needs, t), (p.kind, t)
+
+
+def test_folding_keeps_length(spark):
+    from velum.operators import detect
+
+    rows = detect.detect(spark.createDataFrame([(1, 0, "İİİİ ciudad de Cali y un docente"), (2, 0, "vive en Calle # A bis, Cali")], "doc_id int, unit_seq int, text string")).collect()
+    assert {(r.doc_id, r.type, r.text) for r in rows} >= {(1, "localidad", "Cali"), (1, "posible_ocupacion", "docente"), (2, "direccion", "Calle # A bis")}
+
+
+def test_initial_risk_counts_all_types(spark):
+    from velum import queries
+
+    text = " ".join(f"Dr. Pedro Gomez{chr(10)}Tel: 601 555 12{i:02d}{chr(10)}" for i in range(7))
+    units = spark.createDataFrame([(1, 0, text), (2, 0, "sin nada"), (3, 0, "Tel: 601 555 1234")], "doc_id int, unit_seq int, text string")
+    got = {r.risk: r.n for r in queries._risk(units.select("doc_id"), units).collect()}
+    assert got == {"ALTO": 1, "BAJO": 1, "MODERADO": 1}

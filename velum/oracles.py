@@ -337,3 +337,31 @@ SQL["audit_sections"] = f"""
 SELECT doc_id, 'r1' AS run, count(*) AS total, count(*) FILTER (WHERE action = 'generalizar') AS n_generalised, 'nombre_persona' AS first_type, CAST(7 AS BIGINT) AS n_exact, 'BAJO' AS risk, 'PENDING_REVIEW' AS state
 FROM ({FOUND}) GROUP BY 1
 """
+
+_C = "CAST(c_custkey AS STRING)"
+_PARTS = [
+    ("w", "contenido", f"'nota ' || {_C}", True, ""), ("w", "contenido", "''", True, ""), ("w", "control_cambios", "'borrado'", False, ""), ("w", "tabla", "'Ciudad'", True, ""), ("w", "tabla", f"'Villa ' || {_C}", True, "Ciudad"),
+    ("w", "metadatos", "'Revisor'", False, ""), ("w", "encabezado", f"'folio ' || {_C}", True, ""), ("w", "comentario", "'ojo'", False, ""), ("w", "metadatos", f"'Autor ' || {_C}", False, ""), ("w", "metadatos", f"'Dueno ' || {_C}", False, ""),
+    ("s", "hoja_calculo", "'Edad'", True, ""), ("s", "hoja_calculo", _C, True, "Edad"), ("s", "hoja_calculo", f"'total ' || {_C}", True, ""), ("s", "hoja_calculo", "'7'", False, None),
+    ("s", "hoja_calculo", f"'Hoja ' || {_C}", False, ""), ("s", "comentario", "'visto'", False, ""),
+]
+_PATH = {"w": f"'w' || {_C} || '.docx'", "s": f"'s' || {_C} || '.xlsx'"}
+
+
+def _label(given: str | None) -> str:
+    return f"'total ' || {_C}" if given is None else f"'{given}'" if given else "NULL"
+
+
+SQL["office_units"] = " UNION ALL ".join(f"SELECT {_PATH[f]} AS path, '{layer}' AS layer, {text} AS text, {str(editable).lower()} AS editable, {_label(label)} AS prev_label FROM customer" for f, layer, text, editable, label in _PARTS)
+SQL["office_inspection"] = f"""
+SELECT {_PATH['w']} AS path, 1 AS n_external, 1 AS n_media, CAST(c_custkey % 5 = 0 AS INT) AS n_macros, 1 AS n_deleted, 0 AS n_formulas,
+       CASE WHEN c_custkey % 5 = 0 THEN 'MACROS,' ELSE '' END || 'ENLACES_EXTERNOS,MEDIOS_INCRUSTADOS,CONTROL_DE_CAMBIOS' AS alerts FROM customer
+UNION ALL SELECT {_PATH['s']}, 0, 0, 0, 0, 1, 'FORMULAS' FROM customer
+"""
+SQL["office_metadata"] = f"""
+SELECT 'author' AS key, 'Revisor' AS text, 'campo sensible conocido' AS note FROM customer
+UNION ALL SELECT 'author', 'Autor ' || {_C}, 'campo sensible conocido' FROM customer UNION ALL SELECT 'creator', 'Dueno ' || {_C}, 'campo sensible conocido' FROM customer
+"""
+SQL["pdf_marks"] = """
+SELECT 'p' || page_id || '.pdf' AS path, ['/JavaScript', '/OpenAction,/Launch', '/EmbeddedFile', ''][page_id % 4 + 1] AS marks, page_id % 3 > 0 AND page_id % 5 * 60 < 120 * greatest(page_id % 2, 1) AS scanned FROM pages
+"""

@@ -57,6 +57,11 @@ class Processed:
         computed again where an executor is lost), as checks read them several times."""
         return Processed(self.units.persist(), decided := self.decided.persist(), policy.matrix(decided))
 
+    def release(self) -> None:
+        """Let go of what cached() keeps."""
+        self.units.unpersist()
+        self.decided.unpersist()
+
 
 def process(units: DataFrame, purpose: str = "educacion", aggressive: bool = False, dropped_layers: tuple[str, ...] = ()) -> Processed:
     """Find, decide and replace. units: see units_of."""

@@ -14,8 +14,8 @@ from velum.functions import lexicons as L
 from velum.operators import audit, clinical, detect, metadata, policy, risk, verify
 from velum.plans import notes as N
 from velum.plans import samples as S
-from velum.plans import pipeline
-from velum.sources import registry
+from velum.plans import office_samples, pipeline
+from velum.sources import files, office, registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -523,16 +523,16 @@ def expected_transformations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def files_without_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Admitted text files that gave no unit, of files made from the pages."""
-    files = _table(spark, sf_dir, "pages").selectExpr("concat('p', page_id, '.txt') AS path", "encode(url, 'UTF-8') AS content")
-    found = registry.units(files).where("cast(regexp_extract(path, '[0-9]+', 0) AS int) % 3 <> 0")
-    return registry.without_content(files, found)
+    made = _table(spark, sf_dir, "pages").selectExpr("concat('p', page_id, '.txt') AS path", "encode(url, 'UTF-8') AS content")
+    found = registry.units(made).where("cast(regexp_extract(path, '[0-9]+', 0) AS int) % 3 <> 0")
+    return registry.without_content(made, found)
 
 
 @query
 def intact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _table(spark, sf_dir, "pages").selectExpr("page_id", "concat('p', page_id, '.txt') AS path", "encode(url, 'UTF-8') AS content")
-    after = files.where("page_id % 5 <> 0").withColumn("content", F.when(F.col("page_id") % 3 == 0, F.lit(b"changed")).otherwise(F.col("content")))
-    return registry.intact(files, after)
+    before = _table(spark, sf_dir, "pages").selectExpr("page_id", "concat('p', page_id, '.txt') AS path", "encode(url, 'UTF-8') AS content")
+    after = before.where("page_id % 5 <> 0").withColumn("content", F.when(F.col("page_id") % 3 == 0, F.lit(b"changed")).otherwise(F.col("content")))
+    return registry.intact(before, after)
 
 
 @query
@@ -549,3 +549,32 @@ def audit_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", read("$.run.id").alias("run"), read("$.transformations.total", "long").alias("total"), F.coalesce(read("$.transformations.by_action.generalizar", "long"), F.lit(0)).alias("n_generalised"),
         read("$.transformations.matrix[0].type").alias("first_type"), read("$.clinical_integrity.exact", "long").alias("n_exact"), read("$.residual_risk.risk").alias("risk"), read("$.state").alias("state"),
     )
+
+
+@query
+def office_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The units of Word and Excel files made from the customers."""
+    return office.units(office_samples.files(spark, sf_dir)).select("path", "layer", "text", "editable", "prev_label")
+
+
+@query
+def office_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What such files hold beside their text."""
+    found = office.inspect(office_samples.files(spark, sf_dir))
+    return found.withColumn("alerts", F.array_join("alerts", ",")).drop("doc_id")
+
+
+@query
+def office_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Their properties and authors as findings."""
+    found = office.metadata(office_samples.files(spark, sf_dir))
+    return metadata.findings(found).select(F.col("path").alias("key"), "text", "note")
+
+
+@query
+def pdf_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active content that PDF files name, and whether they seem to be scans."""
+    body = "concat('%PDF-1.4 ', CASE CAST(page_id % 4 AS INT) WHEN 0 THEN '/JavaScript x' WHEN 1 THEN '/Launch /OpenAction' WHEN 2 THEN '/EmbeddedFile' ELSE 'plain' END)"
+    made = _table(spark, sf_dir, "pages").selectExpr("page_id", "concat('p', page_id, '.pdf') AS path", f"encode({body}, 'UTF-8') AS content")
+    seen = files.scanned(F.col("page_id") % 3, F.col("page_id") % 5 * 60, F.col("page_id") % 2)
+    return files.pdf_marks(made).join(made.select("path", seen.alias("scanned")), "path").select("path", F.array_join("marks", ",").alias("marks"), "scanned")

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from velum.functions.text import safe_file_name
 
-# Limits of inputs, and how the contents of formats begin.
-MAX_BYTES, MAX_CHARS = 40 * 1024 * 1024, 4_000_000
+# The limit of inputs, and how the contents of formats begin.
+MAX_BYTES = 40 * 1024 * 1024
 FORMATS = (".txt", ".md", ".docx", ".pdf", ".png", ".jpg", ".jpeg", ".xlsx")
 _ZIP = "504B0304"
 MAGIC = {".docx": [_ZIP], ".xlsx": [_ZIP], ".pdf": ["25504446"], ".png": ["89504E470D0A1A0A"], ".jpg": ["FFD8FF"], ".jpeg": ["FFD8FF"]}
@@ -57,9 +57,10 @@ def decode_text(content: Column) -> Column:
 
 
 def text_units(files: DataFrame) -> DataFrame:
-    """Admitted text files as units: the body, and the file name, which cannot be rewritten."""
+    """Admitted text files as units: the whole body, and the file name, which cannot be rewritten.
+    What is admitted has at most MAX_BYTES, so no text needs to be cut."""
     df = admit(files).where("reject is null and format in ('.txt', '.md')").withColumn("doc_id", F.xxhash64("path"))
-    body = F.struct(F.lit(0).alias("unit_seq"), F.lit("contenido").alias("layer"), F.lit(True).alias("editable"), F.substring(decode_text(F.col("content")), 1, MAX_CHARS).alias("text"))
+    body = F.struct(F.lit(0).alias("unit_seq"), F.lit("contenido").alias("layer"), F.lit(True).alias("editable"), decode_text(F.col("content")).alias("text"))
     name = F.struct(F.lit(1).alias("unit_seq"), F.lit("nombre_archivo").alias("layer"), F.lit(False).alias("editable"), F.regexp_extract("path", r"([^/\\]*)$", 1).alias("text"))
     return df.select("doc_id", "path", F.explode(F.array(body, name)).alias("u")).select("doc_id", "u.unit_seq", "u.layer", "path", "u.editable", "u.text")
 

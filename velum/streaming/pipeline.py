@@ -18,9 +18,10 @@ def redact_stream(docs: DataFrame, out: str, checkpoint: str, purpose: str = "ed
     text) under out, a partition for each batch."""
 
     def batch(df: DataFrame, number: int) -> None:
-        done = pipeline.process(pipeline.units_of(df), purpose)
+        done = pipeline.process(pipeline.units_of(df), purpose).cached()
         done.units.select("doc_id", "new_text").write.mode("overwrite").parquet(f"{out}/texts/batch={number}")
         done.matrix.write.mode("overwrite").parquet(f"{out}/matrix/batch={number}")
+        done.release()
 
     writer = docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
