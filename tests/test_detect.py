@@ -142,7 +142,7 @@ def test_folding_keeps_length(spark):
 def test_initial_risk_counts_all_types(spark):
     from velum import queries
 
-    text = " ".join(f"Dr. Pedro Gomez{chr(10)}Tel: 601 555 12{i:02d}{chr(10)}" for i in range(7))
+    text = "; ".join(f"correo a{i}@b.org, Tel: 601 555 12{i:02d}" for i in range(7))
     units = spark.createDataFrame([(1, 0, text), (2, 0, "sin nada"), (3, 0, "Tel: 601 555 1234")], "doc_id int, unit_seq int, text string")
     got = {r.risk: r.n for r in queries._risk(units.select("doc_id"), units).collect()}
     assert got == {"ALTO": 1, "BAJO": 1, "MODERADO": 1}

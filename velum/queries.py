@@ -311,7 +311,8 @@ def adversarial_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = N.notes(spark, sf_dir, leak=f"CASE WHEN o_orderkey % 17 = 0 THEN ' ' || {N.IDENTITY} ELSE '' END")
     done = pipeline.process(units)
     spoilt = done.units.withColumn("new_text", F.concat("new_text", "leak"))
-    return verify.attack(units, verify.reappearing(spoilt, done.decided), verify.residual(spoilt, done.decided))
+    found = verify.attack(units, verify.reappearing(spoilt, done.decided), verify.residual(spoilt, done.decided))
+    return found.select("doc_id", "n_leaks", "n_residual", "n_metadata", "verdict")
 
 
 @query
