@@ -45,7 +45,7 @@ def spread(df: DataFrame) -> DataFrame:
     """df over all cores, if it is small: a small file often is a single split. Patterns cost
     far more than such a shuffle; a large input has splits enough and is not shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    size = df._jdf.queryExecution().analyzed().stats().sizeInBytes()
     return df.repartition(cores) if size < cores * _SPLIT else df
 
 
