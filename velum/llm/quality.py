@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from velum.llm.common import NOT_WORD, SPACES, Words, chunks, let_go, materialize, utf8
+from velum.llm.common import NOT_WORD, SPACES, Words, chunks, discard, let_go, materialize, utf8
 
 BITS, SAMPLE, LEAST_DOCUMENTS = 20, 6000, 4
 ROUNDS, RATE, PENALTY = 150, 0.3, 2e-4
@@ -101,13 +101,20 @@ class Evidence:
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Evidence:
     """Fit on rows (text, label); label is 1 for good and 0 for bad."""
+    rows = labelled.where(F.col("label").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64("text"))
+    return _fit(rows.select("h", F.col("h").alias("id"), "label"), rows.select(F.col("h").alias("id"), "text"), sample)
+
+
+def _fit(marks: DataFrame, texts: DataFrame, sample: int) -> Evidence:
+    """marks: (h, id, label) of every labelled text, h its hash; texts: (id, text) of all texts."""
     none = Evidence(np.zeros(1 << BITS, np.float32), np.zeros(STYLE), 0.0)
-    labelled = labelled.where(F.col("label").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64("text"))
-    cut = labelled.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    cut = marks.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if cut is None:
         return none
     # copies of a text are one row with their number; of differing labels their mean counts
-    chosen = labelled.where(F.col("h") <= cut).groupBy("h").agg(F.min("text").alias("text"), F.round(F.avg("label")).alias("label"), F.count(F.lit(1)).alias("copies"))
+    chosen = marks.where(F.col("h") <= cut).groupBy("h").agg(F.min("id").alias("id"), F.round(F.avg("label")).alias("label"), F.count(F.lit(1)).alias("copies"))
+    # at most `sample` rows are broadcast, so no text moves but theirs
+    chosen = texts.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["id", "h"]).dropDuplicates(["h"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -206,8 +213,11 @@ def assess(df: DataFrame, labels: DataFrame, label: str, text: str = "text", doc
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.avg(F.col(label)).alias("label"))
     host, path = site(F.col("url") if url is None else url)
     docs = df.select(F.struct(*(c for c in kept if c != text)).alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("text"), host.alias("host"), path.alias("path"))
-    training = docs.select("id", "text").join(known, "id").select("text", F.round("label").alias("label"))
-    scored = score(docs, fit(training), "evidence").drop("text")
+    hashed = docs.where("text is not null").select("id", F.xxhash64("text").alias("h"))
+    marks = materialize(hashed.join(known, "id").select("h", "id", F.round("label").alias("label")), "labelled")
+    model = _fit(marks, docs.select("id", "text"), SAMPLE)
+    discard(marks)
+    scored = score(docs, model, "evidence").drop("text")
     scored = materialize(scored.join(known, "id", "left").drop("id"), "scored")
     out = posteriors(scored)
     out = out.withColumn("probability", 1 / (1 + F.exp(-(F.col("evidence") + prior_weight * F.col("prior_shift")))))
