@@ -19,5 +19,5 @@ def test_stages_and_rows(spark):
 
 
 def test_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
     assert set(oracles.SQL) <= set(queries.queries())

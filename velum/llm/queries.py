@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velum.llm import bpe_duckdb, chat, decontaminate, embedding_dedup, langid, licences, oracles, quality, substrings, token_store, weighted_minhash
+from velum.llm import (
+    bpe_duckdb, bpe_numpy, chat, decontaminate, embedding_dedup, hard_negatives, infill, langid, licences, oracles, quality, substrings, token_store, weighted_minhash,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,9 +76,26 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_duckdb.digests(coded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = infill.restore(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op13_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_numpy.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), ids=None, packed="packed", decoded="decoded")
+    return bpe_numpy.digests(coded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 OPERATORS = (
     op1_near_vectors, op2_chat_format, op3_benchmark_overlaps, op4_remove_repeats, op5_licences,
     op6_language, op7_token_store, op8_near_duplicates, op9_quality, op10_bpe_roundtrip,
+    op11_fill_in_middle, op12_hard_negatives, op13_bpe_roundtrip,
 )
 
 

@@ -30,8 +30,9 @@ def raw(key: str) -> str:
     return key[1:] if first == "\r" else key if first == "\n" else " " + key
 
 
-def cut(texts: pa.Array) -> pa.ListArray:
-    """The keys of each text, in order; their raw texts joined are the text."""
+def cut(texts: pa.Array, matches: Callable[[str], list[str]] = PATTERN.findall) -> pa.ListArray:
+    """The keys of each text, in order; their raw texts joined are the text. matches: how
+    the split pattern cuts a text."""
     texts = texts.cast(pa.large_string()).fill_null("")
     odd = pc.match_substring_regex(texts, ODD)
     plain = texts.filter(pc.invert(odd))
@@ -39,7 +40,7 @@ def cut(texts: pa.Array) -> pa.ListArray:
     keys = pc.split_pattern(marked, " ")
     if len(plain) == len(texts):
         return keys
-    rest = pa.array([["\r" + w for w in PATTERN.findall(t)] for t in texts.filter(odd).to_pylist()], keys.type)
+    rest = pa.array([["\r" + w for w in matches(t)] for t in texts.filter(odd).to_pylist()], keys.type)
     odd = odd.to_numpy(zero_copy_only=False)
     place = np.where(odd, len(plain) + np.cumsum(odd) - 1, np.cumsum(~odd) - 1)
     return pa.concat_arrays([keys, rest]).take(pa.array(place))
@@ -70,9 +71,9 @@ class Known:
         return ids, at.astype(np.int64)
 
 
-def encode(texts: pa.Array, known: Known) -> tuple[np.ndarray, np.ndarray]:
+def encode(texts: pa.Array, known: Known, matches: Callable[[str], list[str]] = PATTERN.findall) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts in one array, and where each text's begin."""
-    keys = cut(texts)
+    keys = cut(texts, matches)
     bounds = np.asarray(keys.offsets) - keys.offsets[0].as_py()
     distinct = keys.flatten().dictionary_encode()
     ids, at = known.look_up(distinct.dictionary)
