@@ -138,7 +138,7 @@ def decide(findings: DataFrame, purpose: str = "educacion", aggressive: bool = F
     """findings with action, result, reason, review, integrity and applied.
 
     A change that would touch protected clinical content is blocked, but has used its
-    pseudonym. In layers that cannot be rewritten a change is a mark, or the layer goes.
+    pseudonym (findings have guard, its reason, or protected, the spans). In layers that cannot be rewritten a change is a mark, or the layer goes.
     """
     return decide_for(findings, (purpose,), aggressive, dropped_layers).drop("purpose")
 
@@ -149,7 +149,8 @@ def decide_for(findings: DataFrame, purposes: tuple[str, ...] = tuple(PURPOSES),
     for_each = F.explode(F.array(*(F.struct(F.lit(p).alias("purpose"), _decision(PURPOSES[p], aggressive).alias("c")) for p in purposes)))
     df = df.withColumn("_p", for_each).withColumns({"purpose": F.col("_p.purpose"), "_c": F.col("_p.c")}).drop("_p")
     changes = F.col("_c.action").isin(*CHANGES)
-    df = df.withColumn("_clash", F.when(changes, clash(F.col("start"), F.col("end"), F.col("protected"))))
+    guard = F.col("guard") if "guard" in findings.columns else clash(F.col("start"), F.col("end"), F.col("protected"))
+    df = df.withColumn("_clash", F.when(changes, guard))
     free, dropped = F.col("_clash").isNull(), F.col("layer").isin(*dropped_layers) if dropped_layers else F.lit(False)
     rewritten = changes & free & F.col("editable")
     gone = changes & free & ~F.col("editable") & dropped
@@ -165,7 +166,7 @@ def decide_for(findings: DataFrame, purposes: tuple[str, ...] = tuple(PURPOSES),
         "integrity": F.when(changes & ~free, "protegida: cambio bloqueado").when(changes, "preservada").otherwise("no aplica"),
         "applied": F.coalesce(rewritten, F.lit(False)),
     })
-    return df.drop("_c", "_clash")
+    return df.drop("_c", "_clash", "guard")
 
 
 def matrix(decided: DataFrame) -> DataFrame:

@@ -339,6 +339,12 @@ FROM ({FOUND}) GROUP BY 1
 """
 
 _C = "CAST(c_custkey AS STRING)"
+
+
+def _band(age: str) -> str:
+    return f"CASE WHEN {age} > 120 THEN '[EDAD]' WHEN {age} >= 90 THEN '90 anos o mas' WHEN {age} < 1 THEN 'menor de 1 ano' ELSE CAST(({age}) // 10 * 10 AS STRING) || '-' || CAST(({age}) // 10 * 10 + 9 AS STRING) || ' anos' END"
+
+
 _PARTS = [
     ("w", "contenido", f"'nota ' || {_C}", True, ""), ("w", "contenido", "''", True, ""), ("w", "control_cambios", "'borrado'", False, ""), ("w", "tabla", "'Ciudad'", True, ""), ("w", "tabla", f"'Villa ' || {_C}", True, "Ciudad"),
     ("w", "metadatos", "'Revisor'", False, ""), ("w", "encabezado", f"'folio ' || {_C}", True, ""), ("w", "comentario", "'ojo'", False, ""), ("w", "metadatos", f"'Autor ' || {_C}", False, ""), ("w", "metadatos", f"'Dueno ' || {_C}", False, ""),
@@ -362,6 +368,50 @@ SQL["office_metadata"] = f"""
 SELECT 'author' AS key, 'Revisor' AS text, 'campo sensible conocido' AS note FROM customer
 UNION ALL SELECT 'author', 'Autor ' || {_C}, 'campo sensible conocido' FROM customer UNION ALL SELECT 'creator', 'Dueno ' || {_C}, 'campo sensible conocido' FROM customer
 """
+# each place of a report and a sheet as they are written: kind of file, uid, kind, style, text
+_REPORT_AGE, _TABLE_AGE, _SHEET_AGE = "c_custkey % 97 + 1", "c_custkey % 80 + 10", f"CAST(substr({_C}, 1, 3) AS INT)"
+_WRITTEN = [
+    ("r", "document/p1", "text", "", "'VERSION MINIMIZADA SUJETA A REVISION Y APROBACION HUMANA.'"), ("r", "document/p2", "text", "Heading1", "'Informe'"),
+    ("r", "document/p3", "text", "Heading1", f"'Caso ' || {_C}"), ("r", "document/p4", "text", "", "'Paciente: [PACIENTE]'"),
+    ("r", "document/p5", "text", "", f"'Edad: ' || {_band(_REPORT_AGE)} || '. Hemoglobina ' || CAST(8 + c_custkey % 7 AS STRING) || '.' || CAST(c_custkey % 10 AS STRING) || ' g/dL.'"),
+    ("r", "document/p6", "text", "", "'Se revisa.'"),
+    ("r", "document/t7/0/0", "cell", "", "'Municipio'"), ("r", "document/t7/0/1", "cell", "", "'[LOCALIDAD]'"), ("r", "document/t7/1/0", "cell", "", "'Edad'"), ("r", "document/t7/1/1", "cell", "", _band(_TABLE_AGE)),
+    ("r", "document/t7/2/0", "cell", "", "'Leucocitos'"), ("r", "document/t7/2/1", "cell", "", "CAST(4 + c_custkey % 5 AS STRING) || '.' || CAST(c_custkey % 10 AS STRING)"),
+    ("r", "document/p8", "text", "Heading2", "'Conducta'"), ("r", "document/p9", "text", "", "'Control en consulta.'"),
+    ("r", "document/p10", "text", "", "''"), ("r", "document/p11", "text", "Heading2", "'ANEXO A - ENCABEZADOS (extraidos y minimizados)'"), ("r", "document/p12", "text", "", "'Correo [CORREO ELIMINADO]'"),
+    ("r", "document/p13", "text", "", "''"), ("r", "document/p14", "text", "Heading2", "'ANEXO B - PIES DE PAGINA (extraidos y minimizados)'"), ("r", "document/p15", "text", "", "'Pagina'"),
+    ("s", "sheet1!", "sheet", "", f"'Hoja ' || {_C}"), ("s", "sheet1!A1", "cell", "", "'VERSION MINIMIZADA SUJETA A REVISION Y APROBACION HUMANA.'"), ("s", "sheet1!A2", "cell", "", "'Edad'"),
+    ("s", "sheet1!B2", "cell", "", _band(_SHEET_AGE)), ("s", "sheet1!A3", "cell", "", f"'total ' || {_C}"), ("s", "sheet1!B3", "number", "", "'7'"),
+]
+_PATH["r"] = f"'r' || {_C} || '.docx'"
+SQL["office_round_trip"] = " UNION ALL ".join(f"SELECT {_PATH[f]} AS path, '{uid}' AS uid, '{kind}' AS kind, '{style}' AS style, {text} AS text FROM customer" for f, uid, kind, style, text in _WRITTEN)
+_SAID = {
+    "docProps/app.xml:TotalTime": "'0'", "docProps/core.xml:title": "CASE format WHEN 'docx' THEN 'Documento desidentificado' ELSE 'Libro desidentificado' END",
+    "docProps/core.xml:description": "'Texto desidentificado. Requiere revision humana.'", "docProps/core.xml:revision": "'1'", "docProps/core.xml:created": "'2000-01-01T00:00:00Z'",
+    "docProps/core.xml:modified": "'2000-01-01T00:00:00Z'", "docProps/core.xml:contentStatus": "'DESIDENTIFICADO - PENDIENTE DE REVISION'",
+}
+SQL["office_properties"] = "WITH f AS (SELECT unnest(['docx', 'xlsx']) AS format, count(*) AS n FROM customer) " + " UNION ALL ".join(
+    f"SELECT format, 'property' AS kind, '{part}' AS part, {text} AS text, n FROM f" for part, text in _SAID.items()
+)
+_CODES = {
+    "CONTROL_CAMBIOS": ("advertencia", "r", "true"), "MACROS": ("critica", "r", "c_custkey % 5 = 0"), "OBJETOS_EMBEBIDOS": ("critica", "r", "c_custkey % 7 = 0"),
+    "XML_INVALIDO": ("advertencia", "r", "c_custkey % 9 = 0"), "FORMULAS": ("advertencia", "s", "true"),
+}
+SQL["office_alerts"] = " UNION ALL ".join(f"SELECT {_PATH[f]} AS path, '{level}' AS level, '{code}' AS code, CAST(1 AS BIGINT) AS n FROM customer WHERE {when}" for code, (level, f, when) in _CODES.items())
+_GRAVE = "CAST(c_custkey % 5 = 0 AS INT) + CAST(c_custkey % 7 = 0 AS INT)"
+# an age that ends its band, or begins the last one, still stands in the text of the band: that is found as a leak
+_LEAK = f"(({_REPORT_AGE}) < 90 AND ({_REPORT_AGE}) % 10 = 9 OR ({_REPORT_AGE}) = 90)"
+SQL["office_check"] = f"""
+SELECT {_PATH['r']} AS path, CASE WHEN {_LEAK} THEN 'FAIL' ELSE 'PASS' END AS attack, 'PASS' AS rebuild, 0 AS n_metadata, CAST({_GRAVE} AS BIGINT) AS n_critical_alerts,
+       CASE WHEN {_LEAK} THEN 'ALTO' WHEN {_GRAVE} > 0 THEN 'MODERADO' ELSE 'BAJO' END AS risk, CASE WHEN {_LEAK} THEN 'REQUIRES_MANUAL_REVIEW' ELSE 'PENDING_REVIEW' END AS state FROM customer
+UNION ALL SELECT {_PATH['s']}, 'PASS', 'PASS', 0, 0, 'BAJO', 'PENDING_REVIEW' FROM customer
+"""
+SQL["office_sanitise"] = f"""
+SELECT {_PATH['r']} AS path, 'docProps/custom.xml,word/comments.xml,word/people.xml' || CASE WHEN c_custkey % 5 = 0 THEN ',word/vbaProject.bin' ELSE '' END AS removed,
+       'docProps/app.xml:TotalTime=0,docProps/core.xml:creator=Dueno ' || {_C} || ',word/document.xml=Revisora' AS told FROM customer
+UNION ALL SELECT {_PATH['s']}, '', NULL FROM customer
+"""
+SQL["user_format"] = "SELECT 'customer.parquet' AS name, c_custkey, c_name AS text FROM customer"
 SQL["pdf_marks"] = """
 SELECT 'p' || page_id || '.pdf' AS path, ['/JavaScript', '/OpenAction,/Launch', '/EmbeddedFile', ''][page_id % 4 + 1] AS marks, page_id % 3 > 0 AND page_id % 5 * 60 < 120 * greatest(page_id % 2, 1) AS scanned FROM pages
 """

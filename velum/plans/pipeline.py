@@ -29,18 +29,21 @@ def units_of(df: DataFrame, doc_id: str = "doc_id", text: str = "text", unit_seq
 
 
 def annotate(units: DataFrame) -> DataFrame:
-    """The findings of units, one row each, with what is protected around them.
+    """The findings of units, one row each, with guard: why its place is protected, null if it is not.
 
     Texts are read once for identifiers and clinical content; only matches are shuffled, once,
-    by unit.
+    by unit. Units may have prev_label, the text of the cell to the left. What is protected stays
+    in the row of its unit.
     """
-    found = clinical.vital(scan(units, [*detect.PATTERNS, *clinical.GUARDS], UNIT))
-    found = detect.add_finding(found).withColumn("p", clinical.guard())
+    label = "prev_label" if "prev_label" in units.columns else None
+    found = clinical.vital(scan(units, [*detect.PATTERNS, *clinical.GUARDS, *([detect.CELL] if label else [])], [*UNIT, *([label] if label else [])]))
+    found = detect.add_finding(found, label).withColumn("p", clinical.guard())
     whole = found.groupBy("doc_id", "unit_seq").agg(
         *(F.first(c).alias(c) for c in UNIT[2:]), F.collect_list(detect.candidate()).alias("c"), F.array_sort(F.collect_list("p")).alias("protected")
     )
     resolved = whole.where(F.size("c") > 0).withColumn("f", detect.resolve(detect.without_ruled_out(F.col("c"))))
-    return resolved.select(*UNIT, "protected", F.posexplode("f").alias("ord", "h")).select(*UNIT, "protected", "ord", "h.*")
+    one = resolved.select(*UNIT, "protected", F.posexplode("f").alias("ord", "h"))
+    return one.select(*UNIT, clinical.clash(F.col("h.start"), F.col("h.end"), F.col("protected")).alias("guard"), "ord", "h.*")
 
 
 @dataclass(frozen=True)
@@ -69,13 +72,19 @@ def process(units: DataFrame, purpose: str = "educacion", aggressive: bool = Fal
     return Processed(policy.apply(units, decided), decided, policy.matrix(decided))
 
 
-def check(units: DataFrame, done: Processed, reread: DataFrame | None = None, metadata: DataFrame | None = None, codes: DataFrame | None = None, unreadable: DataFrame | None = None) -> DataFrame:
+def check(
+    units: DataFrame, done: Processed, reread: DataFrame | None = None, metadata: DataFrame | None = None, codes: DataFrame | None = None, unreadable: DataFrame | None = None,
+    alerts: DataFrame | None = None, expected: DataFrame | None = None, author: str = "",
+) -> DataFrame:
     """A row for each document: checks, risk, reasons and state.
 
     reread: the units of the written results (doc_id, unit_seq, new_text), to be compared with
-    what was to be written; metadata, codes, unreadable: what those results hold (see verify.attack).
+    what was to be written (expected; all units if that is not given), and searched for identifiers in its place; metadata, codes,
+    unreadable, author: what those results hold (see verify.attack); alerts: doc_id, level of what
+    was found in the originals.
     """
     docs = units.select("doc_id").distinct()
+    result = done.units if reread is None else reread
     changed = verify.changes(done.decided)
     before, after = clinical.values(units), clinical.values(done.units, "new_text")
     given = clinical.values(changed.withColumn("unit_seq", F.col("ord")), "new")
@@ -83,12 +92,14 @@ def check(units: DataFrame, done: Processed, reread: DataFrame | None = None, me
     whole = verify.integrity_verdict(rows).select("doc_id", F.col("blocks").alias("integrity_blocks"), "n_exact", "n_expected", "n_unexpected", "n_missing", "n_new")
     supported = before.select("doc_id", "class", "norm").unionByName(given.select("doc_id", "class", "norm"))
     alien = verify.unsupported(done.units, supported).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_unsupported"))
-    attack = verify.attack(docs, verify.reappearing(done.units, done.decided), verify.residual(done.units, done.decided), metadata, codes, unreadable)
+    attack = verify.attack(docs, verify.reappearing(result, done.decided), verify.residual(result, done.decided), metadata, codes, unreadable, author)
     attack = attack.select("doc_id", F.col("verdict").alias("attack"), "n_leaks", "n_residual", "n_metadata")
     context = verify.combination(done.decided).select("doc_id", F.col("level").alias("context_level"), F.col("score").alias("context_score"))
     facts = docs
     if reread is not None:
-        facts = facts.join(verify.rebuild_check(done.units, reread).select("doc_id", F.col("blocks").alias("rebuild_blocks"), F.col("verdict").alias("rebuild")), "doc_id", "left")
+        facts = facts.join(verify.rebuild_check(done.units if expected is None else expected, reread).select("doc_id", F.col("blocks").alias("rebuild_blocks"), F.col("verdict").alias("rebuild")), "doc_id", "left")
+    if alerts is not None:
+        facts = facts.join(alerts.groupBy("doc_id").agg(F.count(F.when(F.col("level") == "critica", 1)).alias("n_critical_alerts")), "doc_id", "left")
     for part in (whole, alien, attack, context, audit.per_document(done.matrix).drop("layers")):
         facts = facts.join(part, "doc_id", "left")
     return risk.review_state(risk.assess(facts))

@@ -14,8 +14,8 @@ from velum.functions import lexicons as L
 from velum.operators import audit, clinical, detect, metadata, policy, risk, verify
 from velum.plans import notes as N
 from velum.plans import samples as S
-from velum.plans import office_samples, pipeline
-from velum.sources import files, office, registry
+from velum.plans import office_run, office_samples, pipeline
+from velum.sources import datasource, files, office, office_write, registry, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -572,6 +572,70 @@ def office_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.findings(found).select(F.col("path").alias("key"), "text", "note")
 
 
+def _written(spark: SparkSession, sf_dir: str, name: str) -> tuple[office_run.Run, DataFrame]:
+    """A run over reports made from the customers, and the listing of the files that it wrote."""
+    run = office_run.process(office.listing(office_samples.reports(spark, sf_dir)))
+    folder = scratch.folder(spark, name)
+    datasource.write(run.trees, folder)
+    return run, datasource.read(spark, folder)
+
+
+@query
+def office_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports and sheets, de-identified, written anew and read again: texts, places and styles."""
+    run, written = _written(spark, sf_dir, "round_trip")
+    found = written.where("uid is not null").drop("path").join(run.trees.select("name", "path"), "name")
+    return found.select("path", "uid", "kind", F.coalesce("style", F.lit("")).alias("style"), "text")
+
+
+@query
+def office_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What written files say of themselves, and what else they hold: nothing."""
+    run, written = _written(spark, sf_dir, "properties")
+    found = written.where("uid is null").drop("path").join(run.trees.select("name", "format"), "name")
+    return found.groupBy("format", "kind", "part", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def office_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the originals hold beside their texts, and how grave that is."""
+    return office.alerts(office.listing(office_samples.reports(spark, sf_dir))).select("path", "level", "code", "n")
+
+
+@query
+def office_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risk and state of reports after the written files were read again; macros and embedded objects raise it."""
+    run, written = _written(spark, sf_dir, "check")
+    checked = office_run.check(run, written).join(run.trees.select("doc_id", "path"), "doc_id")
+    return checked.select("path", "attack", "rebuild", F.coalesce("n_metadata", F.lit(0)).alias("n_metadata"), "n_critical_alerts", "risk", "state")
+
+
+@query
+def office_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts taken out of the originals, and what is left to be read of them."""
+    clean = office_write.sanitise(office_samples.reports(spark, sf_dir))
+    left = office.listing(clean.select("path", "content")).where("kind in ('property', 'author') or part like 'word/comments%'")
+    told = left.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "part", "text"))), ",").alias("told"))
+    return clean.select("path", F.array_join("removed", ",").alias("removed")).join(told, "path", "left")
+
+
+def _customers_in_parquet(content: bytes) -> list[tuple]:
+    """A reader of a format that the library does not know: a text for each row."""
+    import io
+
+    import pyarrow.parquet as pq
+
+    table = pq.read_table(io.BytesIO(content), columns=["c_custkey", "c_name"]).to_pylist()
+    return [("rows", "text", None, 0, r["c_name"], str(r["c_custkey"]), "", 1, i) for i, r in enumerate(table)]
+
+
+@query
+def user_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a format added from outside; the filter on the name keeps other files closed."""
+    found = datasource.read(spark, sf_dir, {".parquet": _customers_in_parquet}).where("name = 'customer.parquet'")
+    return found.select("name", F.col("uid").cast("long").alias("c_custkey"), "text")
+
+
 @query
 def pdf_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active content that PDF files name, and whether they seem to be scans."""
