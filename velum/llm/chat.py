@@ -13,10 +13,12 @@ common ones. So no text can forge a turn, and reading back gives it unchanged.
 The output has a row for each turn, so a conversation of any length is formatted in
 parallel; `digests` reads a conversation's rows back in order as a stream.
 
-Edge cases: null texts, roles and parts are empty; a null list of parts is empty; parts
-of an unknown kind become empty text; rows of a conversation with equal turns are
+A string as content is one text part, so both kinds of content take the same path.
+
+Edge cases: null texts, roles and parts are empty; a null list of parts is empty; a part
+of an unknown kind becomes a placeholder of its own, recorded with its kind and without tokens; rows of a conversation with equal turns are
 ordered by role, then content; null conversation ids form one conversation; repeated
-rows are turns of their own; an empty table gives an empty result; extra columns stay,
+rows are turns of their own; texts of any length are formatted whole; an empty table gives an empty result; extra columns stay,
 but those made are replaced.
 """
 
@@ -57,8 +59,8 @@ class Visitor:
     kinds = ("text", "image", "audio", "document")
 
     def visit(self, part: Column, as_: str) -> Column:
-        """The part's content or tokens; null for an unknown kind."""
-        out = F.lit(None).cast("string" if as_ == "content" else "long")
+        """The part's content or tokens."""
+        out = F.lit("<|unknown|>") if as_ == "content" else F.lit(None).cast("long")
         for kind in self.kinds:
             out = F.when(part["type"] == kind, getattr(self, kind)(part)[as_ == "tokens"]).otherwise(out)
         return out
@@ -84,13 +86,12 @@ def format_turns(df: DataFrame, content: str = "text", role: str = "role", train
     visitor = visitor or Visitor()
     given = df[content]
     if isinstance(df.schema[content].dataType, T.StringType):
-        body = escape(F.coalesce(given, F.lit("")))
-        attachments = F.array().cast("array<struct<number:int,kind:string,ref:string,tokens:bigint>>")
-    else:
-        parts = F.filter(F.coalesce(given.cast(PARTS), F.array().cast(PARTS)), lambda p: p.isNotNull())
-        body = F.array_join(F.transform(parts, lambda p: F.coalesce(visitor.visit(p, "content"), F.lit(""))), "")
-        placed = F.filter(parts, lambda p: p["type"].isin([k for k in visitor.kinds if k != "text"]))
-        attachments = F.transform(placed, lambda p, i: F.struct(i.cast("int").alias("number"), p["type"].alias("kind"), p["ref"].alias("ref"), visitor.visit(p, "tokens").alias("tokens")))
+        none = [F.lit(None).alias(c) for c in ("ref", "width", "height", "seconds", "pages")]
+        given = F.array(F.struct(F.lit("text").alias("type"), given.alias("text"), *none))
+    parts = F.filter(F.coalesce(given.cast(PARTS), F.array().cast(PARTS)), lambda p: p.isNotNull())
+    body = F.array_join(F.transform(parts, lambda p: visitor.visit(p, "content")), "")
+    placed = F.filter(parts, lambda p: ~p["type"].eqNullSafe("text"))
+    attachments = F.transform(placed, lambda p, i: F.struct(i.cast("int").alias("number"), p["type"].alias("kind"), p["ref"].alias("ref"), visitor.visit(p, "tokens").alias("tokens")))
     own = F.coalesce(df[role], F.lit(""))
     head = F.concat(F.lit(TURN), escape(own), F.lit(TEXT))
     loss = F.struct(F.length(head).alias("start"), (F.length(head) + F.length(body)).alias("end"))
