@@ -8,7 +8,8 @@
    host its number of documents and of good ones: the label where there is one, the
    classifier's probability elsewhere.
 3. Hosts shrink toward the global rate and paths toward their host, by prior weights
-   estimated from how much the groups vary beyond chance (method of moments).
+   estimated from how much hosts vary around that rate and paths around their own host, beyond
+   chance (method of moments).
 4. A document's posterior log odds are its evidence plus the log odds of its path
    relative to the global rate, weighted by PRIOR_WEIGHT. What the document itself, label
    or evidence, adds to the rates of its path and host is left out of its own.
@@ -175,15 +176,17 @@ def site(url: Column) -> tuple[Column, Column]:
     return host, F.concat(host, F.lit("/"), F.regexp_extract(bare, r"^[^/]*/([^/]*)", 1))
 
 
-def _prior_weight(groups: DataFrame, rate: float) -> float:
-    """The documents that a prior counts as: a rate's spread over groups, less chance."""
-    spread = F.pow(F.col("good") / F.col("n") - rate, 2)
-    r = groups.agg(F.sum(F.col("n") * spread).alias("s"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).first()
-    chance = rate * (1 - rate)
-    if not r.n or r.k < 2 or chance <= 0:
+def _prior_weight(groups: DataFrame, centres: int) -> float:
+    """The documents that a prior counts as, from groups (n, good, centre): how much their rates vary around
+    their centres, less chance. Each centre is itself an average of its groups, which takes up one of their
+    free choices; centres: how many there are."""
+    chance = F.col("centre") * (1 - F.col("centre"))
+    spread = F.col("n") * F.pow(F.col("good") / F.col("n") - F.col("centre"), 2)
+    r = groups.agg(F.sum(spread).alias("s"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.avg(chance).alias("chance")).first()
+    if not r.n or r.k <= centres or not r.chance or r.chance <= 0:
         return 100.0
-    between = max((r.s - r.k * chance) / r.n, 1e-6)
-    return float(np.clip(chance / between, 2.0, 10_000.0))
+    between = max((r.s - (r.k - centres) * r.chance) / r.n, 1e-6)
+    return float(np.clip(r.chance / between, 2.0, 10_000.0))
 
 
 def posteriors(docs: DataFrame) -> DataFrame:
@@ -191,10 +194,13 @@ def posteriors(docs: DataFrame) -> DataFrame:
     chance = 1 / (1 + F.exp(-F.col("evidence")))
     good = F.coalesce(F.col("label").cast("double"), chance)
     paths = docs.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(good).alias("good"))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.count(F.lit(1)).alias("paths"))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     rate = min(max((total.good + 1) / (total.n + 2), 1e-4), 1 - 1e-4) if total.n else 0.5
-    m_host, m_path = _prior_weight(hosts, rate), _prior_weight(paths, rate)
+    # paths vary around their host; a host with one path says nothing of that
+    several = hosts.where("paths > 1")
+    around = paths.join(several.select("host", (F.col("good") / F.col("n")).alias("centre")), "host")
+    m_host, m_path = _prior_weight(hosts.withColumn("centre", F.lit(rate)), 1), _prior_weight(around, several.count())
     sums = paths.join(hosts.select("host", F.col("n").alias("host_n"), F.col("good").alias("host_good")), "host").drop("host")
     # written, so that a path of very many documents can be split in the join
     out = docs.join(materialize(sums, "paths"), "path").withColumn("own", good)
