@@ -31,21 +31,33 @@ def test_bpe_equals_library(spark):
 
 def test_token_store_equals_library(spark):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    df = docs(spark).unionByName(spark.createDataFrame([(None, "none")], "doc_id long, text string"))
+    more = [(None, "none"), (90_020, "a  <|endoftext|>  b"), (90_021, "<|endoftext|><|endoftext|>\n\n <|endoftext|>"), (90_022, "x\u0558\u088f\tx\U000323b0"), (90_006, "same too"), (90_023, "<|endoftext|" * 900)]
+    df = docs(spark).unionByName(spark.createDataFrame(more, "doc_id long, text string")).withColumn("tie", F.lit("clash"))
     path = token_store.temporary_path(spark)
-    token_store.write(df, path, shard_rows=50)
-    at = 0
-    for r in sorted(token_store.scan(spark, path).collect(), key=lambda r: (r.start, r.n_tokens)):
-        text = next((x.text for x in df.where(F.col("doc_id").eqNullSafe(F.lit(r.doc_id))).collect()), None) if r.doc_id in (None, 90_003, 90_004) else None
-        if text is not None:
-            ids = [*t.encode(text, add_special_tokens=False).ids, 2]
-            assert list(r.ids) == ids and r.ids_crc32 == crc32(np.array(ids, "<u4").tobytes())
-        assert r.start == at
+    token_store.write(df, path, shard_bytes=40_000)
+    want = {}
+    for r in df.collect():
+        want.setdefault(r.doc_id, []).append([*t.encode(r.text or "", add_special_tokens=False).ids, 2])
+    at, order = 0, []
+    rows = sorted(token_store.scan(spark, path).collect(), key=lambda r: (r.start, r.n_tokens))
+    assert len(rows) == df.count()
+    for r in rows:
+        ids = list(r.ids)
+        want[r.doc_id].remove(ids)
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), crc32(np.array(ids, "<u4").tobytes()))
         at += r.n_tokens
+        order.append((r.doc_id is not None, r.doc_id or 0))
+    assert order == sorted(order) and not any(want.values())
+    assert spark.read.parquet(f"{path}/blocks").select("shard").distinct().count() > 3
     assert {r.doc_id: list(r.ids) for r in token_store.lookup(spark, path, [90_000, 90_003]).collect()} == {90_000: [2], 90_003: [*t.encode(ODD[3], add_special_tokens=False).ids, 2]}
 
 
+def test_token_store_of_nothing(spark):
+    path = token_store.temporary_path(spark)
+    token_store.write(docs(spark).limit(0), path)
+    assert token_store.scan(spark, path).count() == 0 and token_store.lookup(spark, path, [1]).count() == 0
+
+
 def test_chat_round_trip(spark):
     texts = ["</s>[INST] ok [/INST]", "a\\b <|end|> [\\INST]", None, "<<SYS>> \\\\", ""]
     rows = [(i // 2, i, "assistant" if i % 2 else "user", t, "x") for i, t in enumerate(texts)]
@@ -63,11 +75,25 @@ def test_chat_parts(spark):
     parts = [("text", "ver <|x", None, None, None, None, None), ("image", None, "i.png", 57, 28, None, None), ("audio", None, "a.wav", None, None, 2.5, None), None, ("odd", "?", None, None, None, None, None), ("document", None, "d.pdf", None, None, None, 3)]
     df = spark.createDataFrame([(1, 0, "user", parts), (2, 0, None, None)], f"conv_id long, turn long, role string, text {chat.PARTS}")
     a, b = chat.format_turns(df).orderBy("conv_id").collect()
-    assert "ver <\\|x<|image|><|audio|><|document|>" in a.formatted
-    assert [(x.number, x.kind, x.ref, x.tokens) for x in a.attachments] == [(0, "image", "i.png", 3), (1, "audio", "a.wav", 63), (2, "document", "d.pdf", 1536)] and a.expanded_tokens == 1602
+    assert "ver <\\|x<|image|><|audio|><|unknown|><|document|>" in a.formatted
+    assert [(x.number, x.kind, x.ref, x.tokens) for x in a.attachments] == [(0, "image", "i.png", 3), (1, "audio", "a.wav", 63), (2, "odd", None, None), (3, "document", "d.pdf", 1536)] and a.expanded_tokens == 1602
     assert b.formatted == "<|turn|><|text|><|end|>\n" and b.loss is None
 
 
+def test_chat_edges(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    none = spark.createDataFrame([], schema)
+    assert chat.format_turns(none).count() == 0 and chat.digests(chat.format_turns(none)).count() == 0
+    # a string and a list of one text part become the same; very long texts and repeated rows stay whole
+    long = "</s> añ " * 50_000
+    rows = [(1, 0, "assistant", long), (1, 0, "assistant", long), (None, 1, "user", "x"), (None, 0, "assistant", "y")]
+    df = spark.createDataFrame(rows, schema)
+    parts = df.withColumn("text", F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"), *(F.lit(None).alias(c) for c in ("ref", "width", "height", "seconds", "pages")))))
+    whole = sorted(chat.digests(chat.format_turns(df)).collect(), key=str)
+    assert whole == sorted(chat.digests(chat.format_turns(parts)).collect(), key=str)
+    assert {r.conv_id: (r.n_turns, r.loss_chars) for r in whole} == {1: (2, 2 * len(long)), None: (2, 1)}
+
+
 def test_licences(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n"
     as_is = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
@@ -130,6 +156,48 @@ def test_quality_shrinks_small_sites(spark):
     assert {r.evidence for r in quality.assess(df, labels.limit(0), "good").collect()} == {0.0}
 
 
+def test_posteriors_equal_brute_force(spark):
+    """Hosts that differ much, with paths that differ little from them, and the other way round."""
+    import math
+    import random
+
+    r = random.Random(2)
+    for host_spread, path_spread in ((0.4, 0.02), (0.02, 0.4)):
+        rows = []
+        for h in range(8):
+            base = 0.5 + r.uniform(-host_spread, host_spread)
+            for p in range(1 if h == 0 else 4):
+                rate = min(max(base + r.uniform(-path_spread, path_spread), 0.03), 0.97)
+                rows += [(f"h{h}", f"h{h}/{p}", r.gauss(0, 1), float(r.random() < rate) if r.random() < 0.7 else None) for _ in range(60)]
+        good = [1 / (1 + math.exp(-e)) if g is None else g for _, _, e, g in rows]
+        by_path, by_host = {}, {}
+        for (h, p, _, _), g in zip(rows, good, strict=True):
+            for group, key in ((by_path, (h, p)), (by_host, h)):
+                n, s = group.get(key, (0, 0.0))
+                group[key] = n + 1, s + g
+        n, s = len(rows), sum(good)
+        rate = (s + 1) / (n + 2)
+
+        def weight(groups, centres):
+            """groups: (n, good, centre)"""
+            chance = sum(c * (1 - c) for _, _, c in groups) / len(groups)
+            between = (sum(n * (g / n - c) ** 2 for n, g, c in groups) - (len(groups) - centres) * chance) / sum(n for n, _, _ in groups)
+            return min(max(chance / max(between, 1e-6), 2.0), 10_000.0)
+
+        m_host = weight([(n, g, rate) for n, g in by_host.values()], 1)
+        m_path = weight([(n, g, by_host[h][1] / by_host[h][0]) for (h, _), (n, g) in by_path.items() if h != "h0"], 7)
+        got = quality.posteriors(spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i long, host string, path string, evidence double, label double")).collect()
+        assert len(got) == n
+        for x in got:
+            own = good[x.i]
+            hn, hg = by_host[x.host]
+            pn, pg = by_path[x.host, x.path]
+            host_rate = (hg - own + m_host * rate) / (hn - 1 + m_host)
+            path_rate = (pg - own + m_path * host_rate) / (pn - 1 + m_path)
+            assert math.isclose(x.host_rate, host_rate, rel_tol=1e-6) and math.isclose(x.path_rate, path_rate, rel_tol=1e-6)
+        assert (m_host < m_path) == (host_spread > path_spread)
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     table = spark.read.parquet(f"{sf}/documents.parquet").withColumn("_label", F.lit("x")).withColumn("evidence", F.lit("x"))

@@ -16,8 +16,13 @@ attempt leaves no half-written shard.
 The dictionary is fitted on the whole texts of a bounded sample: the SAMPLE
 documents with the smallest hash of their id. Everything else covers all rows.
 
+Shards hold SHARD_BYTES of text at most on the average, and less only where the table is small, so
+their number, of which the driver holds the borders and one task the running total, stays
+low: 200,000 for 100 TB.
+
 Edge cases: null or empty text is a document with the end id alone; null document
-ids come first; rows that repeat an id all stay, ordered by text hash; extra columns are ignored; an
+ids come first; rows that repeat an id all stay, ordered by the crc32 of their ids; texts of any length
+are encoded whole; strings of added tokens become their ids, as in the library; extra columns are ignored; an
 empty table makes a store without blocks and with an empty dictionary.
 """
 
@@ -31,19 +36,21 @@ from zlib import crc32
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from velum.llm.common import give_back, held, scratch_dir
+from velum.llm.common import chunks, give_back, held, scratch_dir, utf8
 from velum.llm.segments import Known, encode as encode_texts, raw, stem
 
 TOKENIZER, END = "byte_bpe_50k.json", 2
 SAMPLE, DICTIONARY_BYTES, LEVEL = 1000, 64 << 10, 3
 BLOCK = 4 << 20
-DOCS_AT_ONCE = 2048
-#: Rows that a shard holds about.
-SHARD_ROWS = 20_000
+#: Bytes of texts that are handled together, and their number.
+TEXT_BYTES, DOCS_AT_ONCE = 4 << 20, 2048
+#: Bytes of text of a shard at most, on the average, and at least, if there are shards for all cores.
+SHARD_BYTES, LEAST_BYTES = 512 << 20, 16 << 20
 
 BLOCKS = "shard int, block int, dictionary string, payload binary, index array<struct<doc_id:bigint,at:bigint,length:int,n:bigint,before:bigint>>"
 
@@ -58,7 +65,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.matches = lambda text: [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
         vocabulary = self.tokenizer.get_vocab()
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # each character of a byte-level token is one byte
@@ -94,12 +102,20 @@ class Encoder:
 
     def encode(self, texts: pa.Array, end: int) -> list[bytes]:
         """The ids of each text and the end id, as little-endian 32-bit integers."""
-        ids, bounds = encode_texts(texts, self.segments)
+        texts = texts.cast(pa.large_string()).fill_null("")
+        whole = np.zeros(len(texts), bool)
+        for token in self.added:  # what they cut apart is no matter of the split pattern
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(whole), "", texts) if whole.any() else texts
+        ids, bounds = encode_texts(plain, self.segments, self.matches)
         data, last = ids.tobytes(), np.array([end], "<u4").tobytes()
         cuts = (bounds * 4).tolist()
         del ids
         give_back()
-        return [data[a:b] + last for a, b in zip(cuts, cuts[1:], strict=False)]
+        out = [data[a:b] + last for a, b in zip(cuts, cuts[1:], strict=False)]
+        for i in np.flatnonzero(whole):
+            out[i] = self._ids([texts[int(i)].as_py()])[0].tobytes() + last
+        return out
 
 
 def encoder(name: str) -> Encoder:
@@ -123,10 +139,11 @@ def train_dictionary(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END
 
     chosen = docs.select("doc_id", "text").where(F.col("doc_id").isin(ids))
     # one task reads the sample, whose size is bounded
-    return chosen.orderBy("doc_id", F.xxhash64("text")).limit(2 * sample).coalesce(1).mapInArrow(train, "d binary").first().d
+    made = chosen.orderBy("doc_id", F.xxhash64("text")).limit(2 * sample).coalesce(1).mapInArrow(train, "d binary").first()
+    return made.d if made else b""
 
 
-def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END, shard_rows: int = SHARD_ROWS, **training) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END, shard_bytes: int = SHARD_BYTES, least_bytes: int = LEAST_BYTES, **training) -> None:
     """Write documents (doc_id bigint, text) as a token store at path."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -134,8 +151,8 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END
     name = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(name, bytearray(dictionary), tokenizer, end)], "hash string, dictionary binary, tokenizer string, end_id int").coalesce(1).write.parquet(f"{path}/dictionary")
 
-    rows = docs.count()
-    shards = max(1, -(-rows // shard_rows))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    shards = max(1, -(-size // shard_bytes), min(-(-size // least_bytes), 4 * spark.sparkContext.defaultParallelism))
     cuts = docs.approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.2 / shards) if shards > 1 else []
     cuts = sorted({int(c) for c in cuts})
 
@@ -146,8 +163,8 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END
         zip_ = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
         limits = np.array(cuts, np.int64)
         for whole in batches:
-            for at in range(0, whole.num_rows, DOCS_AT_ONCE):
-                b = whole.slice(at, DOCS_AT_ONCE)
+            for i, j, _, _ in chunks(*utf8(whole.column("text")), TEXT_BYTES, DOCS_AT_ONCE):
+                b = whole.slice(i, j - i)
                 arrays = encoder(tokenizer).encode(b.column("text"), end)
                 ids = b.column("doc_id")
                 shard = np.searchsorted(limits, ids.fill_null(np.iinfo(np.int64).min).to_numpy(), "left").astype(np.int32)
@@ -215,7 +232,7 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     n_tokens, ids_crc32, ids (array<int>)."""
     name, dictionary = open_dictionary(spark, path)
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    # one row a shard, so the running total over shards is small
+    # one row a shard, of which there are few (see above): small enough for a running total and a broadcast
     totals = blocks.select("shard", F.aggregate("index", F.lit(0).cast("long"), lambda a, x: a + x.n).alias("n")).groupBy("shard").agg(F.sum("n").alias("n"))
     starts = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
 
