@@ -56,7 +56,7 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 def scan(units: DataFrame, patterns: list[Pattern], keys: list[str], text: str = "text") -> DataFrame:
     """A row for each match: the keys of its unit, kind, ord, start, end, text, the last group
     that took part (value, at value_start; the match without groups), all groups g, and
-    32 and 24 characters of context. Offsets count code points; null text has no matches.
+    32 and 28 characters of context. Offsets count code points; null text has no matches.
 
     The texts are read once, for all patterns; only matches leave the task.
     """
@@ -76,7 +76,7 @@ def scan(units: DataFrame, patterns: list[Pattern], keys: list[str], text: str =
                 for m in regex.finditer(folded if p.folded else t):
                     start, end, last = m.start(), m.end(), m.lastindex or 0
                     low, high = m.span(last)
-                    yield p.kind, p.order, start, end, t[start:end], low, t[low:high], list(m.groups()), t[max(0, start - 32) : start], t[end : end + 24]
+                    yield p.kind, p.order, start, end, t[start:end], low, t[low:high], list(m.groups()), t[max(0, start - 32) : start], t[end : end + 28]
 
         for whole in batches:
             for at in range(0, whole.num_rows, _TEXTS):

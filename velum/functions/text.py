@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The accents that folding drops, one character each.
 ACCENTED = "áàäâãéèëêíìïîóòöôõúùüûñçÁÀÄÂÃÉÈËÊÍÌÏÎÓÒÖÔÕÚÙÜÛÑÇ"
@@ -114,10 +119,21 @@ def parse_date(text: Column) -> Column:
     return let(collapse(F.coalesce(text, F.lit(""))), parsed)
 
 
+@F.arrow_udf(T.StringType())
+def without_marks(text: pa.Array) -> pa.Array:
+    """The compatibility decomposition (NFKD) without its combining marks."""
+    form = pc.utf8_normalize(text, "NFKD")
+    if not pc.any(pc.invert(pc.string_is_ascii(form))).as_py():
+        return form
+    return pa.array([t if t is None or t.isascii() else "".join(c for c in t if not unicodedata.combining(c)) for t in form.to_pylist()], text.type)
+
+
 def safe_file_name(name: Column) -> Column:
-    """Base name of plain characters: at most 90, and 8 for the extension."""
+    """Base name of plain characters: at most 90, and 8 behind the last point. Letters with marks, ligatures and
+    other forms of plain characters become those."""
     base = F.regexp_replace(F.coalesce(name, F.lit("")), r"^.*[/\\]", "")
-    plain = F.regexp_replace(F.translate(base, ACCENTED, PLAIN), r"[^A-Za-z0-9._-]+", "_")
-    stem = F.regexp_replace(F.regexp_replace(plain, r"\.[^.]*$", ""), r"^[._]+|[._]+$", "")
-    extension = F.substring(F.lower(F.regexp_extract(plain, r"(\.[^.]*)$", 1)), 1, 8)
-    return F.concat(F.substring(F.when(stem == "", "documento").otherwise(stem), 1, 90), extension)
+    plain = F.btrim(F.regexp_replace(without_marks(base), r"[^A-Za-z0-9._-]+", "_"), F.lit("._"))
+    whole = F.when(plain == "", "documento").otherwise(plain)
+    stem, extension = F.regexp_extract(whole, r"^(.*?)(?:\.([^.]*))?$", 1), F.regexp_extract(whole, r"\.([^.]*)$", 1)
+    stem = F.when(stem == "", "documento").otherwise(F.substring(stem, 1, 90))
+    return F.when(extension == "", stem).otherwise(F.concat(stem, F.lit("."), F.substring(F.lower(extension), 1, 8)))

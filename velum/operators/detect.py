@@ -197,7 +197,7 @@ def add_finding(matches: DataFrame, label: str | None = None) -> DataFrame:
     clean, sure, first = F.col("clean"), F.col("sure"), F.col("g")[0]
     left = F.col(label) if label else F.lit(None).cast("string")
     letters = clean.rlike("[A-Za-zÁ-ÿ]") & (F.length(clean) > 2)
-    duration = F.col("before").rlike(_BEFORE) | F.col("after").rlike(_AFTER)
+    duration = F.col("before").rlike(_BEFORE) | F.left("after", F.lit(24)).rlike(_AFTER)
     years = F.regexp_extract("text", r"(?U)^(\d{1,3})", 1).try_cast("int")
     next_field = among(F.btrim(F.element_at(F.split(F.trim(fold(first)), r"(?U)\s+"), 1), F.lit(":.,")), FIELD_LABELS)
     doubtful = (F.col("kind") == "name_label") & sure.isNull()

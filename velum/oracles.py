@@ -103,6 +103,14 @@ SQL["detect_url"] = _spans("pages", "page_id", "url", r"(?i)\bhttps?://[^\s<>\x2
 _ADDRESS = f"regexp_full_match({{}}, '({_OCTET}[.]){{{{3}}}}{_OCTET}')"
 SQL["detect_ip"] = _spans("documents", "doc_id", "text", "[0-9.]+", _ADDRESS.format("text"))
 SQL["detect_dates"] = _spans("documents", "doc_id", "text", r"\b[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}\b")
+SQL["detect_url_html"] = _spans("pages", "page_id", "html", r"(?i)\bhttps?://[^\s\x0b\x{85}\p{Z}<>\x22\x27)]+")
+_SPACE, _MONTHS = r"[\s\x0b\x{85}\p{Z}]+", "(?:enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|setiembre|octubre|noviembre|diciembre)"
+_DATES = [
+    r"\b[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}\b", r"\b[0-9]{4}[/.-][0-9]{1,2}[/.-][0-9]{1,2}\b",
+    rf"(?i)\b[0-9]{{1,2}}{_SPACE}de{_SPACE}{_MONTHS}{_SPACE}(?:del?{_SPACE})?[0-9]{{4}}\b", rf"(?i)\b{_MONTHS}{_SPACE}(?:del?{_SPACE})?[0-9]{{4}}\b",
+]
+_DATED = f"(SELECT doc_id, text FROM documents UNION ALL SELECT -o_orderkey - 1, 'Control en ' || {S.LONG_DATE} || ' y ' || {S.ISO_DATE} || '. ' || {N.NOTE} FROM orders)"
+SQL["detect_dates_all"] = " UNION ALL ".join(f"SELECT *, {i} AS pattern FROM ({_spans(_DATED, 'doc_id', 'text', p)})" for i, p in enumerate(_DATES))
 SQL["initial_risk_notes"] = f"""
 WITH n AS (SELECT o_custkey, count(*) AS n FROM ({FOUND}) JOIN orders ON o_orderkey = doc_id GROUP BY 1)
 SELECT CASE WHEN n > 12 THEN 'ALTO' ELSE 'MODERADO' END AS risk, count(*) AS n FROM n GROUP BY 1
@@ -178,6 +186,13 @@ SELECT term, count(*) AS n, count(DISTINCT doc_id) AS n_documents FROM w JOIN t
 SQL["negations"] = f"""
 WITH w AS ({_WORDS.format('[a-z]+')}) SELECT doc_id, count(*) AS n FROM w WHERE w IN ({', '.join(f"'{t}'" for t in L.NEGATIONS)}) GROUP BY 1
 """
+_NOTE_AT = f"strpos(t, 'Hemoglobina: ') AS a, 13 + length({N.level()}) AS na, strpos(t, 'Losartan') AS m"
+_AROUND = r"trim(regexp_replace(substr(t, greatest(1, {0} - 28), {0} - greatest(1, {0} - 28) + {1} + 28), '\s+', ' ', 'g'))"
+SQL["value_contexts"] = f"""
+WITH n AS (SELECT {K} AS doc_id, t, {_NOTE_AT} FROM (SELECT *, {N.NOTE} AS t FROM orders))
+SELECT doc_id, 'analito_valor' AS class, substr(t, a, na) AS text, {_AROUND.format('a', 'na')} AS context FROM n
+UNION ALL SELECT doc_id, 'medicamento', 'Losartan', {_AROUND.format('m', '8')} FROM n
+"""
 SQL["clinical_values"] = VALUES
 SQL["clinical_class_counts"] = f"SELECT class, count(*) AS n, count(DISTINCT norm) AS n_values FROM ({VALUES}) GROUP BY 1"
 _LEVEL = f"length({N.level()})"
@@ -257,7 +272,10 @@ SELECT {K} AS doc_id, CASE WHEN {K} % 5 = 4 THEN NULL WHEN {K} % 5 = 3 THEN strf
        CASE {K} % 5 WHEN 4 THEN NULL WHEN 3 THEN 'mes' ELSE 'dia' END AS grain FROM orders
 """
 SQL["number_forms"] = "SELECT l_orderkey, l_linenumber, rtrim(rtrim(printf('%.2f', l_extendedprice), '0'), '.') AS number FROM lineitem"
-SQL["file_names"] = "SELECT page_id, 'Informe_n_7_ano.txt' AS name FROM pages"
+# what each beginning becomes before the number of the page: º, the ligatures and wide letters decompose, ½ to 1, a fraction
+# stroke and 2, Ø and Ł do not; marks of points and strokes go at the beginning
+_NAMED = f"['Informe_no_7_ano', 'officio_final', 'Nota12', 'x21_2', 'rsted_odz', '', '', 'oculto', 'ae', '{'m' * 100}'][page_id % 10 + 1]"
+SQL["file_names"] = f"SELECT page_id, substr({_NAMED} || page_id, 1, 90) || '.txt' AS name FROM pages"
 SQL["interval_merge"] = """
 WITH e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, abs(CAST(floor(coalesce(value, 0) * 60) AS BIGINT)) AS n FROM events),
 r AS (SELECT user_id, s, s + n AS e, max(s + n) OVER (PARTITION BY user_id ORDER BY s, s + n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e),
@@ -384,6 +402,32 @@ _WRITTEN = [
     ("s", "sheet1!B2", "cell", "", _band(_SHEET_AGE)), ("s", "sheet1!A3", "cell", "", f"'total ' || {_C}"), ("s", "sheet1!B3", "number", "", "'7'"),
 ]
 _PATH["r"] = f"'r' || {_C} || '.docx'"
+SQL["pdf_metadata"] = f"""
+SELECT 'd' || {_C} || '.pdf' AS path, 'info:Author' AS key, 'Dueno (' || {_C} || ')' AS value FROM customer UNION ALL SELECT 'd' || {_C} || '.pdf', 'info:Producer', 'escaner' FROM customer
+UNION ALL SELECT 'd' || {_C} || '.pdf', 'xmp', substr('<?xpacket begin="" id="W5M0"?><x:xmpmeta>año ' || {_C} || '</x:xmpmeta>' || repeat('-', CAST(c_custkey % 3 * 600 AS INT)) || '<?xpacket end="w"?>', 1, 1000) FROM customer
+UNION ALL SELECT 'd' || {_C} || '.pdf', 'archivos_embebidos', 'datos' || {_C} || '.csv' FROM customer WHERE c_custkey % 4 = 0
+"""
+SQL["pdf_alerts"] = f"""
+SELECT 'd' || {_C} || '.pdf' AS path, 'critica' AS level, 'ARCHIVOS_EMBEBIDOS' AS code, CAST(1 AS BIGINT) AS n FROM customer WHERE c_custkey % 4 = 0
+UNION ALL SELECT 'd' || {_C} || '.pdf', 'advertencia', 'PDF_CON_ACCIONES', 2 FROM customer WHERE c_custkey % 5 = 0
+"""
+SQL["image_metadata"] = " UNION ALL ".join(
+    f"SELECT '{key}' AS key, '{text}' || {_C} AS text, '{note}' AS note FROM customer WHERE {when}"
+    for key, text, note, when in [
+        ("info:Author", "Dueno ", "metadato del archivo", "true"), ("info:Comment", "nota ", "metadato del archivo", "true"), ("info:Title", "año ", "metadato del archivo", "true"),
+        ("exif:Artist", "Artista ", "metadato del archivo", "true"), ("info:comment", "hecho por ", "metadato del archivo", "true"), ("exif:Model", "Camara ", "metadato del archivo", "c_custkey % 3 <> 0"),
+    ]
+) + " UNION ALL SELECT 'exif:Orientation', '1', 'metadato del archivo' FROM customer"
+_TOLD = [
+    ("image", "info:Author", "true"), ("image", "info:Comment", "true"), ("image", "info:Title", "true"), ("image", "exif:Artist", "true"), ("image", "exif:Orientation", "true"), ("image", "info:comment", "true"),
+    ("image", "exif:Model", "c_custkey % 3 <> 0"), ("pdf", "info:Author", "true"), ("pdf", "info:Producer", "true"), ("pdf", "xmp", "true"), ("pdf", "archivos_embebidos", "c_custkey % 4 = 0"), ("pdf", "ARCHIVOS_EMBEBIDOS", "c_custkey % 4 = 0"),
+    ("office", "creator", "true"), ("office", "Company", "c_custkey % 9 <> 0"), ("office", "v", "true"), ("office", "MACROS", "c_custkey % 5 = 0"), ("office", "OBJETOS_EMBEBIDOS", "c_custkey % 7 = 0"),
+    ("office", "XML_INVALIDO", "c_custkey % 9 = 0"), ("office", "CONTROL_CAMBIOS", "true"), ("office", "FORMULAS", "true"),
+]
+SQL["files_told"] = " UNION ALL ".join(f"SELECT '{h}' AS handler, '{w}' AS what, count(*) AS n, count(*) AS n_documents FROM customer WHERE {when} HAVING count(*) > 0" for h, w, when in _TOLD) + """
+UNION ALL SELECT 'pdf', 'PDF_CON_ACCIONES', CAST(2 * count(*) AS BIGINT), count(*) FROM customer WHERE c_custkey % 5 = 0
+UNION ALL SELECT 'office', 'author', CAST(3 * count(*) AS BIGINT), count(*) FROM customer
+"""
 SQL["office_round_trip"] = " UNION ALL ".join(f"SELECT {_PATH[f]} AS path, '{uid}' AS uid, '{kind}' AS kind, '{style}' AS style, {text} AS text FROM customer" for f, uid, kind, style, text in _WRITTEN)
 _SAID = {
     "docProps/app.xml:TotalTime": "'0'", "docProps/core.xml:title": "CASE format WHEN 'docx' THEN 'Documento desidentificado' ELSE 'Libro desidentificado' END",

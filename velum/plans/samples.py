@@ -106,3 +106,11 @@ CLINICAL = [
     Sample("medida", "'nodulo de '", f"CAST({K} % 9 + 1 AS STRING) || ' x ' || CAST({K} % 7 + 1 AS STRING) || ' cm'", "' estable'"),
     Sample("porcentaje", "'saturacion del '", f"CAST({K} % 30 + 70 AS STRING) || ' %'", "' hoy'"),
 ]
+
+
+#: Dates by keys: a day and month in words, and one that begins with the year.
+LONG_DATE = "CAST(o_orderkey % 28 + 1 AS STRING) || ' de ' || split_part('enero,mayo,octubre', ',', CAST(o_orderkey % 3 + 1 AS INT)) || CASE WHEN o_orderkey % 2 = 0 THEN ' del ' ELSE ' de ' END || CAST(1990 + o_orderkey % 30 AS STRING)"
+ISO_DATE = "CAST(1990 + o_orderkey % 30 AS STRING) || '-' || CAST(o_orderkey % 12 + 1 AS STRING) || '-' || CAST(o_orderkey % 28 + 1 AS STRING)"
+
+#: Beginnings of file names, told apart by a key; none holds a comma.
+FILE_NAMES = "Informe nº 7 año,oﬃcio ﬁnal,Ｎｏｔａ１２,x²½,Ørsted Łódź,报告,.., .oculto,a\u0301e\u0308," + "m" * 100

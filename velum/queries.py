@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from velum.functions import native
 from velum.functions.spans import merge_intervals, scan
 from velum.functions.text import age_band, canonical_number, fold, mask, normalise, parse_date, safe_file_name, salted_hash
 from velum.functions import lexicons as L
@@ -15,7 +16,7 @@ from velum.operators import audit, clinical, detect, metadata, policy, risk, ver
 from velum.plans import notes as N
 from velum.plans import samples as S
 from velum.plans import office_run, office_samples, pipeline
-from velum.sources import datasource, files, office, office_write, registry, scratch
+from velum.sources import datasource, embedded, files, office, office_write, registry, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -37,8 +38,9 @@ def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.units_of(_table(spark, sf_dir, "documents"))
 
 
-def _matches(df: DataFrame, key: str, text: str, *patterns) -> DataFrame:
-    return scan(df, list(patterns), [key], text).select(key, "start", "end", "text")
+def _matches(df: DataFrame, key: str, text: str, pattern) -> DataFrame:
+    """One pattern alone needs no pass of its own kind."""
+    return native.matches(df, [key], text, "(?U)" + pattern.regex)
 
 
 _BY_KIND = {p.kind: p for p in detect.PATTERNS}
@@ -104,6 +106,12 @@ def detect_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matches(_table(spark, sf_dir, "documents"), "doc_id", "text", _BY_KIND["ip"])
 
 
+@query
+def detect_url_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs anywhere in the pages themselves."""
+    return _matches(_table(spark, sf_dir, "pages"), "page_id", "html", _BY_KIND["url"])
+
+
 @query
 def detect_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Day, month and year in figures, before overlaps are resolved."""
@@ -111,6 +119,19 @@ def detect_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matches(_table(spark, sf_dir, "documents"), "doc_id", "text", numeric)
 
 
+@query
+def detect_dates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of all four patterns in documents, and in notes with a month in words before them."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    notes = _orders(spark, sf_dir, doc_id="-o_orderkey - 1", text=f"'Control en ' || {S.LONG_DATE} || ' y ' || {S.ISO_DATE} || '. ' || {N.NOTE}")
+    both = documents.unionByName(notes)
+    found = [_matches(both, "doc_id", "text", p).withColumn("pattern", F.lit(i)) for i, p in enumerate(p for p in detect.PATTERNS if p.kind == "date")]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 @query
 def overlap_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An address in figures also reads as a date; the address wins."""
@@ -236,19 +257,29 @@ def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ clinical content
 
 
+def _terms(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """doc_id, term of the documents' words of one list, in built-in functions."""
+    pattern = next(p for p in clinical.VALUES if p.kind == kind)
+    found = F.regexp_extract_all(fold(F.col("text")), F.lit(pattern.regex), F.lit(1))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("term"))
+
+
 @query
 def clinical_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clinical terms of the documents, by term."""
-    pattern = next(p for p in clinical.VALUES if p.kind == "termino")
-    found = scan(_table(spark, sf_dir, "documents"), [pattern], ["doc_id"])
-    return found.groupBy(F.col("g")[0].alias("term")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_documents"))
+    return _terms(spark, sf_dir, "termino").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_documents"))
 
 
 @query
 def negations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pattern = next(p for p in clinical.VALUES if p.kind == "negacion")
-    found = scan(_table(spark, sf_dir, "documents"), [pattern], ["doc_id"])
-    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return _terms(spark, sf_dir, "negacion").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def value_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands around values: 28 characters on both sides."""
+    found = clinical.values(N.notes(spark, sf_dir)).where("class in ('analito_valor', 'medicamento')")
+    return found.select("doc_id", "class", "text", "context")
 
 
 @query
@@ -392,7 +423,10 @@ def number_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", safe_file_name(F.concat("url", F.lit("/Informe nº 7 año.TXT"))).alias("name"))
+    """Names with marks, ligatures, wide and raised characters, fractions, other scripts, none at all, and long ones."""
+    last = N.pick(S.FILE_NAMES, "page_id")
+    path = F.concat("url", F.lit("/"), F.expr(last), F.col("page_id").cast("string"), F.lit(".TXT"))
+    return _table(spark, sf_dir, "pages").select("page_id", safe_file_name(path).alias("name"))
 
 
 @query
@@ -572,6 +606,33 @@ def office_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.findings(found).select(F.col("path").alias("key"), "text", "note")
 
 
+@query
+def pdf_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What PDF files made from the customers say of themselves."""
+    return embedded.pdf_metadata(office_samples.media(spark, sf_dir)).select("path", "key", "value")
+
+
+@query
+def pdf_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedded.pdf_alerts(office_samples.media(spark, sf_dir)).select("path", "level", "code", "n")
+
+
+@query
+def image_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What images made from the customers say of themselves, as findings."""
+    found = metadata.findings(embedded.image_metadata(office_samples.media(spark, sf_dir)))
+    return found.select("doc_id", F.col("path").alias("key"), "text", "note").drop("doc_id")
+
+
+@query
+def files_told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and alerts of files of all formats in one pass of the handlers, counted."""
+    both = office_samples.media(spark, sf_dir).unionByName(office_samples.reports(spark, sf_dir))
+    said = registry.metadata(both).groupBy("handler", F.col("key").alias("what")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_documents"))
+    alarmed = registry.alerts(both).groupBy("handler", F.col("code").alias("what")).agg(F.sum("n").alias("n"), F.countDistinct("doc_id").alias("n_documents"))
+    return said.unionByName(alarmed)
+
+
 def _written(spark: SparkSession, sf_dir: str, name: str) -> tuple[office_run.Run, DataFrame]:
     """A run over reports made from the customers, and the listing of the files that it wrote."""
     run = office_run.process(office.listing(office_samples.reports(spark, sf_dir)))
