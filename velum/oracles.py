@@ -459,3 +459,52 @@ SQL["user_format"] = "SELECT 'customer.parquet' AS name, c_custkey, c_name AS te
 SQL["pdf_marks"] = """
 SELECT 'p' || page_id || '.pdf' AS path, ['/JavaScript', '/OpenAction,/Launch', '/EmbeddedFile', ''][page_id % 4 + 1] AS marks, page_id % 3 > 0 AND page_id % 5 * 60 < 120 * greatest(page_id % 2, 1) AS scanned FROM pages
 """
+
+_HEADER = "'\ufeffcategoria;tipo;capa;hallazgo_enmascarado;hallazgo_hash;accion;resultado;motivo;integridad_clinica;riesgo_residual;ruta;confianza;requiere_revision' || chr(13) || chr(10)"
+
+
+def _matrix_line(kind: str, value: str, result: str, motive: str) -> str:
+    result = f"CASE WHEN {K} % 3 = 0 THEN '\"{result}; \"\"x\"\"\"' ELSE '{result}' END"
+    return f"'directo;{kind};contenido;' || {mask(value)} || ';' || {salted_hash(value)} || ';eliminar;' || {result} || ';{motive};preservada;bajo;;alta;False' || chr(13) || chr(10)"
+
+
+_FILE = f"{_HEADER} || {_matrix_line('documento_identidad', N.IDENTITY, '[DOCUMENTO ELIMINADO]', 'identificador directo')} || {_matrix_line('email', N.MAIL, '[CORREO ELIMINADO]', 'identificador directo')}"
+SQL["matrix_csv"] = f"SELECT {K} AS doc_id, sha256(encode(t)) AS sha256, octet_length(encode(t)) AS bytes FROM (SELECT {K}, {_FILE} AS t FROM orders)"
+_SUMMARY = f"""'# ' || CAST({K} AS STRING) || '
+
+> Reduce informacion identificable pero no garantiza anonimizacion absoluta. Revise siempre el documento antes de compartirlo. La aprobacion final corresponde a una persona.
+
+| Campo | Valor |
+| --- | --- |
+| Ejecucion | `r1` |
+| Finalidad | educacion |
+| Formato | docx |
+| Original intacto | ' || CASE WHEN {K} % 3 = 0 THEN 'SI' ELSE 'NO' END || ' |
+| Riesgo residual | **' || CASE WHEN {K} % 4 = 0 THEN 'ALTO' ELSE 'BAJO' END || '** |
+| Estado | PENDING_REVIEW |
+
+## Por que ese riesgo
+' || CASE WHEN {K} % 2 = 0 THEN '
+- uno
+- dos' ELSE '' END || '
+
+## Verificaciones
+
+- Integridad clinica (transformacion): **' || CASE WHEN {K} % 5 = 0 THEN 'FAIL' ELSE 'PASS' END || '**
+- Integridad de la reconstruccion: **N/A**
+- Contenido sin respaldo: **N/A**
+- Prueba adversarial: **' || CASE WHEN {K} % 4 = 0 THEN 'FAIL' ELSE 'PASS' END || '**
+
+## Transformaciones
+' || CASE WHEN {K} % 2 = 0 THEN '
+- eliminar: 2
+- sustituir: 1' ELSE '' END || CASE WHEN {K} % 7 = 0 THEN '
+
+## Alertas
+
+- **CRITICA MACROS**: m' ELSE '' END || '
+
+---
+
+La aprobacion final corresponde a una persona. Este informe no es una certificacion legal.'"""
+SQL["markdown_reports"] = f"SELECT {K} AS doc_id, sha256({_SUMMARY}) AS sha256 FROM orders"

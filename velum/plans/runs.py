@@ -1,4 +1,4 @@
-"""Runs: a folder each, listed and deleted as a whole; Spark's file systems only."""
+"""Runs: a folder each, listed once it is whole and deleted as a whole; Spark's file systems only."""
 
 from __future__ import annotations
 
@@ -9,16 +9,24 @@ from velum.operators import audit
 from velum.plans.pipeline import WARNING
 
 
+#: The marker of a run that was written to its end.
+WHOLE = "_WHOLE"
+
+
 def reconstruction_notes(notes: Column) -> Column:
     """What could not be rebuilt of a file (an array of texts), and the warning that always follows."""
     return F.concat(F.array_join(F.coalesce(notes, F.array().cast("array<string>")), "\n"), F.lit("\n\n" + WARNING))
 
 
 def write(base: str, run: str, results: DataFrame, matrix: DataFrame) -> None:
-    """The results, the matrix (masked and hashed) and the audit of a run. Identifiers are not written."""
+    """The results, the matrix (masked and hashed) and the audit of a run, and a marker last, without which
+    it is not listed: a run that dies in between does not look whole. Identifiers are not written."""
+    spark = results.sparkSession
     results.write.parquet(f"{base}/run={run}/results")
     matrix.write.parquet(f"{base}/run={run}/matrix")
     audit.documents_json(results, matrix, {"id": run}).write.parquet(f"{base}/run={run}/audit")
+    marker, system = _folder(spark, f"{base}/run={run}/{WHOLE}")
+    system.create(marker, True).close()
 
 
 def _folder(spark: SparkSession, path: str):
@@ -27,9 +35,10 @@ def _folder(spark: SparkSession, path: str):
 
 
 def runs(spark: SparkSession, base: str) -> list[str]:
-    """The names of all runs, the newest last if names begin with their time."""
+    """The names of all whole runs, the newest last if names begin with their time."""
     folder, system = _folder(spark, base)
-    found = [s.getPath().getName() for s in system.listStatus(folder)] if system.exists(folder) else []
+    below = [s.getPath() for s in system.listStatus(folder)] if system.exists(folder) else []
+    found = [p.getName() for p in below if system.exists(_folder(spark, f"{p}/{WHOLE}")[0])]
     return sorted(n.removeprefix("run=") for n in found if n.startswith("run="))
 
 

@@ -633,6 +633,26 @@ def files_told(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.unionByName(alarmed)
 
 
+@query
+def matrix_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix file of each note, by its bytes; every third result holds marks of the format."""
+    marks = F.when(F.col("doc_id") % 3 == 0, F.concat("result", F.lit('; "x"'))).otherwise(F.col("result"))
+    matrix = pipeline.process(N.notes(spark, sf_dir)).matrix.where("type in ('documento_identidad', 'email')")
+    return audit.matrix_files(matrix.withColumn("result", marks)).select("doc_id", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("bytes"))
+
+
+@query
+def markdown_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown summaries of documents whose checks follow from their keys."""
+    facts = _orders(
+        spark, sf_dir, doc_id="o_orderkey", risk="CASE WHEN o_orderkey % 4 = 0 THEN 'ALTO' ELSE 'BAJO' END", state="'PENDING_REVIEW'", reasons="CASE WHEN o_orderkey % 2 = 0 THEN array('uno', 'dos') ELSE array() END",
+        attack="CASE WHEN o_orderkey % 4 = 0 THEN 'FAIL' ELSE 'PASS' END", integrity_blocks="o_orderkey % 5 = 0", format="'docx'", intact="o_orderkey % 3 = 0",
+    )
+    actions = _orders(spark, sf_dir, doc_id="o_orderkey", action="explode(array('eliminar', 'sustituir', 'eliminar'))").where("doc_id % 2 = 0")
+    alerts = _orders(spark, sf_dir, doc_id="o_orderkey", level="'critica'", code="'MACROS'", message="'m'").where("doc_id % 7 = 0")
+    return audit.markdown(facts, actions, alerts, {"id": "r1", "purpose": "educacion"}).select("doc_id", F.sha2("summary", 256).alias("sha256"))
+
+
 def _written(spark: SparkSession, sf_dir: str, name: str) -> tuple[office_run.Run, DataFrame]:
     """A run over reports made from the customers, and the listing of the files that it wrote."""
     run = office_run.process(office.listing(office_samples.reports(spark, sf_dir)))
