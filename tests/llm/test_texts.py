@@ -132,6 +132,37 @@ def test_wrapped_licences(spark):
     assert [(r.licences, r.n_sentences) for r in got] == want
 
 
+def test_licence_rules_and_their_sql(spark):
+    import textwrap
+
+    import duckdb
+
+    s = licences.SENTENCES
+    bsd2, bsd3 = [s[i] for i in ("bsd-grant", "bsd-source", "bsd-binary")], [s[i] for i in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")]
+    cases = [
+        (bsd3, ["BSD-3-Clause"]), (bsd2, ["BSD-2-Clause"]), ([*bsd3, "other", *bsd2], ["BSD-2-Clause", "BSD-3-Clause"]), ([*bsd2, *bsd3], ["BSD-2-Clause", "BSD-3-Clause"]),
+        ([s["lgpl21-redistribute"], s["lgpl-warranty"]], ["LGPL-2.1-or-later"]), ([s["agpl3-redistribute"], s["gpl-warranty"]], ["AGPL-3.0-or-later"]), ([s["gpl2-only"]], ["GPL-2.0-only"]),
+        ([s["unlicense-grant"]], ["Unlicense"]), ([s["zlib-grant"], s["zlib-warranty"]], []), (["SPDX-License-Identifier: Apache-2.0"], ["Apache-2.0"]), (["SPDX-License-Identifier: Nope-1.0"], []),
+        (["SPDX-License-Identifier: MIT", "SPDX-License-Identifier: BSD-3-Clause"], ["BSD-3-Clause", "MIT"]), ([s["mit-condition"]], []), (["x " * 200_000 + ".", s["mit-notice"]], ["MIT"]),
+    ]
+    rows, want = [], []
+    for parts, names in cases:
+        for width, mark in ((10**7, ""), (60, ""), (72, " * "), (40, "# ")):
+            lines = [x for part in parts for x in (*(textwrap.wrap(part, width, initial_indent=mark, subsequent_indent=mark) if len(part) < 9999 else [mark + part]), mark.rstrip())]
+            rows += [(len(rows), "\n".join(lines)), (len(rows) + 1, ". ".join(parts) + "." if not mark else "\r\n".join(lines))]
+            want += [names, names]
+    rows += [(len(rows), None), (len(rows) + 1, ""), (len(rows) + 2, rows[0][1])]
+    want += [[], [], want[0]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.licences, r.n_sentences) for r in licences.scan(df).collect()}
+    assert [got[i][0] for i in range(len(rows))] == want
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    assert {d: (x, n) for d, x, n in con.execute(licences.oracle()).fetchall()} == {d: (",".join(x), n) for d, (x, n) in got.items()}
+    assert licences.scan(df.limit(0)).count() == 0 and len({name for name, _ in licences.RULES}) >= 60
+    assert all(any(k in x for k in licences.KEYWORDS) for x in s.values())
+
+
 def test_languages_held_out(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     model = langid.fit_folds(table)
