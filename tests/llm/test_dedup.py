@@ -25,15 +25,19 @@ def groups(n, links):
     return [root(i) for i in range(n)]
 
 
-def test_vectors_as_brute_force(spark):
+def test_vectors_as_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "TILE", 2)
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(6, 24))
     vectors = [(centres[i % 6] + rng.normal(scale=0.12, size=24)).tolist() for i in range(120)]
     vectors += [vectors[0], None, [0.0] * 24, [math.nan] * 24, [1.0, None] * 12, []]
     rows = [(i, None if v is None else [x if x is None else float(np.float32(x)) for x in v], None if i == 3 else i % 2, "x") for i, v in enumerate(vectors)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, node string")
-    results = [{r.vec_id: r for r in embedding_dedup.near_vectors(df, block=block).collect()} for block in (1000, 3)]
-    assert results[0] == results[1]
+    results = []
+    for block, heavy in ((1000, 16), (3, 1), (1000, 0)):
+        monkeypatch.setattr(embedding_dedup, "HEAVY", heavy)
+        results.append({r.vec_id: r for r in embedding_dedup.near_vectors(df, block=block).collect()})
+    assert results[0] == results[1] == results[2]
     got = results[0]
     usable = [i for i, v, label, _ in rows if v and label is not None and None not in v and all(map(math.isfinite, v)) and any(v)]
     unit = {i: np.array(rows[i][1]) / np.linalg.norm(rows[i][1]) for i in usable}
@@ -45,6 +49,32 @@ def test_vectors_as_brute_force(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_broad_groups_make_few_rows(spark):
+    """Vectors around one direction, pairs of which lie just below the cosine: pairs that become rows grow as
+    the vectors do, and the links among them are found."""
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=64)
+    centre /= np.linalg.norm(centre)
+    made = []
+    for n in (200, 400):
+        noise = rng.normal(size=(n, 64))
+        noise -= np.outer(noise @ centre, centre)
+        v = centre + 0.16 * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+        v[n // 2 :: 40] = v[: n // 2 : 40][: len(v[n // 2 :: 40])] + 0.02 * noise[: len(v[n // 2 :: 40])] / 8  # some that link
+        df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+        u = v / np.linalg.norm(v, axis=1, keepdims=True)
+        near = (u @ u.T >= 0.98).sum(axis=1) - 1
+        assert {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(df).collect()} == dict(enumerate(near.tolist())) and near.any()
+        nodes = df.select(F.col("vec_id").cast("string").alias("node"), F.col("vec_id").cast("string").alias("cluster"), F.lit("1").alias("label"), F.size("embedding").alias("size"), "embedding")
+        keys = embedding_dedup.Index(nodes, 0.98).keys(nodes, True, "cluster")
+        homes = {r.key: (r.home, r.all) for r in keys.groupBy("key").agg(F.count(F.when(F.col("own"), 1)).alias("home"), F.count("node").alias("all")).collect()}
+        rows = sum(h * a for h, a in homes.values() if h <= embedding_dedup.HEAVY) + sum(h + a for h, a in homes.values() if h > embedding_dedup.HEAVY)
+        probes = sum(a for _, a in homes.values())
+        made.append(rows / probes)
+        assert rows <= embedding_dedup.HEAVY * probes
+    assert made[1] < 1.6 * made[0]
+
+
 def test_wide_vectors(spark):
     rng = np.random.default_rng(6)
     rows = [(i, rng.normal(size=400).tolist(), 1) for i in range(6)]
