@@ -7,14 +7,41 @@ from the keys that the notes are made of.
 from __future__ import annotations
 
 from velum.functions import lexicons as L
-from velum.functions.text import FOLD_FROM, FOLD_TO, SALT
-from velum.operators.verify import NEUTRAL_VALUES, TECHNICAL
 from velum.plans import notes as N
 from velum.plans import samples as S
-from velum.plans.pipeline import NOTICE, NOTICES
-from velum.operators.metadata import SENSITIVE
-from velum.operators.policy import REASONS, REMOVED
-from velum.operators.verify import HIGH, MODERATE, WEIGHTS
+
+# Fixed values, written here once more, not taken from the code that the SQL judges, so that a wrong one there shows.
+FOLD_FROM = "áàäâãéèëêíìïîóòöôõúùüûñçÁÀÄÂÃÉÈËÊÍÌÏÎÓÒÖÔÕÚÙÜÛÑÇİ"
+FOLD_TO = "aaaaaeeeeiiiiooooouuuuncAAAAAEEEEIIIIOOOOOUUUUNCi"
+SALT = "velum-local-v1"
+NOTICE = "VERSION MINIMIZADA SUJETA A REVISION Y APROBACION HUMANA."
+NOTICES = {"docencia_sintetica": "DOCUMENTO CLINICO SINTETICO. VERSION MINIMIZADA SUJETA A REVISION Y APROBACION HUMANA."}
+SENSITIVE = """
+author last_modified_by lastmodifiedby creator producer company manager title subject keywords comments category description owner username user
+revision content_status identifier language version customer
+""".split()
+NEUTRAL_VALUES = ["", "documento desidentificado", "libro desidentificado", "pdf", "docx", "xlsx"]
+TECHNICAL = """
+format encryption trapped revision totaltime lastprinted pages words characters lines paragraphs application appversion template docsecurity scalecrop
+linksuptodate sharedoc hyperlinkschanged contentstatus language version
+""".split()
+WEIGHTS = {
+    "fecha_nacimiento": 3, "posible_nombre": 3, "edad": 2, "ocupacion": 2, "localidad": 2, "institucion": 2, "empleador": 2, "campo_identificador_dudoso": 2,
+    "aseguradora": 1, "fecha": 1, "sexo": 1, "posible_ocupacion": 1,
+}
+MODERATE, HIGH = 4, 6
+REMOVED = """
+email url ip usuario_red documento_identidad historia_clinica numero_administrativo telefono_etiquetado telefono direccion codigo_postal firma_digital fecha_nacimiento
+""".split()
+REASONS = {
+    "email": "identificador directo", "url": "identificador directo / posible rastro externo", "ip": "identificador tecnico directo", "usuario_red": "identificador directo en redes",
+    "documento_identidad": "identificador directo", "historia_clinica": "identificador administrativo directo", "numero_administrativo": "identificador administrativo",
+    "telefono_etiquetado": "identificador directo", "telefono": "identificador directo", "direccion": "identificador directo de localizacion", "codigo_postal": "identificador de localizacion",
+    "firma_digital": "identificador directo del profesional", "fecha_nacimiento": "cuasi-identificador fuerte", "nombre_persona": "identificador directo", "nombre_profesional": "identificador directo del profesional",
+    "edad": "minimizacion para la finalidad indicada", "fecha": "minimizacion: se conserva la cronologia relativa", "ocupacion": "minimizacion: se conserva el sector", "institucion": "identificador indirecto de contexto",
+    "aseguradora": "identificador indirecto administrativo", "empleador": "identificador indirecto: el empleador singulariza", "localidad": "minimizacion: se conserva la region",
+    "posible_nombre": "candidato incierto: requiere criterio humano", "posible_ocupacion": "puede ser un adjetivo y no la ocupacion de una persona", "campo_identificador_dudoso": "campo etiquetado no clasificable",
+}
 
 _FOLD = "lower(translate({}, '" + FOLD_FROM + "', '" + FOLD_TO + "'))"
 _OCTET = "(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
