@@ -146,3 +146,38 @@ def test_initial_risk_counts_all_types(spark):
     units = spark.createDataFrame([(1, 0, text), (2, 0, "sin nada"), (3, 0, "Tel: 601 555 1234")], "doc_id int, unit_seq int, text string")
     got = {r.risk: r.n for r in queries._risk(units.select("doc_id"), units).collect()}
     assert got == {"ALTO": 1, "BAJO": 1, "MODERADO": 1}
+
+
+def test_automaton_equals_patterns():
+    """The automaton and what it spares, against every pattern on every text."""
+    import random
+    import re
+
+    import pyarrow.parquet as pq
+
+    from velum.functions import lexicons as L
+    from velum.functions.spans import _FOLD, Matcher
+    from velum.operators import clinical
+
+    patterns = [*detect.PATTERNS, *clinical.VALUES]
+    compiled = [(p, re.compile(p.regex)) for p in patterns]
+    matcher = Matcher(patterns)
+
+    def brute(t):
+        folded = t.translate(_FOLD).lower()
+        for p, regex in compiled:
+            for m in regex.finditer(folded if p.folded else t):
+                start, end, (low, high) = m.start(), m.end(), m.span(m.lastindex or 0)
+                yield p.kind, p.order, start, end, t[start:end], low, t[low:high], list(m.groups()), t[max(0, start - 32) : start], t[end : end + 28]
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()]
+    r = random.Random(1)
+    terms = [*L.SECTORS, *L.REGIONS, *L.DEPARTMENTS, *L.INSURERS, *L.CLINICAL, *L.NEGATIONS, *L.ANALYTES, *detect.NAME_LABELS, *detect.VALUE_LABELS, *L.MONTHS, *L.INSTITUTIONS]
+    terms += ["dr.", "Juan", "Perez", "2020", "12 anos", "años", "12,5 mg", "120/80", "30%", "c.c.", "tel", "calle 5", "registro", "r. m.", "fecha de nacimiento", "ſr", "oficıo", "KG 5", "labora como", "Km 5", "CP 12345", "3 de", "İps"]
+    seps = [" ", "", ": ", ", ", "\n", "-", "x", "5", "á", "ſ", " de "]
+    for _ in range(3000):
+        chosen = r.choices(terms, k=r.choice([1, 2, 4, 9]))
+        texts.append("".join((w.upper() if r.random() < 0.15 else w.title() if r.random() < 0.3 else w) + r.choice(seps) for w in chosen))
+    assert any(True for t in texts for _ in matcher.matches(t))
+    for t in texts:
+        assert list(matcher.matches(t)) == list(brute(t)), t

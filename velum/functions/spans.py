@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,13 +22,19 @@ _ROWS, _TEXTS = 20_000, 256
 @dataclass(frozen=True)
 class Pattern:
     """A kind of match. folded: looked for in the folded text; needs: what a text must hold
-    (a pattern, cheap to look for) to have any match."""
+    (a pattern, cheap to look for) to have any match; words: of which the folded text must hold one.
+
+    edge: the pattern is nothing but words (with a group around them, if grouped) that no character of this class
+    may border on, in a folded text; it is not run at all then.
+    """
 
     kind: str
     order: int
     regex: str
     folded: bool = False
     needs: str = ""
+    words: tuple[str, ...] = ()
+    edge: str = ""
 
 
 MATCH = [
@@ -53,30 +60,78 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return {T.StringType(): pa.string(), T.IntegerType(): pa.int32()}.get(kind, pa.list_(pa.string()))
 
 
+#: Letters that a pattern without regard to case takes for others than folding does.
+_ODD_CASE = re.compile("[ſıK]")
+
+
+class Matcher:
+    """The patterns as a task runs them over one text after the other."""
+
+    def __init__(self, patterns: list[Pattern]):
+        self.patterns = [(p, re.compile(p.regex), re.compile(p.needs) if p.needs else None, 1 << i if p.words else 0) for i, p in enumerate(patterns)]
+        self.edges = [(set(re.findall(p.edge, "abcdefghijklmnopqrstuvwxyz0123456789")) if p.edge else None) for p in patterns]
+        found: dict[str, tuple[int, list[int]]] = {}
+        for i, p in enumerate(patterns):
+            for w in p.words:
+                bits, lists = found.get(w, (0, []))
+                found[w] = bits | 1 << i, [*lists, i] if p.edge else lists
+        self.automaton = ahocorasick.Automaton()
+        for w, (bits, lists) in found.items():
+            self.automaton.add_word(w, (len(w), bits, tuple(lists)))
+        if found:
+            self.automaton.make_automaton()
+        self.words = bool(found)
+
+    def _words(self, folded: str) -> tuple[int, dict[int, list[tuple[int, int]]]]:
+        """Bits of the patterns that have a word here, and start and negative length of the words of lists."""
+        bits, lists = 0, {}
+        if self.words:
+            for end, (n, own, of) in self.automaton.iter(folded):
+                bits |= own
+                for i in of:
+                    edge, start = self.edges[i], end + 1 - n
+                    if (start == 0 or folded[start - 1] not in edge) and folded[end + 1 : end + 2] not in edge:
+                        lists.setdefault(i, []).append((start, -n))
+        return bits, lists
+
+    def matches(self, t: str) -> Iterator[tuple]:
+        folded = t.translate(_FOLD).lower()
+        bits, lists = self._words(folded)
+        if _ODD_CASE.search(t):
+            bits = -1
+        held: dict[str, bool] = {"": True}
+        for i, (p, regex, needs, own) in enumerate(self.patterns):
+            if own and not bits & own:
+                continue
+            if p.edge:  # of words that begin together the longest is taken, and what it covers is passed over
+                at = 0
+                for start, n in sorted(lists.get(i, ())):
+                    if start >= at:
+                        at = start - n
+                        yield p.kind, p.order, start, at, t[start:at], start, t[start:at], [folded[start:at]] * regex.groups, t[max(0, start - 32) : start], t[at : at + 28]
+                continue
+            if p.needs not in held:
+                held[p.needs] = needs.search(t) is not None
+            if not held[p.needs]:
+                continue
+            for m in regex.finditer(folded if p.folded else t):
+                start, end, last = m.start(), m.end(), m.lastindex or 0
+                low, high = m.span(last)
+                yield p.kind, p.order, start, end, t[start:end], low, t[low:high], list(m.groups()), t[max(0, start - 32) : start], t[end : end + 28]
+
+
 def scan(units: DataFrame, patterns: list[Pattern], keys: list[str], text: str = "text") -> DataFrame:
     """A row for each match: the keys of its unit, kind, ord, start, end, text, the last group
     that took part (value, at value_start; the match without groups), all groups g, and
     32 and 28 characters of context. Offsets count code points; null text has no matches.
 
-    The texts are read once, for all patterns; only matches leave the task.
+    The texts are read once, for all patterns; only matches leave the task. One automaton finds the words of all
+    patterns in a single pass; it gives the matches of lists of words, and says which other patterns to try.
     """
     schema = T.StructType([*(units.schema[k] for k in keys), *MATCH])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [(p, re.compile(p.regex), re.compile(p.needs) if p.needs else None) for p in patterns]
-
-        def matches(t: str) -> Iterator[tuple]:
-            folded = t.translate(_FOLD).lower()
-            held: dict[str, bool] = {"": True}
-            for p, regex, needs in compiled:
-                if p.needs not in held:
-                    held[p.needs] = needs.search(t) is not None
-                if not held[p.needs]:
-                    continue
-                for m in regex.finditer(folded if p.folded else t):
-                    start, end, last = m.start(), m.end(), m.lastindex or 0
-                    low, high = m.span(last)
-                    yield p.kind, p.order, start, end, t[start:end], low, t[low:high], list(m.groups()), t[max(0, start - 32) : start], t[end : end + 28]
+        matches = Matcher(patterns).matches
 
         for whole in batches:
             for at in range(0, whole.num_rows, _TEXTS):

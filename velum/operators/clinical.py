@@ -33,8 +33,10 @@ CLASSES = {
 }
 #: The order of values within a text: class by class.
 _VALUE_ORDER = ("numero_unidad", "medida", "porcentaje", "dosis", "analito_valor", "signo_vital", "termino", "negacion")
-_NEEDS = dict.fromkeys(("numero_unidad", "medida", "dosis", "porcentaje", "analito_valor", "signo_vital"), r"\d")
-VALUES = [Pattern(k, OTHERS + i, _REGEX[k], folded=True, needs=_NEEDS.get(k, "")) for i, k in enumerate(_VALUE_ORDER)]
+_NEEDS = dict.fromkeys(("numero_unidad", "medida", "dosis", "analito_valor"), r"\d") | {"porcentaje": "%", "signo_vital": "/"}
+_WORDS = {"analito_valor": tuple(dict.fromkeys((*L.ANALYTES, *L.VITALS))), "termino": tuple(L.CLINICAL), "negacion": tuple(L.NEGATIONS)}
+_EDGES = {"termino": "[a-z0-9]", "negacion": "[a-z]"}
+VALUES = [Pattern(k, OTHERS + i, _REGEX[k], folded=True, needs=_NEEDS.get(k, ""), words=_WORDS.get(k, ()), edge=_EDGES.get(k, "")) for i, k in enumerate(_VALUE_ORDER)]
 GUARDS = [p for p in VALUES if p.kind in REASONS]
 
 

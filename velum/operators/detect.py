@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from velum.functions import lexicons as L
 from velum.functions.spans import Pattern, overlaps, scan
-from velum.functions.text import fold, let
+from velum.functions.text import FOLD_FROM, FOLD_TO, fold, let
 
 FINDING = "struct<type:string,category:string,start:int,end:int,text:string,scope_start:int,scope_end:int,confidence:string,detector:string,note:string>"
 FINDINGS = f"array<{FINDING}>"
@@ -116,15 +116,33 @@ _BEFORE = r"(?iU)(hace|desde\s+hace|durante|hace\s+ya|ultimos|últimos|previos|e
 _AFTER = r"(?iU)^\s*(de\s+evoluci[oó]n|de\s+diagn[oó]stico|atr[aá]s|antes|previos|de\s+seguimiento|de\s+tratamiento)"
 
 
+#: Words of which the folded text holds one wherever a pattern matches, by kind.
+_WORDS = {
+    "numero_administrativo": "orden autorizacion factura remision solicitud radicado poliza afiliado carne contrato episodio ingreso cama habitacion",
+    "telefono_etiquetado": "tel cel movil whatsapp contacto fax", "codigo_postal": "codigo cp zip", "title": "dr doctor sr lic prof enf", "age": "anos edad", "age_label": "edad",
+    "direccion": "calle carrera cra kr avenida avda diagonal transversal manzana urbanizacion apartamento apto autopista carretera km kilometro",
+    "birth": "nac", "work_label": "ocupacion profesion oficio cargo labora trabaja empleo",
+}
+
+
+def _plain(terms) -> tuple[str, ...]:
+    """Terms as they stand in a folded text."""
+    return tuple(dict.fromkeys(t.lower().translate(str.maketrans(FOLD_FROM, FOLD_TO)) for t in terms))
+
+
 def _patterns() -> list[Pattern]:
     needs = {"email": "@", "usuario_red": "@", "url": "://", "firma_digital": "", "direccion": r"[\d#]"}
-    out = [Pattern(kind, i, p, needs=needs.get(kind, r"\d")) for i, (kind, p, _) in enumerate(DIRECT)]
-    out += [Pattern("value_label", 20, _VALUE_LABEL, needs="[:=]"), Pattern("name_label", 22, _NAME_LABEL, needs=r"[:\-]")]
-    out += [Pattern("title", 23, _TITLE), Pattern("capitals", 24, _CAPITALISED)]
-    out += [Pattern("age", 30, _AGE, needs=r"\d"), Pattern("age_label", 31, _AGE_LABEL, needs="[:=]"), Pattern("birth", 32, _BIRTH, needs="(?i)nac")]
-    out += [Pattern("date", 33 + i, p, needs=r"\d") for i, p in enumerate(DATES)]
-    out += [Pattern("work_label", 37, _WORK_LABEL), Pattern("work", 38, _WORK, folded=True), Pattern("institution", 39, _INSTITUTION)]
-    return [*out, Pattern("insurer", 40, _INSURER, folded=True), Pattern("place", 41, _PLACE, folded=True)]
+    words = {k: tuple(w.split()) for k, w in _WORDS.items()}
+    out = [Pattern(kind, i, p, needs=needs.get(kind, r"\d"), words=words.get(kind, ())) for i, (kind, p, _) in enumerate(DIRECT)]
+    out += [Pattern("value_label", 20, _VALUE_LABEL, needs="[:=]", words=_plain(VALUE_LABELS)), Pattern("name_label", 22, _NAME_LABEL, needs=r"[:\-]", words=_plain(NAME_LABELS))]
+    out += [Pattern("title", 23, _TITLE, words=words["title"]), Pattern("capitals", 24, _CAPITALISED)]
+    out += [Pattern("age", 30, _AGE, needs=r"\d", words=words["age"]), Pattern("age_label", 31, _AGE_LABEL, needs="[:=]", words=words["age_label"]), Pattern("birth", 32, _BIRTH, words=words["birth"])]
+    months = _plain(L.MONTHS)
+    out += [Pattern("date", 33 + i, p, needs=r"\d", words=months if i > 1 else ()) for i, p in enumerate(DATES)]
+    out += [Pattern("work_label", 37, _WORK_LABEL, words=words["work_label"]), Pattern("work", 38, _WORK, folded=True, words=tuple(L.SECTORS), edge="[a-z]")]
+    out += [Pattern("institution", 39, _INSTITUTION, words=_plain(p.split()[0] for p in L.INSTITUTIONS))]
+    places = tuple(dict.fromkeys((*L.REGIONS, *L.DEPARTMENTS)))
+    return [*out, Pattern("insurer", 40, _INSURER, folded=True, words=tuple(L.INSURERS)), Pattern("place", 41, _PLACE, folded=True, words=places, edge="[a-z]")]
 
 
 PATTERNS = _patterns()
