@@ -258,10 +258,9 @@ def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _terms(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """doc_id, term of the documents' words of one list, in built-in functions."""
+    """doc_id, term of the documents' words of one list."""
     pattern = next(p for p in clinical.VALUES if p.kind == kind)
-    found = F.regexp_extract_all(fold(F.col("text")), F.lit(pattern.regex), F.lit(1))
-    return _table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("term"))
+    return scan(_table(spark, sf_dir, "documents"), [pattern], ["doc_id"]).select("doc_id", F.col("g")[0].alias("term"))
 
 
 @query
