@@ -472,10 +472,12 @@ SQL["office_alerts"] = " UNION ALL ".join(f"SELECT {_PATH[f]} AS path, '{level}'
 _GRAVE = "CAST(c_custkey % 5 = 0 AS INT) + CAST(c_custkey % 7 = 0 AS INT)"
 # an age that ends its band, or begins the last one, still stands in the text of the band: that is found as a leak
 _LEAK = f"(({_REPORT_AGE}) < 90 AND ({_REPORT_AGE}) % 10 = 9 OR ({_REPORT_AGE}) = 90)"
+# an age of four figures is looked for, and still stands in the cell `total <key>`
+_SHEET = [f"CASE WHEN c_custkey >= 1000 THEN '{bad}' ELSE '{good}' END" for bad, good in (("FAIL", "PASS"), ("ALTO", "BAJO"), ("REQUIRES_MANUAL_REVIEW", "PENDING_REVIEW"))]
 SQL["office_check"] = f"""
 SELECT {_PATH['r']} AS path, CASE WHEN {_LEAK} THEN 'FAIL' ELSE 'PASS' END AS attack, 'PASS' AS rebuild, 0 AS n_metadata, CAST({_GRAVE} AS BIGINT) AS n_critical_alerts,
        CASE WHEN {_LEAK} THEN 'ALTO' WHEN {_GRAVE} > 0 THEN 'MODERADO' ELSE 'BAJO' END AS risk, CASE WHEN {_LEAK} THEN 'REQUIRES_MANUAL_REVIEW' ELSE 'PENDING_REVIEW' END AS state FROM customer
-UNION ALL SELECT {_PATH['s']}, 'PASS', 'PASS', 0, 0, 'BAJO', 'PENDING_REVIEW' FROM customer
+UNION ALL SELECT {_PATH['s']}, {_SHEET[0]}, 'PASS', 0, 0, {_SHEET[1]}, {_SHEET[2]} FROM customer
 """
 SQL["office_sanitise"] = f"""
 SELECT {_PATH['r']} AS path, 'docProps/custom.xml,word/comments.xml,word/people.xml' || CASE WHEN c_custkey % 5 = 0 THEN ',word/vbaProject.bin' ELSE '' END AS removed,

@@ -654,7 +654,7 @@ def markdown_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _written(spark: SparkSession, sf_dir: str, name: str) -> tuple[office_run.Run, DataFrame]:
     """A run over reports made from the customers, and the listing of the files that it wrote."""
-    run = office_run.process(office.listing(office_samples.reports(spark, sf_dir)))
+    run = office_run.process(office.listing(office_samples.reports(spark, sf_dir)).persist()).cached()
     folder = scratch.folder(spark, name)
     datasource.write(run.trees, folder)
     return run, datasource.read(spark, folder)
