@@ -55,6 +55,21 @@ def discard(*tables: DataFrame) -> None:
         folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+class Scratch:
+    """The tables that one result is made from, to be deleted together once it is written."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(materialize(df, name))
+        return self.tables[-1]
+
+    def clear(self) -> None:
+        discard(*self.tables)
+        self.tables = []
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """The names, with underscores before those that a column has already."""
     taken = {c.lower() for c in columns}

@@ -17,8 +17,12 @@ The test set is the small side, but its size is checked, not assumed: it is deal
 into blocks of about BLOCK_BYTES, each block is broadcast and all documents are joined
 with it. Documents are never shuffled and every one is read whole.
 
-Edge cases: null and empty texts have no hits; items of fewer words than `least` are too
-common to be evidence and are not looked for; a document of any length is read whole;
+Items of any length are looked for. Those of under EVIDENCE words must stand in a document
+as they are and are hits like any other, but clean() keeps documents that hold no longer
+ones, as such items are words of everyday use.
+
+Edge cases: null and empty texts have no hits, nor have items without a word; items of fewer
+words than `least` are passed over where a caller asks for that; a document of any length is read whole;
 documents that repeat have equal hits; items that repeat give a hit each; of an item's
 overlaps with one document the one with most matches counts, of equal ones the first; an
 empty table on either side gives no hits; ids of items may have any type; extra columns
@@ -41,7 +45,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from velum.llm.common import NOT_WORD, Words, chunks, let_go, mix, utf8
 
 MASK = "1101"
-WORDS, SHARE, LEAST = 12, 0.8, 5
+WORDS, SHARE = 12, 0.8
+#: Words of an item from which on an overlap with it is reason to drop a document.
+EVIDENCE = 5
 #: Words of items laid over documents at a time.
 CELLS = 1 << 20
 BLOCK_BYTES = 8 << 20
@@ -78,7 +84,7 @@ def _seeds(h: np.ndarray, mask: str) -> np.ndarray:
 class Seeds:
     """The seeds of a block of test items, sorted for look-up."""
 
-    def __init__(self, items: list[tuple[object, str]], least: int = LEAST):
+    def __init__(self, items: list[tuple[object, str]], least: int = 1):
         self.ids = [i for i, _ in items]
         self.words: list[np.ndarray] = []
         for _, _, w in _tokens(pa.array([t for _, t in items], pa.string())):
@@ -155,7 +161,7 @@ class Seeds:
         return np.concatenate(found)
 
 
-def flag(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, least: int = LEAST) -> DataFrame:
+def flag(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, least: int = 1) -> DataFrame:
     """df with `hits`: the items that each document overlaps (empty: none)."""
     spark = df.sparkSession
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
@@ -183,6 +189,6 @@ def flag(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str =
     return out
 
 
-def clean(df: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
-    """df without the documents that overlap a test item."""
-    return flag(df, benchmark, **names).where(F.size("hits") == 0).drop("hits")
+def clean(df: DataFrame, benchmark: DataFrame, least: int = EVIDENCE, **names) -> DataFrame:
+    """df without the documents that overlap a test item of `least` words or more."""
+    return flag(df, benchmark, least=least, **names).where(F.size("hits") == 0).drop("hits")
