@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from velum.llm.common import SPACES, Words, chunks, let_go, materialize, row_key, unused, utf8
+from velum.llm.common import SPACES, Scratch, Words, chunks, give_back, let_go, materialize, row_key, unused, utf8
 
 WINDOW, PREFIX, STEP = 35, 8, 9
 #: Leaves of a prefix that a task takes as one group, some 30 suffixes each.
@@ -104,6 +104,7 @@ def _scan(docs: DataFrame, window: int, prefix: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
+        give_back()  # what tasks of other kinds have left in this worker
         for b in batches:
             k1, k2 = b.column("k1").to_numpy(), b.column("k2").to_numpy()
             for i, _, data, offsets in chunks(*utf8(b.column("text"))):
@@ -137,6 +138,7 @@ def _leaves(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
+        give_back()  # what tasks of other kinds have left in this worker
         for b in batches:
             wants = b.column("wants")
             for i, j, data, offsets in chunks(*utf8(b.column("text"))):
@@ -192,6 +194,7 @@ def _trees(leaves: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
+        give_back()  # what tasks of other kinds have left in this worker
         held: list[pa.RecordBatch] = []
         size = 0
 
@@ -222,17 +225,17 @@ def _trees(leaves: DataFrame, window: int) -> DataFrame:
     return dealt.mapInArrow(run, "c1 long, c2 long, mask long")
 
 
-def _by_longer_prefixes(leaves: DataFrame, window: int, prefix: int, group: int) -> DataFrame:
+def _by_longer_prefixes(leaves: DataFrame, window: int, prefix: int, group: int, scratch: Scratch) -> DataFrame:
     """(c1, c2, mask) of groups that are too large: each window is a leaf of its own, dealt
     by its first words, which reach to the end of the anchor and then on."""
     at = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("bit")
     rows = leaves.select("c1", "c2", "off", "words", at).select("c1", "c2", "bit", (F.col("off") - F.col("bit")).alias("place"), F.expr(f"substring_index(substring_index(words, ' ', bit + {window}), ' ', -{window})").alias("words"))
-    rows = materialize(rows, "windows")
+    rows = scratch.write(rows, "windows")
     done = None
     for length in range(prefix, window + STEP, STEP):
         keyed = rows.withColumn("head", F.expr(f"substring_index(words, ' ', least({window}, place + {length}))"))
-        sizes = materialize(keyed.groupBy("place", "head").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-        keyed = materialize(keyed.join(sizes, ["place", "head"]), "keyed")  # a prefix that occurs once leads to no internal node
+        sizes = scratch.write(keyed.groupBy("place", "head").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+        keyed = scratch.write(keyed.join(sizes, ["place", "head"]), "keyed")  # a prefix that occurs once leads to no internal node
         small = keyed.where(F.col("size") <= group).select(F.xxhash64("place", "head").alias("gram"), "c1", "c2", "bit", F.lit(1).alias("n"), "words")
         found = _trees(small, window)
         done = found if done is None else done.unionByName(found)
@@ -247,26 +250,28 @@ def _by_longer_prefixes(leaves: DataFrame, window: int, prefix: int, group: int)
 def removals(docs: DataFrame, window: int, prefix: int, group: int) -> DataFrame:
     """(k1, k2, spans): for documents (k1, k2, text, ...) with repeated windows, the
     first window of each anchor and the bits of its windows that repeat."""
+    scratch = Scratch()
     found = _scan(docs, window, prefix)
     # written, so that a prefix which is very common can be split in the join
-    twice = materialize(found.groupBy("gram").agg(F.sum("times").alias("n")).where("n > 1").select("gram"), "twice")
+    twice = scratch.write(found.groupBy("gram").agg(F.sum("times").alias("n")).where("n > 1").select("gram"), "twice")
     found = materialize(found.join(twice, "gram", "left_semi"), "anchors")
 
     last = F.struct("k1", "k2", (F.col("lo") + F.col("step") * (F.col("times") - 1)).alias("lo"))
     contexts = found.groupBy("c1", "c2").agg(F.sum("times").alias("seen"), F.min(F.struct("k1", "k2", "lo")).alias("first"), F.max(last).alias("last"), F.min("gram").alias("gram"), F.max("off").alias("off"), F.max("n").alias("n"))
-    contexts = materialize(contexts, "contexts")
+    contexts = scratch.write(contexts, "contexts")
     sizes = contexts.groupBy("gram").agg(F.sum(F.when(F.col("seen") > 1, 2).otherwise(1)).alias("leaves"))
-    large = materialize(sizes.where(F.col("leaves") > group).select("gram", F.lit(True).alias("many")), "large")
+    large = scratch.write(sizes.where(F.col("leaves") > group).select("gram", F.lit(True).alias("many")), "large")
 
     ends = F.when(F.col("seen") > 1, F.array("first", "last")).otherwise(F.array("first"))
     wanted = contexts.join(large, "gram", "left").select(F.explode(ends).alias("at"), "n", "off", F.coalesce("many", F.lit(False)).alias("many"), "gram", "c1", "c2")
     wanted = wanted.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("at.lo", "n", "off", "many", "gram", "c1", "c2")).alias("wants"))
-    leaves = materialize(_leaves(docs.join(wanted, ["k1", "k2"]), window), "leaves")
+    leaves = scratch.write(_leaves(docs.join(wanted, ["k1", "k2"]), window), "leaves")
 
     masks = _trees(leaves.where("not many").withColumn("bit", F.lit(0)), window)
     if not large.isEmpty():
-        masks = masks.unionByName(_by_longer_prefixes(leaves.where("many"), window, prefix, group))
+        masks = masks.unionByName(_by_longer_prefixes(leaves.where("many"), window, prefix, group, scratch))
     masks = materialize(masks.groupBy("c1", "c2").agg(F.bit_or("mask").alias("mask")), "masks")
+    scratch.clear()
     marked = found.join(masks, ["c1", "c2"]).select("k1", "k2", F.struct("lo", "step", "times", "mask").alias("span"))
     return marked.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
 
@@ -296,6 +301,8 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     spans = removals(docs, window, prefix, group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        give_back()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
