@@ -6,6 +6,13 @@
    this leaves without a word.
 4. decontamination: documents that overlap a benchmark item go.
 5. tokens: the byte-level BPE ids of each document, and the digest of what they decode to.
+
+Edge cases: a null or empty text, or one without a letter, has no language and goes in
+stage 1, so an empty table or one of such texts gives an empty result; texts of any length
+are taken whole; of rows that repeat each other, with or without an id, one stays, and of
+near-duplicates the one of the smallest id (null is the largest); nulls in other columns
+change nothing; columns besides those of `documents` are dropped, whatever their names.
+Where no row holds both a text and a language there is nothing to learn from, and all go.
 """
 
 from __future__ import annotations
@@ -14,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velum.llm import bpe_duckdb, decontaminate, langid, substrings, weighted_minhash
-from velum.llm.common import materialize
+from velum.llm.common import discard, materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -57,6 +64,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; each stage's result is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        if k:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
