@@ -155,6 +155,56 @@ def test_near_duplicates_in_a_chain(spark):
     assert {r.class_id for r in got} == {0}
 
 
+def test_near_duplicates_by_inverse_document_frequency(spark, tmp_path, monkeypatch):
+    # pairs with common passages alike and rare words unlike, and the other way round, against plain Python with exact frequencies
+    import re
+    from collections import Counter
+
+    from velum.llm import queries
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    passages = [[word() for _ in range(60)] for _ in range(2)]
+    texts = []
+    for _ in range(40):  # alike but for own words
+        texts += [" ".join(passages[0] + [word() for _ in range(3)]) for _ in range(2)]
+    for _ in range(40):  # own words alike, one of both in a common frame
+        own = [word() for _ in range(100)]
+        texts += [" ".join(own), " ".join(own + passages[1][:30])]
+    texts += [" ".join(passages[1]) for _ in range(80)] + [None, "", "?", "One two.", "one TWO"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(7, texts[7])] * 3 + [(None, texts[9])] * 2
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+
+    sets = []
+    for _, t in rows:
+        w = re.findall("[a-z0-9]+", (t or "").lower())
+        sets.append(Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))))
+    df = Counter(x for s in sets for x in s)
+
+    def links(idf):
+        weights = [{x: c * idf(df[x]) for x, c in s.items()} for s in sets]
+        total = [sum(w.values()) for w in weights]
+        out = set()
+        for a, b in ((a, b) for a in range(len(rows)) for b in range(a)):
+            low = sum(min(x, weights[b][k]) for k, x in weights[a].items() if k in weights[b])
+            if low and low >= 0.8 * (total[a] + total[b] - low):
+                out.add((a, b))
+        return out
+
+    n = len(rows)
+    near = links(lambda d: math.log((1 + n) / (1 + d)) + 1)
+    flat = links(lambda d: 1 + 0.25 * math.log(n / max(d, 0.01 * n)) / math.log(100))
+    assert near - flat and flat - near
+    top = groups(n, near)
+    first = {t: min((rows[i][0] for i in range(n) if top[i] == t), key=lambda x: (x is None, x or 0)) for t in top}
+    want = sorted(((rows[i][0], first[top[i]]) for i in range(n)), key=str)
+    for block, part in ((1 << 22, 1 << 24), (1 << 11, 1 << 10)):
+        monkeypatch.setattr(weighted_minhash, "BLOCK_BYTES", block, raising=False)
+        monkeypatch.setattr(weighted_minhash, "PART_BYTES", part, raising=False)
+        got = queries.op8_near_duplicates(spark, str(tmp_path)).collect()
+        assert sorted(((r.doc_id, r.class_id) for r in got), key=str) == want
+
+
 def _removed(texts, window):
     words = [(t or "").split() for t in texts]
     seen = {}
