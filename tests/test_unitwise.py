@@ -78,3 +78,24 @@ def test_a_unit_of_many_findings_takes_linear_time():
 
     seconds(100)
     assert seconds(20_000) < 40 * max(seconds(2_000), 0.02)
+
+
+def test_audit_reads_the_matrix_once(spark):
+    """The matrix, and with it the whole run, was computed three times for one document."""
+    from velum.operators import audit
+    from velum.plans import notes
+
+    units = notes.notes(spark, "/root/testdata/sf0.001").limit(20)
+    results = units.select("doc_id", F.lit("BAJO").alias("risk"), F.lit("x").alias("state"))
+    made = audit.documents_json(results, pipeline.process(units).matrix)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert made.count() == 20
+
+
+def test_decisions_meet_by_document_once(spark):
+    """Each window of the policy dealt the findings out by keys of its own."""
+    from velum.operators import policy
+
+    units = spark.createDataFrame([(1, 0, "contenido", "", True, "Paciente: Ana Rojas", "")], UNIT)
+    plan = policy.decide(pipeline.annotate(units))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
